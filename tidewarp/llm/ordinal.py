@@ -25,16 +25,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def fit(ids: np.ndarray, values: np.ndarray, starts: np.ndarray, grades: np.ndarray, dim: int, n_grades: int, l2: float = 1e-4, steps: int = 250, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit(ids: np.ndarray, values: np.ndarray, starts: np.ndarray, grades: np.ndarray, dim: int, n_grades: int, balance: dict[int, float] | None = None, l2: float = 1e-4, steps: int = 250, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights (dim) and thresholds (n_grades - 1, ascending) by full-batch Adam. Rows are sparse: row
-    r has ids and values from starts[r] to starts[r + 1]. Grades weigh alike, however many rows they have.
+    r has ids and values from starts[r] to starts[r + 1]. Grades weigh alike, however many rows they have, or
+    as balance says.
     A grade without rows leaves its threshold next to its neighbour's; without rows all weights are 0."""
     n = len(grades)
     theta0, gaps, w = -1.0, np.zeros(max(0, n_grades - 2)), np.zeros(dim)
     if not n:
         return w, np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
     count = np.bincount(grades, minlength=n_grades)
-    weight = (1.0 / np.maximum(count, 1))[grades]
+    weight = (np.array([(balance or {}).get(g, 1.0) for g in range(n_grades)]) / np.maximum(count, 1))[grades]
     weight /= weight.sum()
     rows = np.repeat(np.arange(n), np.diff(starts))
     m = [np.zeros(dim + n_grades - 1), np.zeros(dim + n_grades - 1)]

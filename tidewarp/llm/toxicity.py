@@ -1,4 +1,6 @@
 """Toxicity: ordinal severity from sparse word features."""
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -7,26 +9,34 @@ from . import ordinal
 
 PER_GRADE = 3_000  # labelled rows of each label that the model is fitted on, at most
 GRADES = 3  # none, some, much
-BITS = 20  # of the hashed words
-MIN_Z, MIN_RATIO = 4.0, 3.0  # a word is a feature if toxic rows have it more often, by so much
+BITS = 20  # of the hashed features: words, and beginnings of words
+STARTS = (4, 5, 6)  # bytes of such a beginning
+MIN_RATIO = 10.0  # a word is a feature if so many times more of the toxic rows than of the others have it
+MIN_ROWS, MIN_SHARE = 3, 0.004  # ... and this many, or this share, of the toxic rows that fewer than COVER features explain
+COVER = 2
 CUT = 0.5  # P(severity >= 1) from which a document is toxic
 #: ASCII punctuation and digits part words.
 PARTS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 class Buckets(dict):
-    """word -> hash bucket, remembered; forgets all when it holds a million words."""
+    """word -> hash buckets of the word and of its beginnings, remembered; forgets all when it holds a
+    million words. With features (bucket -> position, or -1): the positions instead."""
 
-    def __init__(self, bits: int):
-        self.mask = (1 << bits) - 1
+    def __init__(self, features: np.ndarray | None = None):
+        self.features = features
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         import xxhash
 
         if len(self) >= 1_000_000:
             self.clear()
-        self[word] = out = xxhash.xxh32_intdigest(word) & self.mask
-        return out
+        parts = {word, *(word[:k] + b"-" for k in STARTS if len(word) >= k)}
+        found = tuple(xxhash.xxh32_intdigest(p) & ((1 << BITS) - 1) for p in sorted(parts))
+        if self.features is not None:
+            found = tuple(int(p) for b in found if (p := self.features[b]) >= 0)
+        self[word] = found
+        return found
 
 
 def words(text: bytes) -> list[bytes]:
@@ -34,63 +44,93 @@ def words(text: bytes) -> list[bytes]:
 
 
 def hashed(text: bytes, buckets: Buckets) -> np.ndarray:
-    found = words(text)
-    return np.fromiter(map(buckets.__getitem__, found), np.int32, len(found))
-
-
-def sparse(ids: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in features (bucket -> position, or -1) and log-scaled counts."""
-    at = features[ids]
-    at, n = np.unique(at[at >= 0], return_counts=True)
-    return at, np.log1p(n)
+    return np.fromiter(chain.from_iterable(map(buckets.__getitem__, words(text))), np.int32)
+
+
+def least_shingle(ids: np.ndarray) -> int:
+    """The smallest hash of three words that follow each other: mostly the same in copies."""
+    if len(ids) < 3:
+        return int(ids.sum())
+    x = ids.astype(np.uint64)
+    h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (x[2:] * np.uint64(0x165667B19E3779F9))
+    return int(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).min())
+
+
+def chosen_words(toxic: list[np.ndarray], p0: np.ndarray) -> np.ndarray:
+    """Buckets that mark toxic rows, greedily by the rows not yet explained. So a word that stands in
+    many copies of one toxic text, next to words that mark others too, is none. p0: how often other rows
+    have each bucket."""
+    left, out, n = list(toxic), [], len(toxic)
+    cover = [0] * n
+    least = max(MIN_ROWS, MIN_SHARE * n)
+    while left:
+        df = np.bincount(np.concatenate(left), minlength=len(p0)) if left else np.zeros(len(p0))
+        df[out] = 0
+        df[df < MIN_RATIO * n * p0] = 0
+        word = int(df.argmax())
+        if df[word] < least:
+            break
+        out.append(word)
+        still = []
+        for ids, c in zip(left, cover):
+            c += word in ids
+            if c < COVER:
+                still.append((ids, c))
+        left, cover = [x[0] for x in still], [x[1] for x in still]
+    return np.array(sorted(out), dtype=np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_GRADE) -> dict:
     """The model, from at most per_label toxic and as many other labelled rows.
 
-    labels are 0 or 1; the severity of toxic rows is graded by the share of their words that mark
-    toxic rows: 1 below the median, 2 from it. Without toxic or without other rows nothing is toxic."""
+    labels are 0 or 1; the severity of toxic rows is graded by how much of their words mark toxic rows
+    (the sum of the features): 1 below the median, 2 from it. Without toxic or without other rows nothing is toxic."""
     import pyarrow as pa
 
     sample = ordinal.labelled_sample(docs, labels, F.col("toxic"), 2, per_label).select("grade", "text")
 
     def run(batches):
-        buckets = Buckets(BITS)
+        buckets = Buckets()
         for batch in batches:
             ids = [hashed(t.as_py() or b"", buckets) for t in batch.column(1).cast(pa.binary())]
             pairs = [np.unique(x, return_counts=True) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32()))], names=["grade", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([least_shingle(x) for x in ids], pa.int64())], names=["grade", "ids", "n", "first"])
 
-    got = sample.mapInArrow(run, "grade int, ids array<int>, n array<int>").toArrow()
+    got = sample.mapInArrow(run, "grade int, ids array<int>, n array<int>, first long").toArrow()
     toxic = got.column("grade").to_numpy() == 1
     features = np.full(1 << BITS, -1, dtype=np.int32)
     none = {"features": features, "w": np.zeros(1), "theta": np.array([9.0, 10.0])}
     if not toxic.any() or toxic.all():
         return none
     ids, counts = ([x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) else x for x in got.column(c)] for c in ("ids", "n"))
-    df1 = np.bincount(np.concatenate([x for x, y in zip(ids, toxic) if y]), minlength=1 << BITS)
+    firsts = got.column("first").to_pylist()
+    seen: set[int] = set()
+    apart = [ids[r] for r in np.flatnonzero(toxic) if firsts[r] not in seen and not seen.add(firsts[r])]
+    n0 = int((~toxic).sum())
     df0 = np.bincount(np.concatenate([x for x, y in zip(ids, toxic) if not y]), minlength=1 << BITS)
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    p1, p0, p = df1 / n1, df0 / n0, (df1 + df0) / (n1 + n0)
-    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((z >= MIN_Z) & (p1 >= MIN_RATIO * (p0 + 0.5 / n0)))
+    chosen = chosen_words([x for x in apart if len(x)], (df0 + 0.5) / n0)
     if not len(chosen):
         return none
     features[chosen] = np.arange(len(chosen))
     rows = [(features[i][features[i] >= 0], np.log1p(c[features[i] >= 0])) for i, c in zip(ids, counts)]
-    share = np.array([c[features[i] >= 0].sum() / max(1, c.sum()) for i, c in zip(ids, counts)])
-    grades = np.where(toxic, np.where(share >= np.median(share[toxic]), 2, 1), 0)
+    much = np.array([r[1].sum() for r in rows])
+    grades = np.where(toxic, np.where(much >= np.median(much[toxic]), 2, 1), 0)
     flat, starts = ordinal.csr([r[0] for r in rows])
-    w, theta = ordinal.fit(flat.astype(np.int64), ordinal.csr([r[1] for r in rows])[0], starts, grades, len(chosen), GRADES)
+    shares = dict(labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("toxic").count().collect())
+    balance = {0: shares.get(0, 1), 1: shares.get(1, 1) / 2, 2: shares.get(1, 1) / 2}  # as in all labels
+    w, theta = ordinal.fit(flat.astype(np.int64), ordinal.csr([r[1] for r in rows])[0], starts, grades, len(chosen), GRADES, balance, l2=1e-5)
     return {"features": features, "w": w, "theta": theta}
 
 
 def score_of(model: dict):
-    buckets, features, w = Buckets(BITS), model["features"], model["w"]
+    marks, w = Buckets(model["features"]), model["w"]
 
     def score(text: bytes) -> float:
-        at, value = sparse(hashed(text, buckets), features)
-        return float(w[at] @ value)
+        found = [p for t in map(marks.__getitem__, words(text)) if t for p in t]
+        if not found:
+            return 0.0
+        at, n = np.unique(found, return_counts=True)
+        return float(w[at] @ np.log1p(n))
 
     return score
 
