@@ -206,7 +206,7 @@ def fastdtw(spark, sf_dir):
 @query()
 def barycenter(spark, sf_dir):
     rows = embedded(spark, sf_dir)
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(knn.barycenter(rows.select("id", "series"))], "pos int, v double")
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(knn.barycenter(rows.select("id", "series")))], "pos int, v double")
 
 
 @query(input_warping() + """,
