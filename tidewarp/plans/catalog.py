@@ -516,7 +516,7 @@ a AS (SELECT id, row_number() OVER (ORDER BY d2, id) - 1 AS rank FROM d2), b AS
 u AS (SELECT 0 AS side, rank, id FROM a WHERE rank < 20 UNION ALL SELECT 1, rank, id FROM b WHERE rank < 20),
 f AS (SELECT id, min(side * 1000 + rank) AS seen FROM u GROUP BY id),
 c AS (SELECT id, seen, row_number() OVER (ORDER BY seen) AS code FROM f),
-t AS (SELECT string_agg(chr(CAST(96 + code AS INT)), '' ORDER BY rank) FILTER (side = 0) AS x, string_agg(chr(CAST(96 + code AS INT)), '' ORDER BY rank) FILTER (side = 1) AS y, count(*) FILTER (side = 1 AND seen >= 1000) AS fresh FROM u JOIN c USING (id))
+t AS (SELECT string_agg(chr(CAST(32 + code AS INT)), '' ORDER BY rank) FILTER (side = 0) AS x, string_agg(chr(CAST(32 + code AS INT)), '' ORDER BY rank) FILTER (side = 1) AS y, count(*) FILTER (side = 1 AND seen >= 1000) AS fresh FROM u JOIN c USING (id))
 SELECT round(1 - levenshtein(x, y) / 20, 6) AS rank_similarity, round(levenshtein(x, y) / 20, 6) AS rank_distance, round(fresh / 20, 6) AS new_share FROM t""")
 def rank_changes(spark, sf_dir):
     e = embedded(spark, sf_dir)
