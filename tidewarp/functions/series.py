@@ -93,17 +93,6 @@ def paa(x: Column, segments: int, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: F.aggregate(F.slice(x, k * rate + 1, F.lit(rate)), F.lit(0.0), lambda s, v: s + v) / rate)
 
 
-def segment_fold(x: Column, segments: int, length: int, fold) -> Column:
-    """fold (say F.array_min) of each of equal segments."""
-    rate = length // segments
-    return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: fold(F.slice(x, k * rate + 1, F.lit(rate))))
-
-
-def envelope(x: Column, r: int, length: int, fold) -> Column:
-    """fold of each value and its r neighbours on either side."""
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: fold(F.slice(x, F.greatest(t - r, F.lit(0)) + 1, F.least(t + r, F.lit(length - 1)) - F.greatest(t - r, F.lit(0)) + 1)))
-
-
 def power_of_two(n: int) -> bool:
     return n > 0 and n & (n - 1) == 0
 

@@ -1,7 +1,9 @@
 """From entries to series: cleaning, normalising, stemming, summing, densifying, pruning."""
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.series import lists
 from ..functions.text import clean, normalized
 from ..model import SUPPORT, YLENGTH, YSTART, check_length
 from ..sources.ngrams import numbered
@@ -38,9 +40,21 @@ def summed(entries: DataFrame, dictionary: DataFrame, transitions: DataFrame | N
 
 def densified(counts: DataFrame, value: str, ylength: int, key: str = "id", y: str = "y") -> DataFrame:
     """key, series: the values of each key as an array of ylength doubles, 0 where there is none. One
-    exchange by key; a key has at most ylength rows once summed."""
-    by = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(y).cast("int"), F.col(value).cast("double")))).alias("m"))
-    return by.select(key, F.transform(F.sequence(F.lit(0), F.lit(ylength - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("series"))
+    exchange by key; a key has at most ylength rows once summed. Values are scattered a batch at a time."""
+
+    def run(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            at, v = batch.column(1), batch.column(2)
+            lengths = np.diff(at.offsets.to_numpy())
+            rows = np.zeros((batch.num_rows, ylength))
+            rows[np.repeat(np.arange(batch.num_rows), lengths), at.flatten().to_numpy()] = v.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(rows)], names=[key, "series"])
+
+    by = counts.groupBy(key).agg(F.collect_list(F.struct(F.col(y).cast("int").alias("y"), F.col(value).cast("double").alias("v"))).alias("m"))
+    by = by.select(key, F.col("m.y").alias("y"), F.col("m.v").alias("v"))
+    return by.mapInArrow(run, f"`{key}` {counts.schema[key].dataType.simpleString()}, series array<double>")
 
 
 def build_series(entries: DataFrame, dictionary: DataFrame, transitions: DataFrame | None = None, ystart: int = YSTART, ylength: int = YLENGTH, value: str = "var0", normalize=normalized) -> DataFrame:

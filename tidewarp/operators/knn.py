@@ -4,9 +4,10 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels
-from ..functions.series import envelope, matrix, paa, segment_fold, squared_distance, transformed
+from ..functions.series import lists, matrix, squared_distance, transformed
 from ..model import check_length, check_range, series_of
 
 DTYPE = "float64"  # of the warping sums; float32 halves memory traffic
@@ -142,13 +143,32 @@ def bound_index(series: DataFrame, r: int, length: int, resolution: int = 64) ->
     check_length(resolution)
     if length < resolution or not 0 <= r <= length // 2:
         raise ValueError("series are at least as long as the resolution, and the radius is at most half of that")
-    x = F.col("series")
-    return series.withColumns({
-        "down": paa(x, resolution, length),
-        "lo": segment_fold(envelope(x, r, length, F.array_min), resolution, length, F.array_min),
-        "hi": segment_fold(envelope(x, r, length, F.array_max), resolution, length, F.array_max),
-        "r": F.lit(r), "resolution": F.lit(resolution),
-    })
+    rate = length // resolution
+
+    def run(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            rows = matrix(batch.column(batch.schema.get_field_index("series"))).astype(np.float64)
+            if not len(rows):
+                continue
+            low, high = envelopes(rows, r)
+            part = lambda x: x.reshape(len(rows), resolution, rate)
+            more = [lists(part(rows).mean(axis=2)), lists(part(low).min(axis=2)), lists(part(high).max(axis=2)), *(pa.array(np.full(len(rows), k, dtype=np.int32)) for k in (r, resolution))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "down", "lo", "hi", "r", "resolution"])
+
+    more = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("down", "lo", "hi")] + [T.StructField(n, T.IntegerType()) for n in ("r", "resolution")]
+    return series.mapInArrow(run, T.StructType([*series.schema.fields, *more]))
+
+
+def envelopes(rows: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest of each value and its r neighbours on either side."""
+    low, high = rows.copy(), rows.copy()
+    for d in range(1, min(r, rows.shape[1] - 1) + 1):
+        for fold, out in ((np.minimum, low), (np.maximum, high)):
+            fold(out[:, d:], rows[:, :-d], out=out[:, d:])
+            fold(out[:, :-d], rows[:, d:], out=out[:, :-d])
+    return low, high
 
 
 def box_bound(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:

@@ -37,7 +37,8 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fs.transformed(event_series(spark, sf_dir), "loggradient_smooth1")
+    """The transformed series as a table: a query first looks its own series up."""
+    return materialized(fs.transformed(event_series(spark, sf_dir), "loggradient_smooth1"), "series")
 
 
 def part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     words = d.select("doc_id", F.explode(F.split("text", r"\s+")).alias("ngram")).filter("ngram <> ''")
     year = (1753 + F.col("doc_id") % 256).cast("int")
-    return words.groupBy("ngram", year.alias("year")).agg(F.count("*").alias("var0"), F.count_distinct("doc_id").alias("var1"))
+    counts = words.groupBy("ngram", year.alias("year"), "doc_id").agg(F.count("*").alias("n")).groupBy("ngram", "year").agg(F.sum("n").alias("var0"), F.count("doc_id").alias("var1"))
+    return materialized(counts, "entries")  # a query reads them more than once
 
 
 EVENTS = """ec AS MATERIALIZED (SELECT user_id AS id, CAST(floor((epoch_us(ts) / 1e6 - 1704067200) / 10125) AS INT) AS y, count(*) AS var0, count(DISTINCT event_type) AS var1 FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
@@ -530,7 +532,7 @@ def streamed_counts(spark, sf_dir):
     """The same sums from a stream of files of entries."""
     from ..streaming import counts
 
-    out = materialized(entries(spark, sf_dir), "entries")
+    out = entries(spark, sf_dir)
     stream = spark.readStream.schema(out.schema).parquet(out.inputFiles()[0].rpartition("/")[0])
     name = f"counts_{abs(hash(sf_dir)) % 10**9}"
     counts.to_memory(counts.running_counts(stream), name).awaitTermination()
