@@ -122,7 +122,8 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     # one flag per line, so that each line is looked up once
     flags = F.aggregate(F.array_sort(gone), F.array_repeat(F.lit(True), 0), lambda acc, i: F.concat(acc, F.array_repeat(F.lit(True), i - F.size(acc)), F.array(F.lit(False))))
     rows = rows.withColumn("__keep", F.when(F.col("__blocks").isNotNull(), flags))
-    text = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("__keep", i), F.lit(True))), "\n")
+    # Zipped, not looked up in the lambda: an expression in there would be computed for each line.
+    text = F.array_join(F.transform(F.filter(F.zip_with(lines, "__keep", lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda z: F.coalesce(z["k"], F.lit(True))), lambda z: z["x"]), "\n")
     text = F.when(F.col("__keep").isNotNull(), text).otherwise(F.col("text"))
     out = {"text": text}
     if "n_chars" in docs.columns:
