@@ -1,7 +1 @@
 """Operators for preparing large text corpora. Nothing else in the library imports this subpackage."""
-import sys
-
-from pyspark import cloudpickle
-
-# Kernels travel to the executors by value: nothing has to be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

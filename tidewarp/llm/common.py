@@ -1,11 +1,9 @@
 """Helpers that the corpus operators share."""
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialized  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -21,35 +19,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.array_join(F.transform(F.split(text, "(?=[A-Z])", -1), piece), ""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master without
-    that setting a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(at := tempfile.mkdtemp(prefix="tidewarp-"))
-    return at.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended before the interpreter; the folder is the cluster's scratch space
-        pass
-
-
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read again. This cuts the lineage, survives lost
-    executors, and unlike checkpoint() computes df only once. Removed when the interpreter ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewarp-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
