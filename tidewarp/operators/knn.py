@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..functions.series import lists, matrix, squared_distance, transformed
 from ..model import check_length, check_range, series_of
+from ..plans.scratch import materialized
 
 DTYPE = "float64"  # of the warping sums; float32 halves memory traffic
 
@@ -197,17 +198,38 @@ def bounds(index: DataFrame, ngram: str, r: int) -> DataFrame:
 
 def knn_dtw_pruned(index: DataFrame, ngram: str, r: int, limit: int, stats: dict | None = None, dtype: str = DTYPE) -> DataFrame:
     """knn_dtw over whole series, computing only the distances that can matter. The limit smallest bounds
-    give exact distances, the largest of which no better neighbour's bound can exceed. stats: gets n and
-    the number of distances of the first pass, and the threshold."""
-    rows = bounds(index, ngram, r).select("id", "ngram", "series", "lb")
-    query = series_of(index, [ngram])[ngram][1]
-    first = rows.orderBy("lb", "id").limit(max(4 * limit, 128))
-    best = squared_sums(first.select("id", "ngram", "series"), [query], r, dtype=dtype).orderBy("d2", "id").limit(limit).agg(F.max("d2").alias("tau"), F.count("*").alias("n")).first()
+    give exact distances, the largest of which no better neighbour's bound can exceed. stats: gets n, the
+    number of distances of the second pass, and the threshold.
+
+    Bounds read ids and segment means only, and are kept as a narrow table; series that are not needed
+    are dropped by a join on ids, before values go to Python."""
+    q = index.filter(F.col("ngram") == ngram).select("series", "lo", "hi", "r", "resolution").first()
+    if q is None:
+        raise KeyError(f"unknown n-gram: {ngram}")
+    if q.r != r:
+        raise ValueError(f"the index is for radius {q.r}, not {r}")
+    lo, hi, rate = np.array(q.lo), np.array(q.hi), len(q.series) // q.resolution
+
+    def run(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            down = matrix(batch.column(1))
+            if len(down):
+                gap = np.maximum(np.maximum(down - hi, lo - down), 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rate * (gap * gap).sum(axis=1))], names=["id", "lb"])
+
+    bound = materialized(index.select("id", "down").mapInArrow(run, "id long, lb double"), "lower-bounds")
+    series = index.select("id", "ngram", "series")
+    first = bound.orderBy("lb", "id").limit(max(4 * limit, 128)).select("id")
+    near = squared_sums(series.join(F.broadcast(first), "id", "left_semi"), [q.series], r, dtype=dtype)
+    best = near.orderBy("d2", "id").limit(limit).agg(F.max("d2").alias("tau"), F.count("*").alias("n")).first()
     if best.n == limit:  # else there are no more rows than asked for
-        rows = rows.filter(F.col("lb") <= best.tau * (1 + 1e-9))
+        bound = bound.filter(F.col("lb") <= best.tau * (1 + (1e-9 if dtype == "float64" else 1e-4)))
+        series = series.join(bound.select("id"), "id", "left_semi")
     if stats is not None:
-        stats.update(n=index.count(), threshold=best.tau, dtw=rows.count())
-    return ranked(squared_sums(rows.select("id", "ngram", "series"), [query], r, dtype=dtype), limit, len(query))
+        stats.update(n=index.count(), threshold=best.tau, dtw=bound.count())
+    return ranked(squared_sums(series, [q.series], r, dtype=dtype), limit, len(q.series))
 
 
 # Alignments

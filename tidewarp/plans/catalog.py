@@ -60,6 +60,9 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of documents as entries, in pseudo-years."""
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    cores = spark.sparkContext.defaultParallelism
+    if d.rdd.getNumPartitions() < cores:  # a small table in one file: all cores part its texts
+        d = d.select("doc_id", "text").repartition(cores)
     words = d.select("doc_id", F.explode(F.split("text", r"\s+")).alias("ngram")).filter("ngram <> ''")
     year = (1753 + F.col("doc_id") % 256).cast("int")
     counts = words.groupBy("ngram", year.alias("year"), "doc_id").agg(F.count("*").alias("n")).groupBy("ngram", "year").agg(F.sum("n").alias("var0"), F.count("doc_id").alias("var1"))
