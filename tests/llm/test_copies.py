@@ -213,6 +213,18 @@ def test_latent_candidates_recall(spark, leaking):
     assert total > 30 and hits >= 0.9 * total
 
 
+def test_leaks_of_many_items(spark):
+    """Recall does not fall with the number of items: each is found verbatim."""
+    rng = random.Random(12)
+    vocabulary = words(rng, 6000)
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, say(rng.randint(15, 60))) for k in range(1000)]
+    docs = [(k, f"{say(rng.randint(20, 200))} {items[k][1]} {say(rng.randint(20, 200))}") for k in range(0, 1000, 5)]
+    out = decontamination.benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in out.collect()}
+    assert sum((d, d) in found for d, _ in docs) >= 0.98 * len(docs)
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(50):
