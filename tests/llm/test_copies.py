@@ -225,6 +225,18 @@ def test_leaks_of_many_items(spark):
     assert sum((d, d) in found for d, _ in docs) >= 0.98 * len(docs)
 
 
+def test_leaks_of_long_items(spark):
+    """An item is found however many passages long it is."""
+    rng = random.Random(13)
+    vocabulary = words(rng, 4000)
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, say(n)) for k, n in enumerate([40, 300, 600, 1500, 4000])]
+    docs = [(k, f"{say(100)} {text} {say(100)}") for k, text in items] + [(k + 10, f"{say(50)} {' '.join(text.split()[: len(text.split()) // 2])}") for k, text in items]
+    docs += [(k, say(400)) for k in range(100, 200)]
+    out = decontamination.benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(k, k) for k, _ in items}
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(50):
