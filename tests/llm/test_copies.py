@@ -143,6 +143,39 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs.limit(0)).collect() == []
 
 
+def slow_kept(texts, least=20):
+    """Lines of each document that stay: not in a run of so many words that an earlier document has."""
+    full = {d: [(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for d, t in texts.items()}
+    out = {}
+    for d, mine in full.items():
+        gone = set()
+        for e, other in full.items():
+            for i in range(len(mine) if e < d else 0):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(other) and mine[i + n][1] == other[j + n][1]:
+                        n += 1
+                    if n and sum(len(x.split()) for _, x in mine[i : i + n]) >= least:
+                        gone.update(k for k, _ in mine[i : i + n])
+        out[d] = [x for k, x in enumerate(texts[d].split("\n")) if x.split() and k not in gone]
+    return out
+
+
+def test_line_dedup_of_lines_seen_elsewhere(spark):
+    """Shared passages go though their lines stood alone, or in other order, in earlier documents."""
+    rng = random.Random(6)
+    parts = [" ".join(words(rng, 12)) for _ in range(5)]
+    passage = "\n".join("\nread more\n".join(parts).split("\n"))
+    texts = {1: "read more\n" + " ".join(words(rng, 30)), 2: passage, 3: passage}
+    pool = [" ".join(words(rng, rng.choice([1, 2, 5, 9, 12, 19, 20]))) for _ in range(25)]
+    for d in range(10, 90):
+        at = rng.randrange(20)
+        texts[d] = "\n".join([rng.choice(pool) for _ in range(rng.randint(0, 8))] + pool[at : at + 6] + [rng.choice(pool) for _ in range(4)])
+    out = line_dedup.line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    got = {r.doc_id: [x for x in r.text.split("\n") if x.split()] for r in out}
+    assert got[3] == [] and got == slow_kept(texts)
+
+
 def test_hot_line_grows_with_its_rows(spark):
     line = " ".join(f"w{i}" for i in range(55))
     docs = spark.range(3000).selectExpr("id AS doc_id", f"concat('own ', id, '\\n{line}') AS text")

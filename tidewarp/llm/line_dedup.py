@@ -1,12 +1,10 @@
-"""Line dedup: documents that share lines are aligned pairwise with patience diff, and blocks that they
-have in common are deleted from the later one."""
+"""Line dedup: documents that share runs of lines are aligned pairwise with patience diff, and blocks that
+they have in common are deleted from the later one."""
 from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
-
 MIN_WORDS = 20  # of an aligned block that is deleted
 
 
@@ -69,33 +67,93 @@ def common_blocks(pairs: list[tuple[int, int]], words: dict[int, int], least: in
     return sorted(blocks)
 
 
+def runs(words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs of at least so many words from each line on, and up to each line.
+    Together those inside a block of so many words cover all of it: a line that the block's first run does
+    not reach is the end of one."""
+    ends = [0]
+    for n in words:
+        ends.append(ends[-1] + n)
+    found = set()
+    z = a = 0
+    for i in range(len(words)):
+        z = max(z, i + 1)
+        while z < len(words) and ends[z] - ends[i] < least:
+            z += 1
+        if ends[z] - ends[i] >= least:
+            found.add((i, z - 1))
+        while a < i and ends[i + 1] - ends[a + 1] >= least:
+            a += 1
+        if ends[i + 1] - ends[a] >= least:
+            found.add((a, i))
+    return sorted(found)
+
+
+def blocks_of(shared: list[tuple[int, int, int]], words: dict[int, int], least: int) -> list[tuple[int, int]]:
+    """(first, last) lines here to delete for one partner, of runs (first, last, first there) that it has:
+    blocks of their alignment, and the runs that this leaves a line of (each is a block by itself)."""
+    pairs = sorted({(a + k, y + k) for a, z, y in shared for k in range(z - a + 1)})
+    blocks = common_blocks(pairs, words, least)
+    gone = {i for a, z in blocks for i in range(a, z + 1)}
+    for a, z, _ in sorted(shared):
+        if not gone.issuperset(range(a, z + 1)):
+            blocks.append((a, z))
+            gone.update(range(a, z + 1))
+    return sorted(blocks)
+
+
 def overlaps(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, blocks: array of (partner, first, last): lines of a document to delete because the
     document partner, which has a smaller id, has them too.
 
-    A line's partner is the document with the smallest id that has it, at its first place there: so each
-    line has one partner however frequent it is, rows grow with the lines and not with pairs of
-    documents, and the first document keeps every line. Lines are compared by 128-bit hashes; frequent
-    ones are summed in each task before the exchange, and their join is split where skewed."""
+    What documents share is looked for by runs of lines, the shortest of enough words from each line on and
+    up to each line. A run's partner is the document with the smallest id that has it, at its first place
+    there. Every block of enough words that any earlier document has consists of such runs, wherever else
+    its lines stand, so none is lost; rows grow with the lines and not with pairs of documents, and the
+    first document keeps every run. Runs are compared by 128-bit hashes; frequent ones are summed in each
+    task before the exchange, and their join is split where skewed.
+
+    Lines without words are not counted: they part no run, and go with a block that they are in."""
     import pyarrow as pa
 
-    lines = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
-    lines = lines.select("doc_id", "line", F.unhex(F.md5("value")).alias("h"), F.regexp_count("value", F.lit(WORD)).alias("words")).filter("words > 0")
+    def cut(batches):
+        import xxhash
+
+        for batch in batches:
+            of, hashes, first, infos = [], [], [], []
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                if (text := text.as_py()) is None:
+                    continue
+                lines = [(k, n, x) for k, x in enumerate(text.split(b"\n")) if (n := len(x.split()))]  # bytes.split() parts as WORD
+                for a, z in runs([n for _, n, _ in lines], least):
+                    part = lines[a : z + 1]
+                    of.append(i)
+                    hashes.append(xxhash.xxh3_128_digest(b"\n".join([x for _, _, x in part])))
+                    first.append(a)
+                    infos.append([v for k, n, _ in part for v in (k, n)])
+            columns = [batch.column(0).take(pa.array(of, pa.int32())), pa.array(hashes, pa.binary()), pa.array(first, pa.int32()), pa.array(infos, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "line", "info"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # info: line of the text and words of each line of the run
+    lines = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, h binary, line int, info array<int>")
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max("doc_id").alias("last"))
     first = first.filter("last > at.doc_id").select("h", F.col("at.doc_id").alias("partner"), F.col("at.line").alias("there"))
     shared = lines.join(first, "h").filter("doc_id > partner")
-    listed = shared.groupBy("doc_id").agg(F.collect_list(F.struct("partner", "line", "there", "words")).alias("shared"))
+    listed = shared.groupBy("doc_id").agg(F.collect_list(F.struct("partner", "line", "there", "info")).alias("shared"))
 
     def run(batches):
         for batch in batches:
             ids, out = [], []
             for i in range(batch.num_rows):
-                by: dict[int, list[tuple[int, int]]] = {}
-                words = {}
+                by: dict[int, list[tuple[int, int, int]]] = {}
+                words, at = {}, {}
                 for s in batch.column(1)[i].as_py():
-                    by.setdefault(s["partner"], []).append((s["line"], s["there"]))
-                    words[s["line"]] = s["words"]
-                found = [{"partner": p, "first": a, "last": z} for p, pairs in sorted(by.items()) for a, z in common_blocks(sorted(pairs), words, least)]
+                    a, info = s["line"], s["info"]
+                    by.setdefault(s["partner"], []).append((a, a + len(info) // 2 - 1, s["there"]))
+                    at.update(enumerate(info[::2], a))
+                    words.update(enumerate(info[1::2], a))
+                found = [{"partner": p, "first": at[a], "last": at[z]} for p, part in sorted(by.items()) for a, z in blocks_of(part, words, least)]
                 if found:
                     ids.append(i)
                     out.append(found)
@@ -110,11 +168,11 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     docs has it, is that of the new text where that changed.
 
     Ids order documents. Rows without an id stay as they are and are nobody's partner; rows that repeat an
-    id have one text between them and are not each other's partners. Null texts stay null; empty lines are
-    never aligned. A text whose lines all go becomes empty. Texts are read whole; an empty table returns
+    id have one text between them and are not each other's partners. Null texts stay null; lines without
+    words are never aligned, and go with a block around them. A text whose lines all go becomes empty. Texts are read whole; an empty table returns
     none; a column of docs named blocks is replaced.
 
-    What is deleted is found on line hashes; texts shuffle once, to meet it."""
+    What is deleted is found on hashes of runs of lines; texts shuffle once, to meet it."""
     found = overlaps(docs, least).withColumnsRenamed({"doc_id": "__id", "blocks": "__blocks"})
     rows = docs.drop("blocks").join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     gone = F.array_distinct(F.flatten(F.transform("__blocks", lambda b: F.sequence(b["first"], b["last"]))))
