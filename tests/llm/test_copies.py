@@ -176,6 +176,17 @@ def test_line_dedup_of_lines_seen_elsewhere(spark):
     assert got[3] == [] and got == slow_kept(texts)
 
 
+def test_line_dedup_over_blank_lines(spark):
+    """Blank lines part no passage and go with it; those outside stay."""
+    rng = random.Random(7)
+    own, parts = [" ".join(words(rng, 12)) for _ in range(4)], [" ".join(words(rng, 12)) for _ in range(5)]
+    texts = {1: [own[0], "", *"\n\n".join(parts).split("\n"), "", own[1]], 2: [own[2], "", *"\n \t\n".join(parts).split("\n"), "", own[3]]}
+    out = line_dedup.line_dedup(spark.createDataFrame([(d, "\n".join(x)) for d, x in texts.items()], "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in out}
+    assert got[1].text == "\n".join(texts[1]) and got[2].text == "\n".join([own[2], "", "", own[3]])
+    assert [tuple(b) for b in got[2].blocks] == [(1, 2, 10)]
+
+
 def test_hot_line_grows_with_its_rows(spark):
     line = " ".join(f"w{i}" for i in range(55))
     docs = spark.range(3000).selectExpr("id AS doc_id", f"concat('own ', id, '\\n{line}') AS text")
