@@ -109,6 +109,18 @@ def test_near_copies_recall(spark):
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("times", [5, 20])
+def test_near_copies_of_repeated_phrases(spark, times):
+    """A similarity is of sets of shingles: how often a phrase is repeated does not weigh."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        base = words(rng, 600)
+        rows += [(2 * k + i, " ".join(base + times * words(rng, 7))) for i in range(2)]
+    gone = {(r.doc_id, r.root) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(gone) == 40 and all(r == d - 1 for d, r in gone)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (300, 100), (7, 7)] + [(500, k) for k in range(501, 600)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -178,7 +178,7 @@ def near_copies(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE
         for batch in batches:
             fps, keys = [], []
             for t in batch.column(1).cast(pa.binary()):
-                h = shingle_hashes(t.as_py() or b"", shingle)
+                h = np.unique(shingle_hashes(t.as_py() or b"", shingle))  # the set: a repeat would weigh with its count
                 fps.append(fingerprint(h, WIDE))
                 keys.append(bands(h))
             fp = np.array(fps, dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
