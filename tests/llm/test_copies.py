@@ -199,6 +199,32 @@ def test_line_dedup_over_blank_lines(spark):
     assert [tuple(b) for b in got[2].blocks] == [(1, 2, 10)]
 
 
+def test_line_dedup_probes(spark):
+    """Passages whose lines stood elsewhere before, or stand twice in the partner, and texts that share an id."""
+    rng = random.Random(17)
+    line = lambda n=12: " ".join(words(rng, n))
+    block, own, parts = [line() for _ in range(3)], [line() for _ in range(12)], [line() for _ in range(3)]
+    rows = [
+        (1, [block[0], own[0]]), (2, [own[1], block[1]]), (3, [own[2], *block]), (4, [*block, own[3]]),  # two lines stood elsewhere
+        (11, [own[4], *"\n\n".join(parts).split("\n")]), (12, [*"\n\n".join(parts).split("\n"), own[6]]),
+        (21, [own[7], own[8], own[7], own[9]]), (22, [own[8], own[7], own[9], "end"]),  # the partner has a line earlier too
+        (31, ["quite another first line of " + own[10], own[11]]), (31, [*block, "tail"]), (31, [*block, "tail"]), (32, ["quite another first line of " + own[10], "x"]),
+    ]
+    docs = spark.createDataFrame([(d, "\n".join(x), i) for i, (d, x) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    out = {r.row: r.text for r in line_dedup.line_dedup(docs).collect()}
+    text = lambda i: "\n".join(rows[i][1])
+    assert [out[i] == text(i) for i in (0, 1, 2, 4, 6, 8, 11)] == [True] * 7
+    assert out[3] == own[3] and out[5] == own[6] and out[7] == "end" and out[9] == out[10] == "tail"
+
+
+def test_line_dedup_of_texts_with_one_id(spark):
+    """Two texts of an id that share a block: one of them keeps it."""
+    rng = random.Random(18)
+    block, own = " ".join(words(rng, 30)), [" ".join(words(rng, 9)) for _ in range(2)]
+    out = line_dedup.line_dedup(spark.createDataFrame([(5, f"{o}\n{block}") for o in own], "doc_id long, text string")).collect()
+    assert sorted(block in r.text for r in out) == [False, True] and all(any(o in r.text for o in own) for r in out)
+
+
 def test_hot_line_grows_with_its_rows(spark):
     line = " ".join(f"w{i}" for i in range(55))
     docs = spark.range(3000).selectExpr("id AS doc_id", f"concat('own ', id, '\\n{line}') AS text")

@@ -5,6 +5,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialized
+
 MIN_WORDS = 20  # of an aligned block that is deleted
 
 
@@ -32,7 +34,8 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         here[x] = here.get(x, 0) + 1
         there[y] = there.get(y, 0) + 1
     fixed = increasing([(x, y) for x, y in pairs if here[x] == 1 and there[y] == 1])
-    out, rest = list(fixed), [p for p in pairs if p not in set(fixed)] if len(fixed) < len(pairs) else []
+    out, taken = list(fixed), set(fixed)
+    rest = [p for p in pairs if p not in taken]
     lows, highs = [(-1, -1), *fixed], [*fixed, (1 << 60, 1 << 60)]
     if rest:
         starts = [x for x, _ in highs]
@@ -103,15 +106,20 @@ def blocks_of(shared: list[tuple[int, int, int]], words: dict[int, int], least:
 
 
 def overlaps(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, blocks: array of (partner, first, last): lines of a document to delete because the
-    document partner, which has a smaller id, has them too.
+    """doc_id, part (xxhash64 of the text), blocks: array of (partner, first, last): lines of a document to
+    delete because an earlier document, partner, has them too. Documents are in the order of (doc_id, part).
+
+    Overlapping documents are found through what they share that is rare. A line alone can be frequent
+    ("read more"), so it is joined with its neighbours until the run has enough words: the shortest such
+    runs from each line on and up to each line, each as rare as the passage that it stands in. A run's
+    partner is the first document that has it, at its first place there. Document and partner are then
+    aligned by patience diff on all runs that they share.
 
-    What documents share is looked for by runs of lines, the shortest of enough words from each line on and
-    up to each line. A run's partner is the document with the smallest id that has it, at its first place
-    there. Every block of enough words that any earlier document has consists of such runs, wherever else
-    its lines stand, so none is lost; rows grow with the lines and not with pairs of documents, and the
-    first document keeps every run. Runs are compared by 128-bit hashes; frequent ones are summed in each
-    task before the exchange, and their join is split where skewed.
+    Every block of enough words that any earlier document has consists of such runs, wherever else its
+    lines stand, so none is lost; rows grow with the lines and not with pairs of documents, and the first
+    document keeps every run. Runs are compared by 128-bit hashes; frequent ones are summed in each task
+    before the exchange, and the join with their first places is between two plain exchanges, which adaptive
+    execution splits where one run has very many rows.
 
     Lines without words are not counted: they part no run, and go with a block that they are in."""
     import pyarrow as pa
@@ -121,7 +129,7 @@ def overlaps(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
         for batch in batches:
             of, hashes, first, infos = [], [], [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 if (text := text.as_py()) is None:
                     continue
                 lines = [(k, n, x) for k, x in enumerate(text.split(b"\n")) if (n := len(x.split()))]  # bytes.split() parts as WORD
@@ -131,50 +139,56 @@ def overlaps(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                     hashes.append(xxhash.xxh3_128_digest(b"\n".join([x for _, _, x in part])))
                     first.append(a)
                     infos.append([v for k, n, _ in part for v in (k, n)])
-            columns = [batch.column(0).take(pa.array(of, pa.int32())), pa.array(hashes, pa.binary()), pa.array(first, pa.int32()), pa.array(infos, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "line", "info"])
+            at = pa.array(of, pa.int32())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes, pa.binary()), pa.array(first, pa.int32()), pa.array(infos, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "h", "line", "info"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("part"), "text")
     # info: line of the text and words of each line of the run
-    lines = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, h binary, line int, info array<int>")
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max("doc_id").alias("last"))
-    first = first.filter("last > at.doc_id").select("h", F.col("at.doc_id").alias("partner"), F.col("at.line").alias("there"))
-    shared = lines.join(first, "h").filter("doc_id > partner")
-    listed = shared.groupBy("doc_id").agg(F.collect_list(F.struct("partner", "line", "there", "info")).alias("shared"))
+    lines = docs.mapInArrow(cut, "doc_id long, part long, h binary, line int, info array<int>")
+    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "part", "line")).alias("at"), F.max(F.struct("doc_id", "part")).alias("last"))
+    first = first.filter("last > named_struct('doc_id', at.doc_id, 'part', at.part)").select("h", F.col("at.doc_id").alias("partner"), F.col("at.part").alias("partner_part"), F.col("at.line").alias("there"))
+    first = materialized(first, "first-runs")
+    shared = lines.join(first, "h").filter("doc_id > partner OR (doc_id = partner AND part > partner_part)")
+    # rows that repeat an id and a text are one document: of its equal runs one is enough
+    listed = shared.groupBy("doc_id", "part").agg(F.collect_set(F.struct("partner", "partner_part", "line", "there", "info")).alias("shared"))
 
     def run(batches):
         for batch in batches:
-            ids, out = [], []
+            rows, out = [], []
             for i in range(batch.num_rows):
-                by: dict[int, list[tuple[int, int, int]]] = {}
+                by: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
                 words, at = {}, {}
-                for s in batch.column(1)[i].as_py():
+                for s in batch.column(2)[i].as_py():
                     a, info = s["line"], s["info"]
-                    by.setdefault(s["partner"], []).append((a, a + len(info) // 2 - 1, s["there"]))
+                    by.setdefault((s["partner"], s["partner_part"]), []).append((a, a + len(info) // 2 - 1, s["there"]))
                     at.update(enumerate(info[::2], a))
                     words.update(enumerate(info[1::2], a))
-                found = [{"partner": p, "first": at[a], "last": at[z]} for p, part in sorted(by.items()) for a, z in blocks_of(part, words, least)]
+                found = [{"partner": p, "first": at[a], "last": at[z]} for (p, _), part in sorted(by.items()) for a, z in blocks_of(part, words, least)]
                 if found:
-                    ids.append(i)
+                    rows.append(i)
                     out.append(found)
             blocks = pa.array(out, pa.list_(pa.struct([("partner", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), blocks], names=["doc_id", "blocks"])
+            take = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), blocks], names=["doc_id", "part", "blocks"])
 
-    return listed.select(F.col("doc_id").cast("long"), "shared").mapInArrow(run, "doc_id long, blocks array<struct<partner:long,first:int,last:int>>")
+    return listed.mapInArrow(run, "doc_id long, part long, blocks array<struct<partner:long,first:int,last:int>>")
 
 
 def line_dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with the blocks deleted from text, and blocks (empty where nothing was deleted). n_chars, if
     docs has it, is that of the new text where that changed.
 
-    Ids order documents. Rows without an id stay as they are and are nobody's partner; rows that repeat an
-    id have one text between them and are not each other's partners. Null texts stay null; lines without
-    words are never aligned, and go with a block around them. A text whose lines all go becomes empty. Texts are read whole; an empty table returns
-    none; a column of docs named blocks is replaced.
+    Ids order documents. Rows without an id stay as they are and are nobody's partner. Rows that repeat an
+    id and a text are one document, not each other's partners; other texts of an id are documents of their
+    own, in the order of their hashes. Null texts stay null; lines without words are never aligned, and go
+    with a block around them. A text whose lines all go becomes empty. Texts are read whole; an empty table
+    returns none; a column of docs named blocks is replaced.
 
     What is deleted is found on hashes of runs of lines; texts shuffle once, to meet it."""
-    found = overlaps(docs, least).withColumnsRenamed({"doc_id": "__id", "blocks": "__blocks"})
-    rows = docs.drop("blocks").join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    found = overlaps(docs, least).withColumnsRenamed({"doc_id": "__id", "part": "__part", "blocks": "__blocks"})
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__part"))
+    rows = docs.drop("blocks").join(found, same, "left").drop("__id", "__part")
     gone = F.array_distinct(F.flatten(F.transform("__blocks", lambda b: F.sequence(b["first"], b["last"]))))
     lines = F.split("text", "\n", -1)
     # one flag per line, so that each line is looked up once
