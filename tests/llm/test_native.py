@@ -1,6 +1,11 @@
 """Operators that SQL can express, on tables of odd rows: Spark against DuckDB."""
 import hashlib
 import itertools
+import math
+import random
+import re
+import time
+from collections import Counter
 
 import duckdb
 import pytest
@@ -13,6 +18,7 @@ TEXTS = [
     None, "", " ", "\n\n", "Straße ÉÀ Ünï", "STRASSE", "a b c", "A B C", "a b c", "x" * 200_000, "word " * 50_000, "\x0b\x0c\r\t mixed \x00 nul", "😀 emoji 😀",
     f"password = 'hunter2hunter2' and token: short {KEY}", f"{HEX} {HEX[:31]} API_KEY=abc.def-ghi/jk=", "😀secret=\"ABCDEFGH\" passwd:12345678", "password=token: abcdefghijk",
     "key Zx9Qw3Rt7Yu1Io5Pa8Sd2Fg6Hj4Kl0 end", "550e8400-e29b-41d4-a716-446655440000", "abcdefghijklmnopqrstuvwxyz0123456789", "2024-01-02-03-04-05-06-07-08-09", "Zx9Qw3Rt7Yu1Io5Pa8Sd2Fg6Hj4Kl0" * 3, "ſecret=abcdefghij tOKEN=abcdefghij",
+    "/example/v1/Zx9Qw3Rt7Yu1Io5Pa8Sd2Fg6Hj4Kl0", f"{HEX}/Zx9Qw3Rt7Yu1Io5Pa8Sd2Fg6Hj4Kl0 {HEX}-{HEX}", "abcdefghijKLMNOP012345678QRSTUV0123456789zyxwv", " ".join(f"k{i}Zx9Qw3Rt7Yu1Io5Pa8Sd2Fg6Hj4Kl0" for i in range(700)), "Zx9Qw3Rt7Yu1Io5Pa8Sd2Fg6Hj4Kl0Ab" * 40 + "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 9 + "Zx9Qw3Rt7Yu1Io5Pa8Sd2Fg6Hj4Kl0Ab" * 20,
 ]
 
 
@@ -122,6 +128,53 @@ def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     assert {(r.doc_id, r.keep_id, r.group_size) for r in out.collect()} == {(1, 3, 2), (3, 3, 2), (2, 2, 1)}
 
 
+def brute_runs(s):
+    """What hot windows of a candidate cover, each window's entropy computed anew."""
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "upper" if re.fullmatch("[0-9A-Z]+", s) else "mixed"
+    hot = set()
+    for k in range(len(s) - secrets.WINDOW + 1):
+        counts = Counter(s[k : k + secrets.WINDOW])
+        if -sum(c / 20 * math.log2(c / 20) for c in counts.values()) >= secrets.BITS[kind] - 1e-6:
+            hot.update(range(2 * k, 2 * (k + secrets.WINDOW) + 1))  # odd: between two characters
+    out = []
+    for i in sorted(hot):
+        if out and out[-1][1] == i - 1:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return [(a // 2, z // 2) for a, z in out]
+
+
+def test_entropy_of_planted_secrets(spark):
+    """Every planted key is found where it stands; spans are those of a window-by-window computation."""
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows, planted = [], {}
+    for i in range(120):
+        key = "".join(rng.choices(("0123456789ABCDEF", letters[:26] + letters[52:62], letters)[i % 3], k=rng.randint(24, 31) if i % 3 == 0 else rng.randint(24, 60))) + "7Q"[i % 3 == 2]
+        before = " ".join(rng.choice(("plain", "words", "é😀")) for _ in range(rng.randint(0, 30)))
+        glue = rng.choice((" ", " (", ": ", " /example/", ' "'))
+        rows.append((i, f"{before}{glue}{key} after it"))
+        planted[i] = (len(before) + len(glue), len(before) + len(glue) + len(key), key)
+    out = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "entropy"] for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(any(a < planted[i][1] and planted[i][0] < z for a, z in out[i]) for i in planted)
+    assert found >= 0.95 * len(planted)
+    for i, (at, _, key) in planted.items():
+        if "/example/" not in rows[i][1] and not re.search(secrets.PLACEHOLDER, key) and re.search("[0-9]", key):
+            assert out[i] == [(at + a, at + z) for a, z in brute_runs(key)], rows[i]
+
+
+def test_long_candidates_take_linear_time(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=300_000))
+    began = time.monotonic()
+    out = secrets.secret_scan(spark.createDataFrame([(1, text), (2, "g" * 50 + "1" + text[:5_000])], "doc_id long, text string")).collect()
+    took = time.monotonic() - began
+    spans = {r.doc_id: [(s.start, s.end) for s in r.found] for r in out}
+    assert spans[1] == brute_runs(text) and spans[2] == brute_runs("g" * 50 + "1" + text[:5_000])
+    assert took < 60
+
+
 def test_secret_spans(spark):
     docs = spark.createDataFrame([(1, TEXTS[13]), (2, TEXTS[17]), (3, TEXTS[18]), (4, TEXTS[16])], "doc_id long, text string")
     out = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secrets.secret_scan(docs).collect()}
