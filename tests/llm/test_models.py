@@ -1,11 +1,14 @@
 """Fitted models on held-out rows, and odd input."""
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewarp.llm import ordinal, quality, toxicity
 
+SF = "/root/testdata/sf0.1"
 ODD = [(None, None), (900001, None), (900002, ""), (900003, "x" * 300_000), (900004, "\n \t"), (900005, "vile nasty grubby " * 3), (900005, "vile nasty grubby " * 3)]
 
 
@@ -54,6 +57,33 @@ def test_toxicity_held_out(corpus):
     assert [r.toxic for r in odd if r.doc_id == 900005] == [True, True]
 
 
+def test_grades_come_from_the_other_half():
+    """What a row's words say is counted on the labels of the other half alone."""
+    rows = [np.array(x, dtype=np.int32) for x in ([1, 2, 9], [1, 9], [1, 2], [1, 9], [1, 2, 5], [9], [9, 8], [8])]
+    toxic, half = np.array([1, 1, 1, 1, 1, 0, 0, 0], dtype=bool), np.array([0, 0, 1, 1, 1, 0, 1, 1])
+    first = toxicity.graded(rows, toxic, half)
+    assert first[~toxic].tolist() == [0, 0, 0] and set(first[toxic]) <= {1, 2}
+    more = [r.copy() for r in rows]
+    more[4] = np.array([1, 2, 5, 6, 7], dtype=np.int32)  # words that only this row has say nothing of it
+    assert toxicity.graded(more, toxic, half).tolist() == first.tolist()
+    assert toxicity.graded(rows, np.zeros(8, dtype=bool), half).tolist() == [0] * 8
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
+def test_toxicity_held_out_on_the_tables(spark):
+    """Fitted on labels of even ids, scored on odd ones."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.toxicity(docs.select("doc_id", "text"), labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "truth"), "doc_id").groupBy("truth", "toxic").count().collect()
+    n = {(r.truth, r.toxic): r["count"] for r in out}
+    assert n[1, True] >= 0.9 * (n[1, True] + n[1, False]) and n.get((0, True), 0) <= 0.01 * n[0, False]
+
+
+def test_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, ordinal.labelled_sample(docs, labels, F.col("toxic"), 2, 5).collect())) == [(1, 1, "a"), (2, 0, None)]
+
+
 def test_quality_held_out(corpus):
     docs, labels, truth = corpus
     out = quality.quality(docs, labels).collect()

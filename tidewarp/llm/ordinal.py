@@ -11,14 +11,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, n_grades:
     """doc_id, text, grade: at most per_grade rows of each grade, those with the smallest hashes of
     their ids. labels is first made one row per id (the worst quality and the highest toxicity of
     contradicting ones); rows with nulls are left out. Its bounded rows are broadcast, so that no text
-    moves that the sample does not hold."""
+    moves that the sample does not hold. Of rows of docs that share an id the smallest text counts, so the
+    bound holds for rows too."""
     by_id = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     graded = by_id.select("doc_id", grade.cast("int").alias("grade"))
     picked = None
     for g in range(n_grades):
         part = graded.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -10,10 +10,10 @@ from . import ordinal
 PER_GRADE = 3_000  # labelled rows of each label that the model is fitted on, at most
 GRADES = 3  # none, some, much
 BITS = 20  # of the hashed features: words, and beginnings of words
-STARTS = (4, 5, 6)  # bytes of such a beginning
-MIN_RATIO = 10.0  # a word is a feature if so many times more of the toxic rows than of the others have it
-MIN_ROWS, MIN_SHARE = 3, 0.004  # ... and this many, or this share, of the toxic rows that fewer than COVER features explain
-COVER = 2
+STARTS = (4, 5, 6, 7, 8, 9)  # bytes of such a beginning
+MIN_EVIDENCE = 5.0  # a bucket is a feature from this log-likelihood ratio (G) between toxic and other rows on
+MIN_RATIO, MIN_ROWS = 3.0, 2  # ... if so many times more of the toxic rows have it, and this many at least
+L2 = 1e-4
 CUT = 0.5  # P(severity >= 1) from which a document is toxic
 #: ASCII punctuation and digits part words.
 PARTS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -56,69 +56,69 @@ def least_shingle(ids: np.ndarray) -> int:
     return int(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).min())
 
 
-def chosen_words(toxic: list[np.ndarray], p0: np.ndarray) -> np.ndarray:
-    """Buckets that mark toxic rows, greedily by the rows not yet explained. So a word that stands in
-    many copies of one toxic text, next to words that mark others too, is none. p0: how often other rows
-    have each bucket."""
-    left, out, n = list(toxic), [], len(toxic)
-    cover = [0] * n
-    least = max(MIN_ROWS, MIN_SHARE * n)
-    while left:
-        df = np.bincount(np.concatenate(left), minlength=len(p0)) if left else np.zeros(len(p0))
-        df[out] = 0
-        df[df < MIN_RATIO * n * p0] = 0
-        word = int(df.argmax())
-        if df[word] < least:
-            break
-        out.append(word)
-        still = []
-        for ids, c in zip(left, cover):
-            c += word in ids
-            if c < COVER:
-                still.append((ids, c))
-        left, cover = [x[0] for x in still], [x[1] for x in still]
-    return np.array(sorted(out), dtype=np.int64)
+def telling(n1: np.ndarray, rows1: int, n0: np.ndarray, rows0: int) -> np.ndarray:
+    """Buckets that toxic rows have more often than others do, by a log-likelihood ratio. n1, n0: how many of
+    the toxic and of the other rows have each bucket."""
+    expected = (n1 + n0) * rows1 / (rows1 + rows0)
+    part = lambda n, e: np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(e, 1e-9)), 0.0)
+    g = 2 * (part(n1, expected) + part(n0, n1 + n0 - expected))
+    return np.flatnonzero((g >= MIN_EVIDENCE) & (n1 >= MIN_ROWS) & (n1 / rows1 >= MIN_RATIO * (n0 + 0.5) / rows0))
+
+
+def graded(rows: list[np.ndarray], toxic: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """0 for rows that are not toxic; 1 or 2 for those that are, by how toxic the words are that they hold.
+    What a word says is counted on the labels of the other half of the rows (half: 0 or 1), as its log-odds
+    there, so no row grades itself; 2 from the median of the toxic rows on."""
+    much = np.zeros(len(rows))
+    count = lambda at: np.bincount(np.concatenate([rows[r] for r in at] or [np.zeros(0, np.int32)]), minlength=1 << BITS)
+    for h in (0, 1):
+        yes, no = np.flatnonzero((half != h) & toxic), np.flatnonzero((half != h) & ~toxic)
+        n1 = count(yes)
+        odds = np.log((n1 + 0.5) / (len(yes) + 1)) - np.log((count(no) + 0.5) / (len(no) + 1))
+        odds[(n1 < MIN_ROWS) | (odds < 1)] = 0
+        for r in np.flatnonzero((half == h) & toxic):
+            much[r] = odds[rows[r]].sum()
+    return np.where(toxic, np.where(much >= np.median(much[toxic]), 2, 1), 0) if toxic.any() else np.zeros(len(rows), dtype=np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_GRADE) -> dict:
     """The model, from at most per_label toxic and as many other labelled rows.
 
-    labels are 0 or 1; the severity of toxic rows is graded by how much of their words mark toxic rows
-    (the sum of the features): 1 below the median, 2 from it. Without toxic or without other rows nothing is toxic."""
+    Labels are 0 or 1, so the grades of toxic rows come from the labels of other rows: see graded(). The
+    features are the hashed words and beginnings of words that tell toxic from other rows; copies of a toxic
+    text count once for that. Their weights are shared by both thresholds. Without toxic or without other rows
+    nothing is toxic."""
     import pyarrow as pa
 
-    sample = ordinal.labelled_sample(docs, labels, F.col("toxic"), 2, per_label).select("grade", "text")
+    sample = ordinal.labelled_sample(docs, labels, F.col("toxic"), 2, per_label).select("grade", "text", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
 
     def run(batches):
         buckets = Buckets()
         for batch in batches:
             ids = [hashed(t.as_py() or b"", buckets) for t in batch.column(1).cast(pa.binary())]
             pairs = [np.unique(x, return_counts=True) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([least_shingle(x) for x in ids], pa.int64())], names=["grade", "ids", "n", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([least_shingle(x) for x in ids], pa.int64()), batch.column(2)], names=["grade", "ids", "n", "first", "half"])
 
-    got = sample.mapInArrow(run, "grade int, ids array<int>, n array<int>, first long").toArrow()
-    toxic = got.column("grade").to_numpy() == 1
+    got = sample.mapInArrow(run, "grade int, ids array<int>, n array<int>, first long, half int").toArrow()
+    toxic, half = got.column("grade").to_numpy() == 1, got.column("half").to_numpy()
     features = np.full(1 << BITS, -1, dtype=np.int32)
     none = {"features": features, "w": np.zeros(1), "theta": np.array([9.0, 10.0])}
     if not toxic.any() or toxic.all():
         return none
-    ids, counts = ([x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) else x for x in got.column(c)] for c in ("ids", "n"))
+    ids, counts = ([x.values.to_numpy(zero_copy_only=False) for x in got.column(c)] for c in ("ids", "n"))
     firsts = got.column("first").to_pylist()
     seen: set[int] = set()
     apart = [ids[r] for r in np.flatnonzero(toxic) if firsts[r] not in seen and not seen.add(firsts[r])]
-    n0 = int((~toxic).sum())
-    df0 = np.bincount(np.concatenate([x for x, y in zip(ids, toxic) if not y]), minlength=1 << BITS)
-    chosen = chosen_words([x for x in apart if len(x)], (df0 + 0.5) / n0)
+    n1, n0 = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (apart, [x for x, y in zip(ids, toxic) if not y]))
+    chosen = telling(n1, len(apart), n0, int((~toxic).sum()))
     if not len(chosen):
         return none
     features[chosen] = np.arange(len(chosen))
     rows = [(features[i][features[i] >= 0], np.log1p(c[features[i] >= 0])) for i, c in zip(ids, counts)]
-    much = np.array([r[1].sum() for r in rows])
-    grades = np.where(toxic, np.where(much >= np.median(much[toxic]), 2, 1), 0)
     flat, starts = ordinal.csr([r[0] for r in rows])
     shares = dict(labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("toxic").count().collect())
     balance = {0: shares.get(0, 1), 1: shares.get(1, 1) / 2, 2: shares.get(1, 1) / 2}  # as in all labels
-    w, theta = ordinal.fit(flat.astype(np.int64), ordinal.csr([r[1] for r in rows])[0], starts, grades, len(chosen), GRADES, balance, l2=1e-5)
+    w, theta = ordinal.fit(flat.astype(np.int64), ordinal.csr([r[1] for r in rows])[0], starts, graded(ids, toxic, half), len(chosen), GRADES, balance, l2=L2)
     return {"features": features, "w": w, "theta": theta}
 
 
