@@ -72,14 +72,69 @@ def test_url_verdicts(spark):
     assert out["http://com/en/"][2] == "com/en/" and out["http://notcom/en/"][2:] == (None, "allow")
 
 
-def test_templates_generalise_merge_and_reject(spark):
-    """Blocked ids below /en/ (case-insensitive host, exact path): a sibling with like labels merges."""
-    rules = (("block", "site.org/a/1"), ("block", "site.org/b/1"), ("allow", "site.org/c/1"))
-    urls = [(f"http://site.org/{c}/{n}{i}",) for c in "abc" for n in (1, 2) for i in range(20)]
+def brute_templates(urls, rules, depth):
+    """(template, rejected) of each (host, path), by recursion over the whole tree of each host."""
+    u = url_filters
+    by_rule = lambda h, p: next((v for v, r in sorted(rules, key=lambda r: -len(r[1])) if (h == r.split("/", 1)[0] or h.endswith("." + r.split("/", 1)[0])) and p.startswith("/" + r.split("/", 1)[1])), None)
+    rows = [(h, p, by_rule(h, p)) for h, p in urls]
+    count = lambda part: (sum(r[2] is not None for r in part), sum(r[2] == "block" for r in part))
+    labelled, blocked = count(rows)
+    out = {}
+
+    def down(part, template, above, level, support):
+        l_, b = count(part)
+        purity = (b + u.PRIOR_ROWS * above) / (l_ + u.PRIOR_ROWS)
+        groups = {}
+        for r in part:
+            parts = r[1].removeprefix("/").split("/")
+            if level < len(parts) and level <= depth:
+                groups.setdefault(parts[level] if level < depth else "**", []).append(r)
+            else:
+                out[r[:2]] = (template, purity >= u.PURITY and support >= u.MIN_LABELS)
+        sure = [count(g) for g in groups.values() if count(g)[0] >= u.MIN_LABELS]
+        pool = sum(x[1] for x in sure) / sum(x[0] for x in sure) if sure else 0
+        variable = len(groups) >= u.MIN_CHILDREN and sum(map(len, groups.values())) <= len(groups) * u.MAX_REPEAT
+        named = {}
+        for s, g in groups.items():
+            n, k = count(g)
+            close = n >= u.MIN_LABELS and len(sure) > 1 and (k / n - pool) ** 2 * n <= u.MERGE_Z**2 * pool * (1 - pool)
+            named.setdefault("*" if variable and s else "{*}" if close else s, []).extend(g)
+        for name, g in named.items():
+            down(g, f"{template}/{name}", purity, level + 1, support)
+
+    for h in {r[0] for r in rows}:
+        part = [r for r in rows if r[0] == h]
+        down(part, "", blocked / labelled if labelled else 0.0, 0, count(part)[0])
+    return out, rows
+
+
+@pytest.mark.parametrize("depth", [1, 3])
+def test_templates_against_brute_force(spark, depth):
+    """Random trees of several levels: templates, rejections and verdicts."""
+    rng = random.Random(depth)
+    rules = (("block", "com/a/"), ("allow", "com/a/x/"), ("block", "h1.com/b/1"), ("allow", "h2.com/c"), ("block", "h2.com/b"), ("block", "h3.com/"))
+    urls = [(rng.choice(("h1.com", "h2.com", "www.h1.com", "h3.com", "h4.org", "")), "/" + "/".join(rng.choice(("a", "b", "c", "x", "y", "", str(rng.randint(1, 40)))) for _ in range(rng.randint(0, 5)))) for _ in range(900)]
+    urls = [(h, p if h else "") for h, p in urls]
+    want, rows = brute_templates(urls, rules, depth)
+    frame = spark.createDataFrame([(f"http://{h}{p}" if h else None,) for h, p in urls], "url string").repartition(3)
+    out = url_filters.url_filter(frame, rules=rules, depth=depth).collect()
+    assert len(out) == len(urls)
+    assert {(r.host, r.path): (r.template, r.rejected) for r in out} == want
+    verdict = {r[:2]: r[2] or ("block" if want[r[:2]][1] else "allow") for r in rows}
+    assert all(r.verdict == verdict[r.host, r.path] for r in out)
+    assert any(r.rule is None and r.verdict == "block" for r in out) and any(r.rule is None and r.verdict == "allow" for r in out)
+
+
+def test_templates_generalise_merge_and_judge_siblings(spark):
+    rules = (("block", "site.org/a/1"), ("block", "site.org/b/1"), ("allow", "good.org/c/1"), ("block", "few.org/a/"))
+    urls = [(f"http://{h}/{c}/{n}{i}",) for h, cs in (("site.org", "abd"), ("good.org", "cd")) for c in cs for n in (1, 2) for i in range(20)]
+    urls += [("http://few.org/a/1",), ("http://few.org/d/1",)]
     out = url_filters.url_filter(spark.createDataFrame(urls, "url string"), rules=rules).collect()
-    verdict = {c: {r.verdict for r in out if r.path.startswith(f"/{c}/2")} for c in "abc"}
-    assert verdict == {"a": {"block"}, "b": {"block"}, "c": {"allow"}}
-    assert {r.template for r in out if r.path.startswith("/c/")} == {"/c/*"}
+    verdict = lambda host, start: {r.verdict for r in out if r.host == host and r.path.startswith(start)}
+    assert verdict("site.org", "/a/2") == verdict("site.org", "/b/2") == {"block"}
+    assert verdict("site.org", "/d/") == {"block"}  # without labels of its own: judged by its siblings
+    assert verdict("good.org", "/c/2") == verdict("good.org", "/d/") == verdict("few.org", "/d/") == {"allow"}
+    assert {r.template for r in out if r.host == "site.org"} == {"/{*}/*", "/d/*"} and {r.template for r in out if r.path.startswith("/c/")} == {"/c/*"}
 
 
 def test_mix_meets_targets(spark):

@@ -8,12 +8,12 @@ from .common import UPPER, broadcast_if_small, materialized
 
 #: (verdict, host and path prefix).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-DEPTH = 3  # segments with a node of their own; the rest of a path is one node below them
+DEPTH = 3  # segments that the tree tells apart; what is deeper is one wildcard, **
 MIN_CHILDREN = 8  # children from which a node's segments can be variable
 MAX_REPEAT = 4.0  # ... if a child has at most so many rows on average
 MERGE_Z = 1.96  # siblings whose block rates differ by less than so many standard errors merge
-MIN_LABELS = 5  # labelled rows from which a branch has a rate to compare, and a template can be rejected
-PRIOR_ROWS = 4.0  # weight of the overall block rate in a template's purity
+MIN_LABELS = 5  # labelled rows from which a branch has a rate to compare, and a host's templates can be rejected
+PRIOR_ROWS = 4.0  # rows as which a node's purity counts that of the node above
 PURITY = 0.8  # smoothed purity from which a template is rejected
 
 
@@ -36,67 +36,68 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     return rule, verdict
 
 
-def templates(paths: DataFrame) -> DataFrame:
-    """The path-template tree. paths: host, path, n, labelled, blocked (one row per host and path).
-    Adds g1..gDEPTH (segment, or * where the node's children are variable) and tail (** or empty).
-
-    Level by level: the children of a node (host and generalised segments so far) are variable if
-    there are MIN_CHILDREN or more and each has MAX_REPEAT rows or fewer on average."""
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    tree = paths.withColumn("parts", parts)
-    node = ["host"]
-    for level in range(1, DEPTH + 1):
-        tree = tree.withColumn("s", F.coalesce(F.get("parts", F.lit(level - 1)), F.lit("")))
-        children = tree.groupBy(*node, "s").agg(F.sum("n").alias("rows"))
-        stats = children.groupBy(*node).agg(((F.count("*") >= MIN_CHILDREN) & (F.sum("rows") <= F.count("*") * MAX_REPEAT)).alias("variable"))
-        tree = tree.join(stats, node).withColumn(f"g{level}", F.when(F.col("variable") & (F.col("s") != ""), "*").otherwise(F.col("s"))).drop("s", "variable")
-        node = [*node, f"g{level}"]
-    return tree.withColumn("tail", F.when(F.size("parts") > DEPTH, "**").otherwise("")).drop("parts")
-
-
-def judged_templates(tree: DataFrame) -> DataFrame:
-    """One row per template with merged (its first segment, or {*} if the branch merged with its
-    siblings) and rejected.
-
-    Siblings are the branches of a host that differ in the first segment and agree in what follows.
-    A branch with MIN_LABELS labelled rows merges if its block rate is within MERGE_Z standard errors
-    of that of all such siblings together; others stay apart. A template is rejected if
-    (blocked + PRIOR_ROWS * overall rate) / (labelled + PRIOR_ROWS) reaches PURITY on MIN_LABELS rows."""
-    shape = ["host", *(f"g{k}" for k in range(2, DEPTH + 1)), "tail"]
-    leaf = tree.groupBy("host", *(f"g{k}" for k in range(1, DEPTH + 1)), "tail").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    enough = F.col("labelled") >= MIN_LABELS
-    pool = leaf.filter(enough).groupBy(*shape).agg(F.sum("labelled").alias("pool_n"), F.sum("blocked").alias("pool_b"), F.count("*").alias("siblings"))
-    rate, p = F.try_divide("blocked", "labelled"), F.try_divide("pool_b", "pool_n")
-    close = (rate - p) * (rate - p) * F.col("labelled") <= MERGE_Z * MERGE_Z * p * (1.0 - p)
-    leaf = leaf.join(pool, shape, "left").withColumn("merged", F.when(enough & (F.col("siblings") > 1) & close, "{*}").otherwise(F.col("g1")))
-    one = leaf.groupBy("merged", *shape).agg(F.sum("labelled").alias("m_n"), F.sum("blocked").alias("m_b"))
-    overall = tree.agg(F.sum("labelled").alias("all_n"), F.sum("blocked").alias("all_b"))
-    prior = F.coalesce(F.try_divide("all_b", "all_n"), F.lit(0.0))
-    one = one.crossJoin(F.broadcast(overall)).withColumn("rejected", (F.col("m_n") >= MIN_LABELS) & ((F.col("m_b") + PRIOR_ROWS * prior) / (F.col("m_n") + PRIOR_ROWS) >= PURITY))
-    keys = [*shape, "merged"]
-    return leaf.select(*shape, "g1", "merged").join(one.select(*keys, "rejected"), keys)
-
-
-def url_filter(urls: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The path-template tree. paths: host, path, labelled, blocked, n (one row per host and path). Adds
+    template, purity and support (labelled rows of the host).
+
+    From the host down, at every level: the segments below a node are variable if they are MIN_CHILDREN or
+    more with MAX_REPEAT rows or fewer on average, and become one branch, *. Otherwise those branches with
+    MIN_LABELS labelled rows whose block rate is within MERGE_Z standard errors of that of all such siblings
+    together merge to {*}; the others stay apart. Below depth all segments are one branch, **.
+
+    A node's purity is (blocked + PRIOR_ROWS * purity above) / (labelled + PRIOR_ROWS), and above the hosts it
+    is the rate of all labelled rows. So a branch without labels is judged by its siblings, through
+    the node above.
+
+    Each level sums the children first (in each task, then by node and segment), and joins what they became
+    to the paths: a broadcast if that is small, else a join that is split where one branch is hot."""
+    labelled, blocked = paths.agg(F.sum("labelled"), F.sum("blocked")).first()
+    overall = blocked / labelled if labelled else 0.0
+    purity = lambda above: (F.sum("b") + PRIOR_ROWS * above) / (F.sum("l") + PRIOR_ROWS)
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).groupBy("h").agg(purity(F.lit(overall)).alias("purity"), F.sum("l").alias("support"))
+    hosts = materialized(hosts, "url-hosts")
+    tree = paths.join(broadcast_if_small(hosts, 50_000), F.col("host") == F.col("h")).withColumns({"parts": F.split(F.regexp_replace("path", "^/", ""), "/"), "node": F.col("host")}).drop("h")
+    for level in range(1, depth + 2):
+        segment = F.get("parts", F.lit(level - 1)) if level <= depth else F.when(F.size("parts") > depth, "**")
+        tree = tree.withColumn("s", segment)  # null where the path has ended: such rows stay at their node
+        children = tree.filter("s IS NOT NULL").groupBy(F.col("node").alias("at"), F.col("purity").alias("above"), F.col("s").alias("child")).agg(F.sum("n").alias("rows"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+        children = materialized(children, "url-children")
+        enough = F.col("l") >= MIN_LABELS
+        stats = children.groupBy("at").agg(
+            ((F.count("*") >= MIN_CHILDREN) & (F.sum("rows") <= F.count("*") * MAX_REPEAT)).alias("variable"),
+            F.sum(F.when(enough, F.col("l"))).alias("pool_l"), F.sum(F.when(enough, F.col("b"))).alias("pool_b"), F.count(F.when(enough, 1)).alias("siblings"),
+        )
+        rate, p = F.try_divide("b", "l"), F.try_divide("pool_b", "pool_l")
+        close = (rate - p) * (rate - p) * F.col("l") <= MERGE_Z * MERGE_Z * p * (1.0 - p)
+        name = F.when(F.col("variable") & (F.col("child") != ""), "*").when(enough & (F.col("siblings") > 1) & close, "{*}").otherwise(F.col("child"))
+        stats = materialized(stats, "url-stats")
+        named = materialized(children.join(broadcast_if_small(stats, 50_000), "at").withColumn("name", name).select("at", "above", "child", "name", "l", "b"), "url-names")
+        nodes = materialized(named.groupBy("at", "above", "name").agg(purity(F.col("above")).alias("own")).drop("above"), "url-nodes")
+        became = materialized(named.select("at", "child", "name").join(broadcast_if_small(nodes, 50_000), ["at", "name"]), "url-became")
+        tree = tree.join(broadcast_if_small(became, 50_000), (F.col("node") == F.col("at")) & (F.col("s") == F.col("child")), "left")
+        tree = tree.withColumns({"node": F.when(F.col("own").isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", "name")), "purity": F.coalesce("own", "purity")}).drop("s", "at", "child", "name", "own")
+    return tree.withColumn("template", F.substr("node", F.char_length("host") + 1)).drop("node", "parts")
+
+
+def url_filter(urls: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, depth: int = DEPTH) -> DataFrame:
     """Adds host, path, rule, verdict (allow or block), template and rejected to every row of urls.
 
-    Labels are the verdicts of the rules: a template of a host is learnt from the urls that a rule
-    judges, and judges those of its urls that no rule fits. Null urls and urls without :// have an
-    empty host and path, fit no rule and are judged like any other. Repeated rows each count and each
+    Labels are the verdicts of the rules: the templates of a host are learnt from the urls that a rule
+    judges, and judge those that no rule fits. A template is rejected if its purity reaches PURITY and its
+    host has MIN_LABELS labelled rows: no host is judged by others alone. Null urls and urls without :// have
+    an empty host and path, fit no rule and are judged like any other. Repeated rows each count and each
     return; an empty table returns no rows. Columns of urls with the names added are replaced.
 
-    Only counts per host and path are shuffled. A hot host's rows are partly summed before each
-    exchange, and its join with the templates is a broadcast or an adaptively split skew join."""
+    Only counts per host and path are shuffled. A hot host's rows are summed in each task before every
+    exchange, and what its branches became is broadcast or joined with skew split."""
     host, path = host_and_path(F.col(url))
     rows = urls.withColumns({"__host": host, "__path": path})
     rule, verdict = rule_for(F.col("__host"), F.col("__path"), rules)
     rows = rows.withColumns({"__rule": rule, "__by_rule": verdict})
     paths = rows.groupBy(F.col("__host").alias("host"), F.col("__path").alias("path")).agg(F.count("*").alias("n"), F.count("__by_rule").alias("labelled"), F.count(F.when(F.col("__by_rule") == "block", 1)).alias("blocked"))
-    tree = materialized(templates(paths), "url-tree")
-    keys = ["host", *(f"g{k}" for k in range(1, DEPTH + 1)), "tail"]
-    judged = tree.join(judged_templates(tree), keys)
-    shown = F.concat_ws("/", F.lit(""), "merged", *(F.when(F.col(f"g{k}") != "", F.col(f"g{k}")) for k in range(2, DEPTH + 1)), F.when(F.col("tail") != "", F.col("tail")))
-    judged = materialized(judged.select(F.col("host").alias("__host"), F.col("path").alias("__path"), shown.alias("__template"), F.col("rejected").alias("__rejected")), "url-templates")
+    tree = templates(materialized(paths, "url-paths"), depth)
+    rejected = (F.col("purity") >= PURITY) & (F.col("support") >= MIN_LABELS)
+    judged = materialized(tree.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("template").alias("__template"), rejected.alias("__rejected")), "url-templates")
     out = rows.join(broadcast_if_small(judged, 50_000), ["__host", "__path"])
     clean = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "template", "rejected")]
     return out.select(
@@ -112,25 +113,25 @@ def oracle() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[1]))
     fits = lambda text: f"(host = '{text.partition('/')[0]}' OR suffix(host, '.{text.partition('/')[0]}')) AND prefix(path, '/{text.partition('/')[2]}')"
     case = lambda k: "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[k]}'" for r in ordered) + " END"
-    levels, node, last = "", "host", "p0"
-    for k in range(1, DEPTH + 1):
-        on = " AND ".join(f"t.{c} = v.{c}" for c in node.split(", "))
-        levels += f""", s{k} AS (SELECT *, coalesce(parts[{k}], '') AS s FROM {last}),
-v{k} AS (SELECT {node}, count(*) >= {MIN_CHILDREN} AND sum(c) <= count(*) * {MAX_REPEAT} AS variable FROM (SELECT {node}, s, sum(n) AS c FROM s{k} GROUP BY {node}, s) GROUP BY {node}),
-p{k} AS (SELECT t.* EXCLUDE (s), CASE WHEN variable AND s <> '' THEN '*' ELSE s END AS g{k} FROM s{k} t JOIN v{k} v ON {on})"""
-        node, last = f"{node}, g{k}", f"p{k}"
-    shape = ", ".join(["host", *(f"g{k}" for k in range(2, DEPTH + 1)), "tail"])
+    smooth = lambda above: f"(sum(b) + {PRIOR_ROWS} * {above}) / (sum(l) + {PRIOR_ROWS})"
+    levels = ""
+    for k in range(1, DEPTH + 2):
+        segment = f"parts[{k}]" if k <= DEPTH else f"CASE WHEN len(parts) > {DEPTH} THEN '**' END"
+        levels += f""", s{k} AS (SELECT *, {segment} AS s FROM t{k - 1}),
+c{k} AS (SELECT node, purity, s, sum(n) AS c, sum(labelled) AS l, sum(blocked) AS b FROM s{k} WHERE s IS NOT NULL GROUP BY node, purity, s),
+v{k} AS (SELECT node, count(*) >= {MIN_CHILDREN} AND sum(c) <= count(*) * {MAX_REPEAT} AS variable, sum(l) FILTER (l >= {MIN_LABELS}) AS pl, sum(b) FILTER (l >= {MIN_LABELS}) AS pb, count(*) FILTER (l >= {MIN_LABELS}) AS siblings FROM c{k} GROUP BY node),
+m{k} AS (SELECT c.*, CASE WHEN variable AND s <> '' THEN '*' WHEN l >= {MIN_LABELS} AND siblings > 1 AND (b / l - pb / pl) * (b / l - pb / pl) * l <= {MERGE_Z * MERGE_Z} * (pb / pl) * (1.0 - pb / pl) THEN '{{*}}' ELSE s END AS name FROM c{k} c JOIN v{k} USING (node)),
+n{k} AS (SELECT node, name, {smooth("any_value(purity)")} AS own FROM m{k} GROUP BY node, name),
+t{k} AS (SELECT s.* EXCLUDE (s, node, purity), CASE WHEN own IS NULL THEN s.node ELSE concat(s.node, '/', m.name) END AS node, coalesce(own, s.purity) AS purity
+  FROM s{k} s LEFT JOIN m{k} m ON s.node = m.node AND s.s = m.s LEFT JOIN n{k} o ON m.node = o.node AND m.name = o.name)"""
     return f"""WITH r AS (SELECT page_id, {rest} AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r),
 u AS (SELECT page_id, translate(raw, '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 j AS (SELECT *, {case(1)} AS rule, {case(0)} AS by_rule FROM u),
-p0 AS (SELECT host, path, string_split(regexp_replace(path, '^/', ''), '/') AS parts, count(*) AS n, count(by_rule) AS labelled, count(*) FILTER (by_rule = 'block') AS blocked FROM j GROUP BY host, path){levels},
-tree AS (SELECT *, CASE WHEN len(parts) > {DEPTH} THEN '**' ELSE '' END AS tail FROM {last}),
-leaf AS (SELECT {shape}, g1, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tree GROUP BY {shape}, g1),
-pool AS (SELECT {shape}, sum(labelled) AS pn, sum(blocked) AS pb, count(*) AS siblings FROM leaf WHERE labelled >= {MIN_LABELS} GROUP BY {shape}),
-m AS (SELECT leaf.*, CASE WHEN labelled >= {MIN_LABELS} AND siblings > 1 AND (blocked / labelled - pb / pn) * (blocked / labelled - pb / pn) * labelled <= {MERGE_Z * MERGE_Z} * (pb / pn) * (1.0 - pb / pn) THEN '{{*}}' ELSE g1 END AS merged FROM leaf LEFT JOIN pool USING ({shape})),
-one AS (SELECT {shape}, merged, sum(labelled) AS mn, sum(blocked) AS mb FROM m GROUP BY {shape}, merged),
-prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0 END AS p FROM tree),
-judged AS (SELECT m.*, mn >= {MIN_LABELS} AND (mb + {PRIOR_ROWS} * p) / (mn + {PRIOR_ROWS}) >= {PURITY} AS rejected FROM m JOIN one USING ({shape}, merged), prior)
+p0 AS (SELECT host, path, string_split(regexp_replace(path, '^/', ''), '/') AS parts, count(*) AS n, count(by_rule) AS labelled, count(*) FILTER (by_rule = 'block') AS blocked FROM j GROUP BY host, path),
+overall AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0 END AS p FROM p0),
+hosts AS (SELECT host, {smooth("any_value(p)")} AS purity, sum(l) AS support FROM (SELECT host, labelled AS l, blocked AS b FROM p0), overall GROUP BY host),
+t0 AS (SELECT p0.*, purity, support, host AS node FROM p0 JOIN hosts USING (host)){levels},
+judged AS (SELECT host, path, purity >= {PURITY} AND support >= {MIN_LABELS} AS rejected FROM t{DEPTH + 1})
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
-FROM j JOIN tree USING (host, path) JOIN judged USING ({shape}, g1)"""
+FROM j JOIN judged USING (host, path)"""
