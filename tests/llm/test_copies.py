@@ -319,6 +319,31 @@ def test_leaks_of_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in out.collect()} == {(k, k) for k, _ in items}
 
 
+@pytest.mark.parametrize("n,lengths", [(40, [50, 300, 1000]), (600, [50, 200]), (2400, [50])])
+def test_leaks_against_common_subsequences(spark, n, lengths):
+    """Of the items that stand in a document in common order, verbatim or with one word in five replaced,
+    nearly all are found, however many and however long they are."""
+    rng = random.Random(n)
+    vocabulary = words(rng, 20_000)
+    say = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    items = [(k, " ".join(say(rng.choice(lengths)))) for k in range(n)]
+    docs, truth = [], {}
+    for d in range(80):
+        truth[d] = rng.randrange(n)
+        part = [w if d % 2 == 0 or rng.random() < 0.8 else rng.choice(vocabulary) for w in items[truth[d]][1].split()]
+        docs.append((d, " ".join(say(rng.randint(20, 300)) + part + say(rng.randint(20, 300)))))
+    docs += [(d, " ".join(say(300))) for d in range(100, 160)]
+    out = decontamination.benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in out.collect()}
+    number: dict[bytes, int] = {}
+    ids = lambda text: [number.setdefault(w, len(number)) for w in decontamination.terms(text.encode())]
+    leaks = [d for d, k in truth.items() if decontamination.common(ids(items[k][1]), ids(docs[d][1])) >= decontamination.LEAK * len(items[k][1].split())]
+    for odd in (0, 1):
+        part = [d for d in leaks if d % 2 == odd]
+        assert len(part) >= 30 and sum((d, truth[d]) in found for d in part) >= 0.9 * len(part)
+    assert all(truth.get(d) == k for d, k in found)
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(50):
