@@ -1,8 +1,10 @@
 import os
 import sys
 
-import pytest
-from pyspark.sql import SparkSession
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # tasks run side by side, so numpy does not thread as well
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
