@@ -87,6 +87,30 @@ def test_tree_and_shards_lose_no_pair(radius):
     assert len(np.unique(shard)) > 4 and links.parent.tolist() == want
 
 
+def test_near_points_cost_no_pairs(monkeypatch):
+    """Points around few centres: exact, and compared about as often as there are points, not pairs."""
+    rng = np.random.default_rng(5)
+    bits = lambda n, at_most: np.packbits(np.arange(256)[None, :] < 0, axis=1).repeat(n, 0) if not at_most else np.packbits(rng.permuted(np.arange(256)[None, :].repeat(n, 0), axis=1) < rng.integers(0, at_most + 1, n)[:, None], axis=1)
+    centres = rng.integers(0, 1 << 63, (3, 4), dtype=np.uint64)
+    points = np.concatenate([c[None, :] ^ bits(400, 40).view(np.uint64) for c in centres])
+    want = []
+    for i in range(len(points)):  # classes by brute force
+        want.append(np.flatnonzero(vantage.hamming(points, points[i]) <= 50))
+    parent = list(range(len(points)))
+    changed = True
+    while changed:
+        changed = False
+        for i, near in enumerate(want):
+            low = min(parent[k] for k in near)
+            for k in near:
+                changed |= parent[k] != low and parent.__setitem__(k, low) is None
+    compared = [0]
+    honest = vantage.hamming
+    monkeypatch.setattr(vantage, "hamming", lambda a, b: compared.__setitem__(0, compared[0] + int(np.prod(np.broadcast_shapes(a.shape, b.shape)[:-1]))) or honest(a, b))
+    assert vantage.link_all(points, 50).tolist() == parent
+    assert compared[0] < 0.2 * len(points) ** 2
+
+
 def test_near_copies_recall(spark):
     """Pairs of a similarity of 0.8 or more are linked, unrelated documents are not."""
     rng = random.Random(4)

@@ -21,6 +21,8 @@ class Links:
             a, b = p[a], p[b]
             differ = a != b
             a, b = a[differ], b[differ]
+            if not len(a):
+                return
             low = np.minimum(a, b)
             np.minimum.at(p, a, low)
             np.minimum.at(p, b, low)
@@ -38,29 +40,45 @@ def _compare(points: np.ndarray, members: np.ndarray, queries: np.ndarray, radiu
 
 
 def link_all(points: np.ndarray, radius: int, links: Links | None = None) -> np.ndarray:
-    """The class (smallest index in it) of each point, where points within radius are linked. Exact: a
-    subtree is skipped only if the triangle inequality keeps all of it beyond radius."""
+    """The class (smallest index in it) of each point, where points within radius are linked. Exact: pairs
+    are skipped only if the triangle inequality keeps them beyond radius, or if they are in one class
+    already.
+
+    What lies within radius of a vantage point is one class with it and is not compared inside. So a group
+    of near copies costs a few passes over its points and not one over its pairs."""
     links = links or Links(len(points))
     stack = [(np.arange(len(points)), np.arange(len(points)))]
+
+    def halves(members: np.ndarray, d: np.ndarray, queries: np.ndarray, q: np.ndarray) -> None:
+        """Two subtrees by the distances d and q to a vantage point, with the queries that reach each."""
+        if not len(members):
+            return
+        cut = int(np.median(d))
+        if not (d > cut).any():
+            cut = int(d.max()) - 1
+        if not (d <= cut).any():  # all at one distance
+            _compare(points, members, queries[np.abs(q - d[0]) <= radius], radius, links)
+            return
+        for part, ask in ((members[d <= cut], queries[q <= cut + radius]), (members[d > cut], queries[q > cut - radius])):
+            if len(ask):
+                stack.append((part, ask))
+
     while stack:
         members, queries = stack.pop()
+        top = links.parent[members]
+        if (top == top[0]).all():
+            queries = queries[links.parent[queries] != top[0]]
         if len(members) <= LEAF or len(members) * len(queries) <= LEAF * LEAF:
             _compare(points, members, queries, radius, links)
             continue
-        vantage = points[members[len(members) // 2]]
-        d = hamming(points[members], vantage)
-        cut = int(np.median(d))
-        inner, outer = members[d <= cut], members[d > cut]
-        if not len(outer):
-            cut = int(d.max()) - 1
-            inner, outer = members[d <= cut], members[d > cut]
-        if not len(inner) or not len(outer):  # all at one distance
-            _compare(points, members, queries, radius, links)
-            continue
-        d = hamming(points[queries], vantage)
-        for part, ask in ((inner, queries[d <= cut + radius]), (outer, queries[d > cut - radius])):
-            if len(ask):
-                stack.append((part, ask))
+        at = members[len(members) // 2]
+        d, q = hamming(points[members], points[at]), hamming(points[queries], points[at])
+        near = d <= radius
+        for linked in (members[near], queries[q <= radius]):
+            links.add(linked, np.full(len(linked), at))
+        between = (q > radius) & (q <= 2 * radius)  # of what is near, only they can reach it
+        halves(members[near], d[near], queries[between], q[between])
+        halves(members[~near], d[~near], queries, q)  # taken from the stack first
     return links.parent
 
 
