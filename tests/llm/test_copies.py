@@ -1,5 +1,6 @@
 """Near copies, repeated lines, leaks and tokens against brute force."""
 import random
+import re
 
 import numpy as np
 import pytest
@@ -387,6 +388,61 @@ def test_allocation():
     assert token_counts.allocate(np.array([0]), np.array([0, 0]), "first").tolist() == [0]
 
 
+def brute_allocation(lengths, spans, rule):
+    """Token by token and byte by byte."""
+    out, at = [0] * (len(spans) - 1), 0
+    owner = [next(k for k in range(len(spans) - 1) if spans[k] <= i < spans[k + 1]) for i in range(spans[-1])]
+    for n in lengths:
+        mine = owner[at : at + n]
+        out[mine[0] if rule == "first" else mine[-1] if rule == "last" else max(sorted(set(mine)), key=mine.count)] += 1
+        at += n
+    return out
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+@pytest.mark.parametrize("sections", ["lines", "paragraphs", ["title", "text", "title"]])
+def test_sections_against_brute_force(spark, rule, sections):
+    import base64
+
+    import tiktoken
+
+    with open(token_counts.VOCABULARY, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=table, special_tokens={})
+    rng = random.Random(21)
+    pieces = ["one", " two", "\n", "\n\n", " \n\n\n", "\r\n", "Ünï", "😀😀", "   ", "end.", "\t"]
+    say = lambda: rng.choice([None, "".join(rng.choices(pieces, k=rng.randint(0, 40)))])
+    rows = [(i, say(), say()) for i in range(60)]
+    out = {}
+    for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, title string, text string"), rule=rule, sections=sections).collect():
+        out.setdefault(r.doc_id, []).append(r)
+    for i, title, text in rows:
+        if isinstance(sections, str):
+            whole = text or ""
+            parts = re.split(r"(?<=\n)", whole) if sections == "lines" else paragraphs(whole)
+            parts = [x for x in parts if x] or [""]
+        else:
+            parts = [f"{title or ''}\n", f"{text or ''}\n", title or ""]
+            whole = "".join(parts)
+        spans = np.cumsum([0] + [len(p.encode()) for p in parts]).tolist()
+        mine = sorted(out[i], key=lambda r: r.section)
+        assert [whole[r.char_start : r.char_end] for r in mine] == parts
+        assert [r.tokens for r in mine] == brute_allocation([len(enc.decode_single_token_bytes(t)) for t in enc.encode_ordinary(whole)], spans, rule)
+
+
+def paragraphs(text):
+    """Lines, joined up to the end of each run of lines that are blank but for the first."""
+    out, now, blank = [], "", False
+    for line in text.split("\n")[:-1]:
+        if blank and line.strip(" \t\r\x0b\x0c"):
+            out.append(now)
+            now, blank = "", False
+        blank = blank or (now != "" and not line.strip(" \t\r\x0b\x0c"))
+        now += line + "\n"
+    last = text.split("\n")[-1]
+    return [*out, now, last] if blank else [*out, now + last]
+
+
 TEXTS = [None, "", "\n", "one line", "two\nlines\n", "\n\nÜber 😀 naïve\r\ntabs\tand <|endoftext|>\n last", "x" * 50_000, "a\n" * 5_000]
 
 
@@ -411,3 +467,5 @@ def test_token_counts(spark, rule):
     assert token_counts.token_counts(rows.limit(0)).collect() == []
     with pytest.raises(ValueError):
         token_counts.token_counts(rows, rule="any")
+    with pytest.raises(ValueError):
+        token_counts.token_counts(rows, sections="pages")
