@@ -29,6 +29,15 @@ def poisson(n1: float, n2: float) -> Point:
 POINT_DISTANCES: dict[str, Point] = {"square": square, "absval": absval}
 
 
+def point_distance(point: str | Point, x=(), y=()) -> Point:
+    """A distance of two values by name, or as given; poisson is for the sums of two series."""
+    if callable(point):
+        return point
+    if point == "poisson":
+        return poisson(float(np.sum(x)), float(np.sum(y)))
+    return POINT_DISTANCES[point]
+
+
 def banded(query: np.ndarray, lanes: np.ndarray, r: int, point: Point = square) -> np.ndarray:
     """Sum of point distances on the cheapest path with |i - j| <= r from query (length) to each column
     of lanes (length x n). One step per anti-diagonal: all its cells in the band, for all lanes, in
@@ -60,7 +69,13 @@ def banded(query: np.ndarray, lanes: np.ndarray, r: int, point: Point = square)
 
 
 def batches(query: np.ndarray, rows: np.ndarray, r: int, point: Point = square, lanes: int = 1024) -> np.ndarray:
-    """banded() for the rows of a matrix, so many at a time that the band stays in the cache."""
+    """banded() for the rows of a matrix, so many at a time that the band stays in the cache. At radius 0
+    it is the sum of the distances of values at the same places."""
+    if r == 0:
+        if point is square:
+            gap = rows - query.astype(rows.dtype)
+            return np.einsum("ij,ij->i", gap, gap)
+        return point(query.astype(rows.dtype), rows).sum(axis=1)
     out = np.empty(len(rows), dtype=rows.dtype)
     for at in range(0, len(rows), lanes):
         out[at : at + lanes] = banded(query.astype(rows.dtype), np.ascontiguousarray(rows[at : at + lanes].T), r, point)

@@ -1,4 +1,6 @@
 """Functions of series. Columns are arrays of doubles; matrices hold a series per row."""
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +95,12 @@ def paa(x: Column, segments: int, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: F.aggregate(F.slice(x, k * rate + 1, F.lit(rate)), F.lit(0.0), lambda s, v: s + v) / rate)
 
 
+def downsampled(x: Column, segments: int, length: int, start, merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column] = lambda v: v) -> Column:
+    """Equal segments folded by any function: start, merge(so far, value), and finish. paa is the mean."""
+    rate = length // segments
+    return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: F.aggregate(F.slice(x, k * rate + 1, F.lit(rate)), F.lit(start), merge, finish))
+
+
 def power_of_two(n: int) -> bool:
     return n > 0 and n & (n - 1) == 0
 

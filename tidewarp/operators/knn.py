@@ -1,5 +1,5 @@
 """Neighbours by dynamic time warping: exhaustive, and exactly pruned by lower bounds."""
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -14,17 +14,19 @@ from ..plans.scratch import materialized
 DTYPE = "float64"  # of the warping sums; float32 halves memory traffic
 
 
-def squared_sums(series: DataFrame, queries: Sequence[Sequence[float]], r: int, begin: int = 0, end: int | None = None, point: str = "square", combine: str = "sum", dtype: str = DTYPE) -> DataFrame:
+def squared_sums(series: DataFrame, queries: Sequence[Sequence[float]], r: int, begin: int = 0, end: int | None = None, point: str | kernels.Point = "square", combine: str = "sum", dtype: str = DTYPE, best: int | None = None) -> DataFrame:
     """series with d2: the squared banded distance over [begin, end) to the query, summed over the
-    queries; with combine="sum_sqrt" the square of the sum of distances. The sub-range is sliced in the
-    JVM, before values go to Python; nothing shuffles: queries are sent along."""
+    queries; with combine="sum_sqrt" the square of the sum of distances. point: the distance of two values,
+    by name or a function of two arrays. best: of a batch only the rows that can be among so many nearest
+    ones are returned. The sub-range is sliced in the JVM, before values go to Python;
+    nothing shuffles: queries are sent along."""
     length = len(queries[0])
     end = length if end is None else end
     check_range(begin, end, length, r)
     if combine not in ("sum", "sum_sqrt"):
         raise ValueError("combine is sum or sum_sqrt")
     own = [np.asarray(q[begin:end], dtype=dtype) for q in queries]
-    measure, others = kernels.POINT_DISTANCES[point], [c for c in series.columns if c != "series"]
+    measure, others = kernels.point_distance(point), [c for c in series.columns if c != "series"]
     values = F.col("series") if (begin, end) == (0, length) else F.slice("series", begin + 1, end - begin)
     floats = series.schema["series"].dataType.simpleString() in ("array<float>", "array<double>")
     source = series.select(*others, (values if floats else values.cast("array<double>")).alias("series"))
@@ -35,22 +37,25 @@ def squared_sums(series: DataFrame, queries: Sequence[Sequence[float]], r: int,
 
         for batch in parts:
             at = batch.schema.get_field_index("series")
-            rows = matrix(batch.column(at)).astype(dtype)
+            rows = matrix(batch.column(at)).astype(dtype, copy=False)
             if not len(rows):
                 continue
             d2 = [kernels.batches(q, rows, r, measure).astype(np.float64) for q in own]
             total = sum(d2) if combine == "sum" else sum(np.sqrt(d) for d in d2) ** 2
             kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            if best is not None and best < len(total):
+                near = np.flatnonzero(total <= np.partition(total, best - 1)[best - 1]) if best > 0 else np.zeros(0, dtype=int)
+                kept, total = [c.take(pa.array(near)) for c in kept], total[near]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(total)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def dtw_distances(series: DataFrame, ngram: str, r: int, begin: int = 0, end: int | None = None, dtype: str = DTYPE) -> DataFrame:
+def dtw_distances(series: DataFrame, ngram: str, r: int, begin: int = 0, end: int | None = None, dtype: str = DTYPE, point: str | kernels.Point = "square") -> DataFrame:
     """id, ngram, distance of every series to one: the root of the mean squared distance on the path."""
     query = series_of(series, [ngram])[ngram][1]
     length = (len(query) if end is None else end) - begin
-    out = squared_sums(series.select("id", "ngram", "series"), [query], r, begin, end, dtype=dtype)
+    out = squared_sums(series.select("id", "ngram", "series"), [query], r, begin, end, point, dtype=dtype)
     return out.select("id", "ngram", F.sqrt(F.col("d2") / length).alias("distance"))
 
 
@@ -68,7 +73,8 @@ def full_ranks(distances: DataFrame) -> DataFrame:
     """distances with rank (from 0) by (d2, id) of all rows. Range partitions of (d2, id) are numbered
     inside and offset by the sizes of those before: no task sorts all rows."""
     ranged = distances.repartitionByRange("d2", "id").sortWithinPartitions("d2", "id").withColumn("m", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"p": F.shiftright("m", 33), "k": F.col("m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("m").persist()
+    ranged = ranged.withColumns({"p": F.shiftright("m", 33), "k": F.col("m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("m")
+    ranged = materialized(ranged, "ranks")
     offsets = ranged.groupBy("p").count().withColumn("at", F.sum("count").over(Window.orderBy("p")) - F.col("count")).select("p", "at")
     return ranged.join(F.broadcast(offsets), "p").withColumn("rank", F.col("at") + F.col("k")).drop("p", "k", "at")
 
@@ -109,12 +115,12 @@ def auto_limit(ranks: DataFrame, space: str = "squared") -> int:
     return 1 if best is None else int(best.rank)
 
 
-def knn_dtw(series: DataFrame, ngrams: Sequence[str], r: int, limit: int | None = None, begin: int = 0, end: int | None = None, combine: str = "sum", dtype: str = DTYPE) -> DataFrame:
+def knn_dtw(series: DataFrame, ngrams: Sequence[str], r: int, limit: int | None = None, begin: int = 0, end: int | None = None, combine: str = "sum", dtype: str = DTYPE, point: str | kernels.Point = "square") -> DataFrame:
     """rank, ngram, id, distance of the nearest series to one or more n-grams together. Without a limit
     it is found automatically."""
     queries = [v for _, v in series_of(series, list(ngrams)).values()]
     length = (len(queries[0]) if end is None else end) - begin
-    d2 = squared_sums(series.select("id", "ngram", "series"), queries, r, begin, end, combine=combine, dtype=dtype)
+    d2 = squared_sums(series.select("id", "ngram", "series"), queries, r, begin, end, point, combine, dtype, limit)
     if limit is None:
         ranks = full_ranks(d2)
         limit = auto_limit(ranks)
@@ -122,12 +128,24 @@ def knn_dtw(series: DataFrame, ngrams: Sequence[str], r: int, limit: int | None
     return ranked(d2, limit, length)
 
 
-def knn_euclid(series: DataFrame, ngram: str, transform: str = "id", norm: str = "id", limit: int | None = None) -> DataFrame:
-    """rank, ngram, id, distance (squared Euclidean) after transforming both sides; all in the JVM but
-    the transform."""
+def knn_euclid(series: DataFrame, ngram: str, transform: str = "id", norm: str = "id", limit: int | None = None, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """rank, ngram, id, distance (squared Euclidean) after transforming both sides. distance: another one, a
+    function of a matrix with a series per row and the query's values to a distance per row."""
     rows = transformed(series.select("id", "ngram", "series"), transform, norm)
     query = series_of(rows, [ngram])[ngram][1]
-    d2 = rows.select("id", "ngram", squared_distance(F.col("series"), F.array(*map(F.lit, query))).alias("d2"))
+    if distance is None:
+        d2 = rows.select("id", "ngram", squared_distance(F.col("series"), F.array(*map(F.lit, query))).alias("d2"))
+    else:
+        own = np.asarray(query, dtype=np.float64)
+
+        def run(parts):
+            import pyarrow as pa
+
+            for batch in parts:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.asarray(distance(matrix(batch.column(2)).astype(np.float64), own), dtype=np.float64))], names=["id", "ngram", "d2"])
+
+        d2 = rows.mapInArrow(run, rows.select("id", "ngram", F.lit(0.0).alias("d2")).schema)
     if limit is None:
         return full_ranks(d2).select("rank", "ngram", "id", F.col("d2").alias("distance"))
     rank = F.row_number().over(Window.orderBy("d2", "id")) - 1
@@ -196,40 +214,75 @@ def bounds(index: DataFrame, ngram: str, r: int) -> DataFrame:
     return index.withColumns({"lb": rate * point_bound(F.col("down"), lo, hi), "mindist": rate * box_bound(F.col("lo"), F.col("hi"), lo, hi)})
 
 
-def knn_dtw_pruned(index: DataFrame, ngram: str, r: int, limit: int, stats: dict | None = None, dtype: str = DTYPE) -> DataFrame:
-    """knn_dtw over whole series, computing only the distances that can matter. The limit smallest bounds
-    give exact distances, the largest of which no better neighbour's bound can exceed. stats: gets n, the
-    number of distances of the second pass, and the threshold.
+def knn_dtw_pruned(index: DataFrame, ngram: str, r: int, limit: int, stats: dict | None = None, dtype: str = DTYPE, begin: int = 0, end: int | None = None) -> DataFrame:
+    """knn_dtw over [begin, end), computing only the distances that can matter. stats: gets n and the number
+    of distances computed.
 
-    Bounds read ids and segment means only, and are kept as a narrow table; series that are not needed
-    are dropped by a join on ids, before values go to Python."""
+    One pass and one job: each task takes a batch's rows in the order of their bounds from the index, then
+    of those that remain by a closer bound (what each value misses the query's envelope by, LB_Keogh), and computes
+    distances while bounds are under the limit-th best distance that it has seen. Only rows that are among a
+    task's best leave it. Over a sub-range the index bounds with the segments that lie inside."""
     q = index.filter(F.col("ngram") == ngram).select("series", "lo", "hi", "r", "resolution").first()
     if q is None:
         raise KeyError(f"unknown n-gram: {ngram}")
     if q.r != r:
         raise ValueError(f"the index is for radius {q.r}, not {r}")
-    lo, hi, rate = np.array(q.lo), np.array(q.hi), len(q.series) // q.resolution
+    length = len(q.series)
+    end = length if end is None else end
+    check_range(begin, end, length, r)
+    rate = length // q.resolution
+    inside = slice(-(-begin // rate), max(-(-begin // rate), end // rate))
+    lo, hi = np.array(q.lo, dtype=dtype)[inside], np.array(q.hi, dtype=dtype)[inside]
+    own = np.asarray(q.series, dtype=dtype)[begin:end]
+    low, high = (x[0] for x in envelopes(own[None, :], r))
+    slack = 1 + (1e-9 if dtype == "float64" else 1e-4)
+    values = F.col("series") if (begin, end) == (0, length) else F.slice("series", begin + 1, end - begin)
 
     def run(parts):
         import pyarrow as pa
 
+        seen = np.full(max(0, limit), np.inf)  # the best distances of this task
+        total = done = 0
         for batch in parts:
-            down = matrix(batch.column(1))
-            if len(down):
-                gap = np.maximum(np.maximum(down - hi, lo - down), 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rate * (gap * gap).sum(axis=1))], names=["id", "lb"])
-
-    bound = materialized(index.select("id", "down").mapInArrow(run, "id long, lb double"), "lower-bounds")
-    series = index.select("id", "ngram", "series")
-    first = bound.orderBy("lb", "id").limit(max(4 * limit, 128)).select("id")
-    near = squared_sums(series.join(F.broadcast(first), "id", "left_semi"), [q.series], r, dtype=dtype)
-    best = near.orderBy("d2", "id").limit(limit).agg(F.max("d2").alias("tau"), F.count("*").alias("n")).first()
-    if best.n == limit:  # else there are no more rows than asked for
-        bound = bound.filter(F.col("lb") <= best.tau * (1 + (1e-9 if dtype == "float64" else 1e-4)))
-        series = series.join(bound.select("id"), "id", "left_semi")
+            total += batch.num_rows
+            if not batch.num_rows or not limit:
+                continue
+            tau = seen[-1] * slack
+            down = matrix(batch.column(3)).astype(dtype, copy=False)[:, inside]
+            gap = np.maximum(np.maximum(down - hi, lo - down), 0)
+            at = np.flatnonzero(rate * np.einsum("ij,ij->i", gap, gap) <= tau)
+            rows = matrix(batch.column(2)).astype(dtype, copy=False)
+            rows = rows if len(at) == len(rows) else rows[at]
+            gap = np.maximum(np.maximum(rows - high, low - rows), 0)
+            bound = np.einsum("ij,ij->i", gap, gap)
+            order = np.argsort(bound, kind="stable")
+            kept, found = [], []
+            for k in range(0, len(order), 512):
+                part = order[k : k + 512]
+                part = part[bound[part] <= seen[-1] * slack]
+                if not len(part):
+                    break
+                d2 = kernels.batches(own, rows[part], r).astype(np.float64)
+                done += len(part)
+                seen = np.sort(np.concatenate([seen, d2]))[:limit]
+                kept.append(at[part])
+                found.append(d2)
+            if kept:
+                kept, found = np.concatenate(kept), np.concatenate(found)
+                best = found <= seen[-1]
+                take = pa.array(kept[best])
+                n = int(best.sum())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found[best]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "ngram", "d2", "n", "dtw"])
+        if stats is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.float64()), pa.array([total]), pa.array([done])], names=["id", "ngram", "d2", "n", "dtw"])
+
+    out = index.select(F.col("id").cast("long"), "ngram", values.alias("series"), "down").mapInArrow(run, "id long, ngram string, d2 double, n long, dtw long")
     if stats is not None:
-        stats.update(n=index.count(), threshold=best.tau, dtw=bound.count())
-    return ranked(squared_sums(series, [q.series], r, dtype=dtype), limit, len(q.series))
+        out = materialized(out, "pruned")
+        sums = out.filter("n IS NOT NULL").agg(F.sum("n").alias("n"), F.sum("dtw").alias("dtw")).first()
+        stats.update(n=sums.n or 0, dtw=sums.dtw or 0)
+        out = out.filter("n IS NULL")
+    return ranked(out.select("id", "ngram", "d2"), limit, end - begin)
 
 
 # Alignments
@@ -238,22 +291,60 @@ def knn_dtw_pruned(index: DataFrame, ngram: str, r: int, limit: int, stats: dict
 ALIGNMENT = "struct<cost:double,first:array<int>,second:array<int>>"
 
 
-def alignment(point: str = "square", radius: int | None = None):
+def alignment(point: str | kernels.Point = "square", radius: int | None = None):
     """A column function of two arrays (of any lengths): the cost and the path (positions from 1) of their
-    unconstrained alignment, or the approximate one of radius. point may be poisson."""
+    unconstrained alignment, or the approximate one of radius. point may be poisson, or a function of two
+    arrays of values."""
     import pandas as pd
 
-    def measure(x, y):
-        return kernels.poisson(sum(x), sum(y)) if point == "poisson" else kernels.POINT_DISTANCES[point]
-
     @F.pandas_udf(ALIGNMENT)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [kernels.dtw(x, y, measure(x, y)) if radius is None else kernels.fast(x, y, radius, measure(x, y)) for x, y in zip(a, b)]
+        found = [kernels.dtw(x, y, kernels.point_distance(point, x, y)) if radius is None else kernels.fast(x, y, radius, kernels.point_distance(point, x, y)) for x, y in zip(a, b)]
         return pd.DataFrame({"cost": [f[0] for f in found], "first": [f[1] for f in found], "second": [f[2] for f in found]})
 
     return run
 
 
+def windowed_alignment(point: str | kernels.Point = "square"):
+    """A column function of two arrays and, per element of the first, the first and last position (from 1) in
+    the second that it may meet: cost and path of the best alignment inside that window. A window that
+    misses a corner, or has not an entry per element, fails."""
+    import pandas as pd
+
+    @F.pandas_udf(ALIGNMENT)
+    def run(a: pd.Series, b: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        found = [kernels.windowed(x, y, u, v, kernels.point_distance(point, x, y)) for x, y, u, v in zip(a, b, low, high)]
+        return pd.DataFrame({"cost": [f[0] for f in found], "first": [f[1] for f in found], "second": [f[2] for f in found]})
+
+    return run
+
+
+def alignment_frame(pairs: DataFrame, found: str = "a") -> DataFrame:
+    """id, step, i, j, x, y: the aligned pairs of values, one row per step of a path, for drawing. pairs: id,
+    first and second series as a_values and b_values, and the alignment found."""
+    steps = pairs.select("id", "a_values", "b_values", F.posexplode(F.arrays_zip(F.col(f"{found}.first").alias("i"), F.col(f"{found}.second").alias("j"))).alias("step", "at"))
+    return steps.select("id", "step", F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.get("a_values", F.col("at.i") - 1).alias("x"), F.get("b_values", F.col("at.j") - 1).alias("y"))
+
+
+def speed_test(sizes: Sequence[int], radius: int, times: int = 3, seed: int = 0) -> list[tuple[int, float, float, float]]:
+    """(size, exact seconds, approximate seconds, approximate cost over exact) of random walks of each size,
+    seconds averaged over times."""
+    import time
+
+    rng = np.random.default_rng(seed)
+    out = []
+    for n in sizes:
+        x, y = rng.standard_normal((2, n)).cumsum(axis=1)
+        took, cost = [0.0, 0.0], [0.0, 0.0]
+        for _ in range(times):
+            for k, run in enumerate((lambda: kernels.dtw(x, y), lambda: kernels.fast(x, y, radius))):
+                began = time.perf_counter()
+                cost[k] = run()[0]
+                took[k] += (time.perf_counter() - began) / times
+        out.append((n, *took, cost[1] / cost[0] if cost[0] else 1.0))
+    return out
+
+
 def barycenter(series: DataFrame, iterations: int = 5) -> list[float]:
     """The average sequence of all series under warping: starts from the one with the smallest id, and so
     many times takes the mean of what each of its elements is aligned to. Per round each task aligns its
