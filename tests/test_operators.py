@@ -176,7 +176,13 @@ def test_changes(spark):
 def test_stream_of_entries(spark, tmp_path):
     from tidewarp.streaming import counts
 
-    (tmp_path / "1.tsv").write_text("war\t1753\t3\t1\nWar\t1753\t1\t1\n")
-    (tmp_path / "2.tsv").write_text("war\t1753\t2\t2\nwar\t1700\t2\t2\n1999\t1800\t1\t1\n")
-    counts.to_memory(counts.running_counts(counts.read_entry_stream(spark, str(tmp_path), 1)), "t_counts").awaitTermination()
-    assert [tuple(r) for r in spark.table("t_counts").collect()] == [("war", 0, 6, 4)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.tsv").write_text("war\t1753\t3\t1\nWar\t1753\t1\t1\n")
+    (tmp_path / "in" / "2.tsv").write_text("war\t1753\t2\t2\nwar\t1700\t2\t2\n1999\t1800\t1\t1\n")
+    stream = counts.running_counts(counts.read_entry_stream(spark, str(tmp_path / "in"), 1))
+    for _ in range(2):  # the second run finds nothing new
+        counts.to_table(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert [tuple(r) for r in counts.read_table(spark, str(tmp_path / "out")).collect()] == [("war", 0, 6, 4)]
+    (tmp_path / "in" / "3.tsv").write_text("war\t1753\t1\t1\nmoney\t1754\t1\t1\n")
+    counts.to_table(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(map(tuple, counts.read_table(spark, str(tmp_path / "out")).collect())) == [("money", 1, 1, 1), ("war", 0, 7, 5)]

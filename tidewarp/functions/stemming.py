@@ -1,5 +1,6 @@
 """The English (Porter2) stemmer, written from its published description, and lemmatizers before it."""
 import re
+from collections.abc import Callable, Collection, Mapping
 
 VOWELS = "aeiouy"
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -115,6 +116,24 @@ def same(word: str) -> str:
     return word
 
 
+#: Endings of verb forms, and what may stand in their place in the base form.
+VERB_ENDINGS = (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", ""))
+
+
+def verb_lemmatizer(lemmas: Collection[str], exceptions: Mapping[str, str] | None = None) -> Callable[[str], str]:
+    """Base forms of verbs, for a set of known ones and irregular forms: an irregular form's base, else the
+    shortest known word that the endings make of it, else the word itself. A word that is known stays."""
+    irregular = dict(exceptions or {})
+
+    def run(word: str) -> str:
+        if word in irregular:
+            return irregular[word]
+        made = {word} | {word[: -len(end)] + base for end, base in VERB_ENDINGS if word.endswith(end)}
+        return min((w for w in made if w in lemmas), key=lambda w: (len(w), w), default=word)
+
+    return run
+
+
 def stem_phrase(phrase: str, lemmatize=same) -> str:
     """Each word of a phrase, parted by single spaces, lemmatized and stemmed."""
     return " ".join(stem(lemmatize(w)) for w in phrase.split(" "))

@@ -1,7 +1,16 @@
 """How compression and radii change distances and ranks; histograms and totals."""
+import itertools
+import statistics
+import time
+from collections.abc import Callable, Mapping, Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import gauss, gradient, gradient_colors, matrix, smoothed, spectrum
+
+PICTURE_KERNEL = gauss(14, 10.0)
 QUANTILES = (0.02, 0.09, 0.25, 0.45, 0.5, 0.55, 0.75, 0.91, 0.98)
 
 
@@ -69,3 +78,74 @@ def extrema(series: DataFrame) -> DataFrame:
 def mean_spectrum(spectra: DataFrame) -> DataFrame:
     """frequency (from 1), mean, std over all series."""
     return spectra.select(F.posexplode("series").alias("k", "v")).groupBy((F.col("k") + 1).alias("frequency")).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+
+
+def sweep(run: Callable[..., DataFrame], grid: Mapping[str, Sequence]) -> DataFrame:
+    """The rows of run(**parameters) for every combination of a grid, with the parameters as columns."""
+    out = None
+    for values in itertools.product(*grid.values()):
+        now = run(**dict(zip(grid, values))).withColumns({k: F.lit(v) for k, v in zip(grid, values)})
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+def timed_sweep(run: Callable[..., DataFrame], grid: Mapping[str, Sequence], times: int = 20) -> list[dict]:
+    """The parameters of every combination, with the mean and the standard deviation of the seconds of so
+    many runs. Rows are computed and thrown away."""
+    out = []
+    for values in itertools.product(*grid.values()):
+        took = []
+        for _ in range(times):
+            began = time.perf_counter()
+            run(**dict(zip(grid, values))).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        out.append(dict(zip(grid, values)) | {"mean": statistics.fmean(took), "std": statistics.stdev(took) if times > 1 else 0.0})
+    return out
+
+
+def against_gold(results: DataFrame, gold: DataFrame, limit: int = 20) -> DataFrame:
+    """query, r, rank_similarity, rank_distance, new_share of results (query, r, rank, id) against reference
+    lists (query, r, ids). A job per reference list: they are few."""
+    out = None
+    for row in gold.select("query", "r", "ids").collect():
+        reference = gold.filter((F.col("query") == row.query) & (F.col("r") == row.r)).select(F.posexplode("ids").alias("rank", "id"))
+        now = rank_changes(reference, results.filter((F.col("query") == row.query) & (F.col("r") == row.r)), limit)
+        now = now.select(F.lit(row.query).alias("query"), F.lit(row.r).alias("r"), *now.columns)
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+def plot_frame(series: DataFrame, ngrams: Sequence[str], first_x: int = 0) -> DataFrame:
+    """x, y, label: the values of some n-grams, for drawing."""
+    rows = series.filter(F.col("ngram").isin(list(ngrams))).select("ngram", F.posexplode("series").alias("k", "y"))
+    return rows.select((F.col("k") + first_x).alias("x"), "y", F.col("ngram").alias("label"))
+
+
+def frequency_frame(series: DataFrame, ngrams: Sequence[str]) -> DataFrame:
+    """x (frequency, from 1), y (amplitude), label: the spectra of some n-grams, for drawing."""
+    some = series.filter(F.col("ngram").isin(list(ngrams)))
+    rows = spectrum(some).join(some.select("id", "ngram"), "id").select("ngram", F.posexplode("series").alias("k", "y"))
+    return rows.select((F.col("k") + 1).alias("x"), "y", F.col("ngram").alias("label"))
+
+
+def picture_frame(series: DataFrame, begin: int, end: int) -> DataFrame:
+    """id, x, r, g, b: a column of pixels per series, coloured by its gradient and its smoothed gradient, both
+    over its largest absolute value. A series that sums to 0 over the range is black."""
+
+    def run(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            rows = matrix(batch.column(1))[:, begin:end].astype(np.float64)
+            if not len(rows):
+                continue
+            none = rows.sum(axis=1) == 0
+            most = np.abs(rows).max(axis=1, keepdims=True)
+            most[most == 0] = 1
+            rgb = gradient_colors(gradient(rows) / most, gradient(smoothed(rows, PICTURE_KERNEL)) / most)
+            rgb = np.where(none[None, :, None], 0.0, rgb)
+            n = rows.shape[1]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(begin, end, dtype=np.int32), len(rows))), *(pa.array(np.ascontiguousarray(c).ravel()) for c in rgb)], names=["id", "x", "r", "g", "b"])
+
+    return series.select(F.col("id").cast("long"), F.col("series").cast("array<double>")).mapInArrow(run, "id long, x int, r double, g double, b double")

@@ -1,12 +1,15 @@
 """Tracing: similar series by the nodes that they share in the graph of subtrees."""
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import series_of
+from ..model import check_range, series_of
 from .knn import ranked, squared_sums
 
 
-def start_nodes(nodes: DataFrame, root: int, depth: int, maxdepth: int, begin: int, end: int) -> dict[int, list[int]]:
+def start_nodes(nodes: DataFrame, root: int, depth: int, maxdepth: int, begin: int, end: int, keep: Callable[[int, DataFrame], DataFrame] | None = None) -> dict[int, list[int]]:
     """The nodes of a tree by level down to maxdepth whose spans overlap [begin, end); the root always is
     one. They are fewer than the series has values."""
     length = 1 << depth
@@ -17,26 +20,45 @@ def start_nodes(nodes: DataFrame, root: int, depth: int, maxdepth: int, begin: i
         found = nodes.filter(F.col("node_id").isin(list(wanted))).select("node_id", "c0", "c1").collect()
         children = [(c, 2 * wanted[r.node_id] + k) for r in found for k, c in enumerate((r.c0, r.c1)) if c is not None]
         now = [(c, j) for c, j in children if end > width * j and begin < width * (j + 1)]
+        if keep and now:
+            kept = keep(level, nodes.sparkSession.createDataFrame(now, "node_id long, pos int"))
+            now = [(r.node_id, r.pos) for r in kept.select("node_id", "pos").collect()]
         if not now:
             break
         out[level] = [c for c, _ in now]
     return out
 
 
-def trace(nodes: DataFrame, roots: DataFrame, i: int, length: int, maxdepth: int, begin: int = 0, end: int | None = None, minweight: float = 0.0, combine: str = "product") -> DataFrame:
+@dataclass
+class Hooks:
+    """What a caller adds to a trace. keep_down(level, rows): which of the query's nodes (node_id, pos) a
+    walk may start from and go on below. up(level, rows): the rows (start, node, w) that have come up to a
+    level, filtered or changed. found(rows): the series found (start, i, weight). Each takes and returns a
+    DataFrame, and is part of the plan."""
+
+    keep_down: Callable[[int, DataFrame], DataFrame] | None = None
+    up: Callable[[int, DataFrame], DataFrame] | None = None
+    found: Callable[[DataFrame], DataFrame] | None = None
+
+
+def trace(nodes: DataFrame, roots: DataFrame, i: int, length: int, maxdepth: int, begin: int = 0, end: int | None = None, minweight: float = 0.0, combine: str = "product", hooks: Hooks | None = None) -> DataFrame:
     """start (level), i, weight: series that share nodes with series i. From the nodes of each level a walk
     goes up to the roots; a node's weight is dealt evenly to its parents, and weights that meet in a node
-    multiply (or add, with combine="sum"). Nodes of less than minweight are left.
+    multiply (or add, with combine="sum"). Nodes of less than minweight are left. hooks: see Hooks.
 
     The walks of all levels go up together, a join with the parents per level; filters come before the
     joins. Nothing is collected but the query's own nodes."""
     check = {"product": F.product, "sum": F.sum}[combine]
     end = length if end is None else end
+    check_range(begin, end, length, 0)
     depth = length.bit_length() - 1
+    if not 0 <= maxdepth <= depth or minweight < 0:
+        raise ValueError(f"0 <= maxdepth <= {depth} and minweight >= 0 must hold, not {maxdepth}, {minweight}")
+    hooks = hooks or Hooks()
     own = roots.filter(F.col("i") == i).select("root_id").first()
     if own is None:
         raise KeyError(f"series {i} has no root")
-    starts = start_nodes(nodes, own.root_id, depth, maxdepth, begin, end)
+    starts = start_nodes(nodes, own.root_id, depth, maxdepth, begin, end, hooks.keep_down)
     edges = nodes.select(F.explode(F.array("c0", "c1")).alias("node"), F.col("node_id").alias("parent"), "level").filter("node IS NOT NULL")
     edges = edges.join(edges.groupBy("node").agg(F.count("*").alias("n")), "node")
     spark = nodes.sparkSession
@@ -47,7 +69,9 @@ def trace(nodes: DataFrame, roots: DataFrame, i: int, length: int, maxdepth: int
         if level:
             up = now.join(edges.filter(F.col("level") == level - 1), "node").select("start", F.col("parent").alias("node"), (F.col("w") / F.col("n")).alias("w"))
             now = up.groupBy("start", "node").agg(check("w").alias("w"))
-    return now.join(roots.select("i", F.col("root_id").alias("node")), "node").select("start", "i", F.col("w").alias("weight"))
+            now = hooks.up(level - 1, now) if hooks.up else now
+    out = now.join(roots.select("i", F.col("root_id").alias("node")), "node").select("start", "i", F.col("w").alias("weight"))
+    return hooks.found(out) if hooks.found else out
 
 
 def traceback(found: DataFrame, dictionary: DataFrame, limit: int = 20) -> DataFrame:

@@ -3,14 +3,16 @@ import heapq
 from bisect import bisect_left, insort
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import haar as h
-from ..functions.series import lists, matrix
+from ..functions.series import lists, matrix, transformed
 from ..model import check_length
 from ..plans.scratch import materialized
+from . import knn, metrics
 
+CHUNK_ROWS = 16_384  # series that one task merges by default, about
 CHUNK_BITS = 40  # a node's id is its chunk shifted by these, and its number there
 
 
@@ -68,19 +70,27 @@ def prune(series: DataFrame, threshold: float, by: str = "signed", seed: int = 0
     return series.select("id", F.col("series").cast("array<double>")).mapInArrow(run, "id long, series array<double>, kept int, error double")
 
 
+#: How the absolute differences of a series' values are one error: the largest, their mean (e1), the mean of
+#: their squares (e2), the largest less the smallest (e3).
+METRICS = {"largest": lambda d: float(d.max()), "mean": lambda d: float(d.mean()), "mean_square": lambda d: float((d * d).mean()), "range": lambda d: float(d.max() - d.min())}
+
+
 class Merger:
     """Merges the coefficient trees of one series after another into a graph of shared nodes.
 
     A node holds a scaled coefficient (as a half float) and its two children. It can take the place of
     another node of the same level with the same children (on the finest level: of the same position).
-    Per series the nodes with the smallest estimated growth of the error, the largest absolute difference
-    of a value, are replaced first, while the error stays under max_error; then their parents may be."""
+    Per series the nodes with the smallest estimated growth of the error are replaced first, while the error
+    stays under max_error; then their parents may be. metric: how the differences of a series' values are
+    one error (see METRICS). seed: leaves with equal growth are tried in a seeded order, another per series;
+    None: from left to right."""
 
-    def __init__(self, length: int, max_error: float):
+    def __init__(self, length: int, max_error: float, metric: str = "largest", seed: int | None = None):
         self.length, self.depth, self.max_error = length, h.levels(length), max_error
+        self.metric, self.seed = METRICS[metric], seed
         self.buckets: dict[tuple, list[tuple[float, int]]] = {}
         self.nodes: list[tuple[int, int, float, int, int]] = []  # level, pos, x, children (-1: none)
-        self.roots: list[tuple[int, int, float, float]] = []  # series, node, approximation, error
+        self.roots: list[tuple[int, int, float, float, int]] = []  # series, node, approximation, error, nodes so far
 
     def nearest(self, key: tuple, x: float) -> tuple[float, int] | None:
         """(distance, node); of equally near ones the lower."""
@@ -92,6 +102,20 @@ class Merger:
         value, node = min(near, key=lambda t: abs(t[0] - x))  # the first, lower one of equals
         return abs(value - x), node
 
+    def nearest_many(self, key: tuple, x: float, max_dist: float, size: int) -> list[tuple[float, int]]:
+        """Up to size (distance, node) within max_dist, the nearest first; of equally near ones the lower."""
+        bucket = self.buckets.get(key, [])
+        up = bisect_left(bucket, (x, -1))
+        down, out = up - 1, []
+        while len(out) < size and (up < len(bucket) or down >= 0):
+            above = bucket[up][0] - x if up < len(bucket) else np.inf
+            below = x - bucket[down][0] if down >= 0 else np.inf
+            if min(above, below) > max_dist:
+                break
+            out.append((float(min(above, below)), bucket[up if above < below else down][1]))
+            up, down = (up + 1, down) if above < below else (up, down - 1)
+        return out
+
     def add(self, i: int, values: np.ndarray) -> None:
         depth, length = self.depth, self.length
         row = values[None, :]
@@ -103,31 +127,36 @@ class Merger:
             return np.abs(h.from_scaled(np.array([approximation * np.sqrt(length)]), [level[None, :] for level in x], length)[0] - values)
 
         delta, rough = exact(), False
-        error = float(delta.max())
-        queue: list[tuple[float, int, int, float, int]] = []
+        error = self.metric(delta)
+        order = np.arange(length) if self.seed is None else np.random.default_rng([self.seed, len(self.roots)]).permutation(length)
+        queue: list[tuple[float, int, int, int, float, int]] = []
 
         def key(level: int, at: int) -> tuple:
             return (at,) if level == depth - 1 else (level, linked[level + 1][2 * at], linked[level + 1][2 * at + 1])
 
         def grown(level: int, at: int, distance: float) -> float:
             block = length >> level
-            return max(error, float(delta[block * at : block * (at + 1)].max()) + distance / block)
+            if self.metric is METRICS["largest"]:
+                return max(error, float(delta[block * at : block * (at + 1)].max()) + distance / block)
+            more = delta.copy()
+            more[block * at : block * (at + 1)] += distance / block
+            return self.metric(more)
 
         def offer(level: int, at: int) -> None:
             if (found := self.nearest(key(level, at), float(x[level][at]))) is not None:
-                heapq.heappush(queue, (grown(level, at, found[0]) - error, level, at, *found))
+                heapq.heappush(queue, (grown(level, at, found[0]) - error, level, int(order[at]), at, *found))
 
         for at in range(length // 2):
             offer(depth - 1, at)
         while queue:
-            _, level, at, distance, node = heapq.heappop(queue)
+            _, level, _, at, distance, node = heapq.heappop(queue)
             if linked[level][at] is not None:
                 continue
             if not grown(level, at, distance) < self.max_error:
                 if not rough:
                     continue
                 delta, rough = exact(), False
-                error = float(delta.max())
+                error = self.metric(delta)
                 if not grown(level, at, distance) < self.max_error:
                     continue
             block = length >> level
@@ -145,19 +174,24 @@ class Merger:
                     linked[level][at] = node = len(self.nodes)
                     self.nodes.append((level, at, float(x[level][at]), *children))
                     insort(self.buckets.setdefault(key(level, at), []), (float(x[level][at]), node))
-        self.roots.append((i, linked[0][0], approximation, float(exact().max())))
+        self.roots.append((i, linked[0][0], approximation, self.metric(exact()), len(self.nodes)))
 
 
-def build_dag(series: DataFrame, length: int, max_error: float, chunks: int = 1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """nodes (node_id, level, pos, x, c0, c1) and roots (i, root_id, approx, error).
+def build_dag(series: DataFrame, length: int, max_error: float, chunks: int | None = None, seed: int = 0, metric: str = "largest", shuffle_leaves: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes (node_id, level, pos, x, c0, c1) and roots (i, root_id, approx, error, nodes_so_far: of its chunk).
 
     Merging is sequential, so series are dealt to chunks by a hash of their ids, each merged by one task
     in a seeded order that keeps blocks of 16 neighbouring ids together. One chunk shares most; more
-    share less and run in parallel. Ids of nodes hold their chunk."""
+    share less and run in parallel. By default a chunk has about CHUNK_ROWS series, so no task grows with the
+    table. Ids of nodes hold their chunk."""
     check_length(length)
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {sorted(METRICS)}")
+    if chunks is None:
+        chunks = max(1, -(-series.count() // CHUNK_ROWS))
     if chunks < 1:
         raise ValueError("there is one chunk at least")
-    schema = "node_id long, level int, pos int, x double, c0 long, c1 long, i long, root_id long, approx double, error double"
+    schema = "node_id long, level int, pos int, x double, c0 long, c1 long, i long, root_id long, approx double, error double, nodes_so_far long"
     keyed = series.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(chunks)).alias("chunk"), F.xxhash64(F.floor(F.col("id") / 16), F.lit(seed)).alias("block"), "id", F.col("series").cast("array<double>"))
 
     def run(table):
@@ -165,20 +199,20 @@ def build_dag(series: DataFrame, length: int, max_error: float, chunks: int = 1,
 
         table = table.sort_by([("block", "ascending"), ("id", "ascending")])
         base = (table.column("chunk")[0].as_py() if len(table) else 0) << CHUNK_BITS
-        merger = Merger(length, max_error)
+        merger = Merger(length, max_error, metric, seed if shuffle_leaves else None)
         rows = matrix(table.column("series").combine_chunks()) if len(table) else []
         for i, values in zip(table.column("id").to_pylist(), rows):
             merger.add(i, values)
         n, m = len(merger.nodes), len(merger.roots)
         node = lambda v: None if v < 0 else base + v
         cols = [[base + k for k in range(n)], [r[0] for r in merger.nodes], [r[1] for r in merger.nodes], [r[2] for r in merger.nodes], [node(r[3]) for r in merger.nodes], [node(r[4]) for r in merger.nodes]]
-        more = [[r[0] for r in merger.roots], [base + r[1] for r in merger.roots], [r[2] for r in merger.roots], [r[3] for r in merger.roots]]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        more = [[r[0] for r in merger.roots], [base + r[1] for r in merger.roots], [r[2] for r in merger.roots], [r[3] for r in merger.roots], [r[4] for r in merger.roots]]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         columns = [c + [None] * m for c in cols] + [[None] * n + c for c in more]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["node_id", "level", "pos", "x", "c0", "c1", "i", "root_id", "approx", "error"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["node_id", "level", "pos", "x", "c0", "c1", "i", "root_id", "approx", "error", "nodes_so_far"])
 
     both = materialized(keyed.groupBy("chunk").applyInArrow(run, schema), "dag")
-    return both.filter("node_id IS NOT NULL").select("node_id", "level", "pos", "x", "c0", "c1"), both.filter("i IS NOT NULL").select("i", "root_id", "approx", "error")
+    return both.filter("node_id IS NOT NULL").select("node_id", "level", "pos", "x", "c0", "c1"), both.filter("i IS NOT NULL").select("i", "root_id", "approx", "error", "nodes_so_far")
 
 
 def reconstruct(nodes: DataFrame, roots: DataFrame, length: int) -> DataFrame:
@@ -215,3 +249,43 @@ def compression_rate(nodes: DataFrame, roots: DataFrame, length: int, node_bytes
     """Bytes of the graph over those of the series as doubles."""
     n = roots.count()
     return (nodes.count() * node_bytes + n * root_bytes) / (n * length * 8) if n else 0.0
+
+
+def node_growth(roots: DataFrame) -> DataFrame:
+    """chunk, step (from 1), nodes, grown: how many nodes a chunk has after each series, and how many of them
+    the series brought."""
+    chunk = F.shiftright("root_id", CHUNK_BITS).alias("chunk")
+    # a series that shares its whole tree brings none: such series stand together, in any order
+    order = Window.partitionBy("chunk").orderBy("nodes_so_far", "i")
+    rows = roots.select(chunk, "i", "nodes_so_far")
+    return rows.select("chunk", F.row_number().over(order).alias("step"), F.col("nodes_so_far").alias("nodes"), (F.col("nodes_so_far") - F.coalesce(F.lag("nodes_so_far").over(order), F.lit(0))).alias("grown"))
+
+
+def nearest_join(left: DataFrame, right: DataFrame, max_dist: float, size: int) -> DataFrame:
+    """id, other, dist, rank: for each row of left (id, bucket, x) the up to size rows of right (id, bucket, x)
+    of the same bucket whose x is nearest, at most max_dist away; of equally near ones the lower x, then
+    the smaller id.
+
+    Values meet in strips of width max_dist: a row of right lies in one, a row of left looks into three. So a bucket
+    is as many keys as it has strips, and no task holds a whole one."""
+    if not 0 < max_dist < float("inf") or size < 1:
+        raise ValueError("max_dist is positive and finite, and size at least 1")
+    strip = F.floor(F.col("x") / max_dist)
+    a = left.select(F.col("id"), "bucket", "x", F.explode(F.array(strip - 1, strip, strip + 1)).alias("strip"))
+    b = right.select(F.col("id").alias("other"), "bucket", F.col("x").alias("y"), F.floor(F.col("x") / max_dist).alias("strip"))
+    near = a.join(b, ["bucket", "strip"]).withColumn("dist", F.abs(F.col("x") - F.col("y"))).filter(F.col("dist") <= max_dist)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "y", "other")) - 1
+    return near.withColumn("rank", rank).filter(F.col("rank") < size).select("id", "other", "dist", "rank")
+
+
+def compression_round_trip(series: DataFrame, length: int, max_error: float, ngram: str, r: int, limit: int = 20, transform: str = "gradient_smooth1", chunks: int | None = None) -> dict:
+    """What compressing does to a query: the series are compressed and restored, both are transformed, and
+    distances to one n-gram compared. levels (of the graph), rate, changes (a summary of relative changes)
+    and ranks (rank_similarity and so on), the last three as values."""
+    nodes, roots = build_dag(series.select("id", "series"), length, max_error, chunks)
+    back = reconstruct(nodes, roots, length)
+    restored = series.select("id", "ngram").join(back, "id")
+    a, b = (materialized(transformed(rows.select("id", "ngram", "series"), transform), "round-trip") for rows in (series, restored))
+    changes = metrics.summary(metrics.relative_changes(*(knn.dtw_distances(rows, ngram, r) for rows in (a, b)))).first().asDict()
+    ranks = metrics.rank_changes(*(knn.knn_dtw(rows, [ngram], r, limit) for rows in (a, b)), limit).first().asDict()
+    return {"levels": dag_levels(nodes, roots), "rate": compression_rate(nodes, roots, length), "changes": changes, "ranks": ranks}

@@ -1,4 +1,5 @@
 """The queries over the driver's tables, each with the SQL that gives the same rows."""
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -8,7 +9,7 @@ from ..functions import series as fs
 from ..functions import text
 from ..operators import graph, ingest, knn, metrics, trace, wavelet
 from ..sources import ngrams
-from .scratch import materialized
+from .scratch import materialized, shared_dir
 
 LENGTH, RADIUS, QUERY = 256, 10, "0"
 
@@ -537,6 +538,7 @@ def streamed_counts(spark, sf_dir):
 
     out = entries(spark, sf_dir)
     stream = spark.readStream.schema(out.schema).parquet(out.inputFiles()[0].rpartition("/")[0])
-    name = f"counts_{abs(hash(sf_dir)) % 10**9}"
-    counts.to_memory(counts.running_counts(stream), name).awaitTermination()
-    return spark.table(name)
+    at = f"{shared_dir(spark)}/tidewarp-stream-{uuid.uuid4().hex}"
+    query = counts.to_table(counts.running_counts(stream), f"{at}/counts", f"{at}/state")
+    query.awaitTermination()
+    return counts.read_table(spark, f"{at}/counts")

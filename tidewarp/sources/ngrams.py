@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.series import lists
 from ..model import ENTRIES, check_length
+from ..plans.scratch import materialized
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -29,17 +30,35 @@ def numbered(ngrams: DataFrame) -> DataFrame:
     numbered inside and offset by the sizes of those before, so no task holds the whole dictionary."""
     ranged = ngrams.select("ngram").filter("ngram IS NOT NULL").distinct().repartitionByRange("ngram").sortWithinPartitions("ngram")
     ids = ranged.withColumn("m", F.monotonically_increasing_id()).select("ngram", F.shiftright("m", 33).alias("p"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
-    ids = ids.persist()
-    offsets = ids.groupBy("p").count().withColumn("at", F.sum("count").over(Window.orderBy("p")) - F.col("count"))
-    return ids.join(F.broadcast(offsets), "p").select((F.col("at") + F.col("k")).alias("id"), "ngram")
+    return _offset(materialized(ids, "numbered"), "p")
+
+
+def _offset(ids: DataFrame, *order: str) -> DataFrame:
+    """id, ngram of rows with their part (by the columns of order) and place k there. Only a row per part is
+    summed up."""
+    offsets = ids.groupBy(*order).agg((F.max("k") + 1).alias("count")).withColumn("at", F.sum("count").over(Window.orderBy(*order)) - F.col("count"))
+    return ids.join(F.broadcast(offsets), list(order)).select((F.col("at") + F.col("k")).alias("id"), "ngram")
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """A dictionary file, an n-gram a line, blank lines skipped; ids follow the order of lines. Repeated
-    n-grams are an error: their ids would not be positions."""
-    lines = spark.read.text(path).withColumn("m", F.monotonically_increasing_id()).filter("value <> ''")
-    numbers = Window.orderBy("m")
-    out = lines.coalesce(1).select((F.row_number().over(numbers) - 1).cast("long").alias("id"), F.col("value").alias("ngram"))
+    n-grams are an error: their ids would not be positions. Each block of a file numbers its own lines; the
+    blocks before, by file name and position, give the offset."""
+
+    def run(parts):
+        import pyarrow as pa
+
+        seen: dict[tuple[str, int], int] = {}
+        for batch in parts:
+            places = []
+            for key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                places.append(seen.get(key, 0))
+                seen[key] = places[-1] + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["ngram", "file", "start", "k"])
+
+    lines = spark.read.text(path).select(F.col("value").alias("ngram"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = lines.filter("ngram <> ''").mapInArrow(run, "ngram string, file string, start long, k long")
+    out = _offset(materialized(lines, "map"), "file", "start")
     twice = out.groupBy("ngram").count().filter("count > 1").first()
     if twice:
         raise ValueError(f"the dictionary repeats {twice.ngram!r}")
@@ -64,32 +83,102 @@ def write_transitions(transitions: DataFrame, path: str) -> None:
     transitions.select(F.concat_ws(" -> ", "ngram", "stem").alias("value")).orderBy("value").write.text(path)
 
 
+def stems(transitions: DataFrame) -> DataFrame:
+    """The distinct stems of a transition map, in code-point order."""
+    return transitions.select("stem").filter("stem IS NOT NULL").distinct().orderBy("stem")
+
+
+def transition_of(transitions: DataFrame, ngram: str) -> str | None:
+    """The stem of one n-gram; None if the map has none. The filter reaches the scan."""
+    found = transitions.filter(F.col("ngram") == ngram).select("stem").first()
+    return found.stem if found else None
+
+
+def _sorted_files(spark: SparkSession, path: str) -> list[str]:
+    """A file, or the data files of a folder by name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    found = [f.getPath() for f in files if f.isFile()]
+    return [str(f) for f in sorted(found, key=lambda f: f.getName()) if not f.getName().startswith(("_", "."))]
+
+
 def read_matrix(spark: SparkSession, path: str, ylength: int, dtype: str = "f8") -> DataFrame:
-    """id, series from a raw row-major matrix of little-endian values. Records of fixed length are split
-    between tasks; ids are positions."""
+    """id, series from a raw row-major matrix of little-endian values, in a file or in the parts of a folder
+    in the order of their names. Records of fixed length are split between tasks; ids are positions."""
     check_length(ylength)
     width = np.dtype(dtype).itemsize * ylength
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    if size % width:
+    files = spark.read.format("binaryFile").load(path).select("length").filter(F.col("length") % width != 0)
+    if not files.isEmpty():
         raise ValueError(f"{path} holds no whole rows of {ylength} values")
-    records = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda t: (t[1], bytearray(t[0])))
+    parts = [spark.sparkContext.binaryRecords(f, width) for f in _sorted_files(spark, path)]
+    records = spark.sparkContext.union(parts).zipWithIndex().map(lambda t: (t[1], bytearray(t[0])))
     raw = spark.createDataFrame(records, "id long, raw binary")
 
-    def run(parts):
+    def run(batches):
         import pyarrow as pa
 
-        for batch in parts:
+        for batch in batches:
             rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.dtype(dtype).newbyteorder("<")).reshape(-1, ylength)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(rows.astype(np.float64))], names=["id", "series"])
 
     return raw.mapInArrow(run, "id long, series array<double>")
 
 
+def _write_parts(rows: DataFrame, order: str, path: str, dtype: str) -> None:
+    """Rows of numbers (column series) in an order, as raw little-endian values, a part file per task in a new
+    folder that all tasks reach. A part appears under its name when it is whole, so a task that runs again
+    does no harm."""
+    kind = np.dtype(dtype).newbyteorder("<").str
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store.create_dir(folder)
+        task = TaskContext.get()
+        draft, n = f"{folder}/_part-{task.partitionId():05d}-{task.taskAttemptId()}", 0
+        with store.open_output_stream(draft) as f:
+            for batch in batches:
+                values = batch.column(0).flatten() if pa.types.is_list(batch.column(0).type) else batch.column(0)
+                f.write(values.to_numpy(zero_copy_only=False).astype(kind).tobytes())
+                n += batch.num_rows
+        store.move(draft, f"{folder}/part-{task.partitionId():05d}.bin")
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["rows"])
+
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).select("series")
+    ranged.mapInArrow(run, "rows long").agg(F.sum("rows")).collect()
+
+
 def write_matrix(series: DataFrame, path: str, dtype: str = "f8") -> None:
-    """A raw row-major matrix in the order of ids, streamed a row at a time to one local file."""
-    with open(path, "wb") as f:
-        for row in series.select("series").orderBy("id").toLocalIterator(prefetchPartitions=True):
-            f.write(np.asarray(row.series, dtype=np.dtype(dtype).newbyteorder("<")).tobytes())
+    """A raw row-major matrix in the order of ids: part files of a folder, whose names are in that order."""
+    _write_parts(series.select("id", F.col("series").cast("array<double>")), "id", path, dtype)
+
+
+def write_distances(distances: DataFrame, path: str, dtype: str = "f8") -> None:
+    """A raw vector of distances in the order of ids, as write_matrix writes rows."""
+    _write_parts(distances.select("id", F.col("distance").cast("double").alias("series")), "id", path, dtype)
+
+
+def read_distances(spark: SparkSession, path: str, dtype: str = "f8") -> DataFrame:
+    """id, distance of a raw vector."""
+    return read_matrix(spark, path, 1, dtype).select("id", F.get("series", F.lit(0)).alias("distance"))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report table as CSV with a header. Reports have a row per level, letter or parameter set, so they go to
+    one file."""
+    report.coalesce(1).write.option("header", True).csv(path)
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """query, r, ids: reference results, a JSON object a line with query, r and the ids in order."""
+    return spark.read.schema("query string, r int, ids array<long>").json(path)
+
+
+def write_gold(gold: DataFrame, path: str) -> None:
+    gold.select("query", "r", "ids").write.json(path)
 
 
 def quoted_list(results: DataFrame, order: str = "rank") -> str:

@@ -22,6 +22,18 @@ def running_counts(entries: DataFrame, ystart: int = YSTART, ylength: int = YLEN
     return inside.groupBy(F.lower("ngram").alias("ngram"), (F.col("year") - ystart).alias("y")).agg(F.sum("var0").alias("var0"), F.sum("var1").alias("var1"))
 
 
-def to_memory(counts: DataFrame, name: str) -> StreamingQuery:
-    """Runs over what is there and stops; the whole state is in the table of that name."""
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def to_table(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Runs over what is there and stops. Each batch writes the sums that it changed as a part of its own,
+    batch=N, under path; a batch that runs again replaces its part. State and output stay on the executors."""
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """ngram, y, var0, var1: the latest sums of each n-gram and year."""
+    parts = spark.read.parquet(path)
+    latest = parts.groupBy("ngram", "y").agg(F.max_by(F.struct("var0", "var1"), "batch").alias("last"))
+    return latest.select("ngram", "y", "last.var0", "last.var1")
