@@ -175,20 +175,20 @@ def overlaps(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return listed.mapInArrow(run, "doc_id long, part long, blocks array<struct<partner:long,first:int,last:int>>")
 
 
-def line_dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """docs with the blocks deleted from text, and blocks (empty where nothing was deleted). n_chars, if
-    docs has it, is that of the new text where that changed.
+def line_dedup(docs: DataFrame, least: int = MIN_WORDS, column: str = "blocks") -> DataFrame:
+    """docs with the blocks deleted from text, and column with the blocks (empty where nothing was deleted).
+    n_chars, if docs has it, is that of the new text where that changed.
 
     Ids order documents. Rows without an id stay as they are and are nobody's partner. Rows that repeat an
     id and a text are one document, not each other's partners; other texts of an id are documents of their
     own, in the order of their hashes. Null texts stay null; lines without words are never aligned, and go
     with a block around them. A text whose lines all go becomes empty. Texts are read whole; an empty table
-    returns none; a column of docs named blocks is replaced.
+    returns none; a column of docs with the name of column is replaced.
 
     What is deleted is found on hashes of runs of lines; texts shuffle once, to meet it."""
     found = overlaps(docs, least).withColumnsRenamed({"doc_id": "__id", "part": "__part", "blocks": "__blocks"})
     same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__part"))
-    rows = docs.drop("blocks").join(found, same, "left").drop("__id", "__part")
+    rows = docs.drop(column).join(found, same, "left").drop("__id", "__part")
     gone = F.array_distinct(F.flatten(F.transform("__blocks", lambda b: F.sequence(b["first"], b["last"]))))
     lines = F.split("text", "\n", -1)
     # one flag per line, so that each line is looked up once
@@ -200,4 +200,4 @@ def line_dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     out = {"text": text}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("__keep").isNotNull(), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.withColumns(out).withColumn("blocks", F.coalesce("__blocks", F.expr("cast(array() as array<struct<partner:long,first:int,last:int>>)"))).drop("__blocks", "__keep")
+    return rows.withColumns(out).withColumn(column, F.coalesce("__blocks", F.expr("cast(array() as array<struct<partner:long,first:int,last:int>>)"))).drop("__blocks", "__keep")
