@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+BLOCK = 1 << 20  # entries of sparse rows that are passed at once
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, per_grade: int) -> DataFrame:
     """doc_id, text, grade: at most per_grade rows of each grade, those with the smallest hashes of
     their ids. labels is first made one row per id (the worst quality and the highest toxicity of
@@ -38,15 +41,17 @@ def fit(ids: np.ndarray, values: np.ndarray, starts: np.ndarray, grades: np.ndar
     count = np.bincount(grades, minlength=n_grades)
     weight = (np.array([(balance or {}).get(g, 1.0) for g in range(n_grades)]) / np.maximum(count, 1))[grades]
     weight /= weight.sum()
-    rows = np.repeat(np.arange(n), np.diff(starts))
+    cuts = np.unique(np.concatenate([[0, n], np.searchsorted(starts, np.arange(BLOCK, starts[-1], BLOCK))]))
+    blocks = [(slice(a, z), slice(starts[a], starts[z]), np.repeat(np.arange(z - a, dtype=np.int32), np.diff(starts[a : z + 1]))) for a, z in zip(cuts[:-1], cuts[1:])]
     m = [np.zeros(dim + n_grades - 1), np.zeros(dim + n_grades - 1)]
     for t in range(1, steps + 1):
         theta = theta0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        score = np.bincount(rows, weights=values * w[ids], minlength=n)
+        score = np.concatenate([np.bincount(at, weights=values[e] * w[ids[e]], minlength=r.stop - r.start) for r, e, at in blocks])
         upper = sigmoid(np.concatenate([theta, [np.inf]])[grades] - score)
         lower = sigmoid(np.concatenate([[-np.inf], theta])[grades] - score)
         p = np.maximum(upper - lower, 1e-9)
-        g_w = np.bincount(ids, weights=values * (weight * (upper + lower - 1.0) * -1.0)[rows], minlength=dim) + l2 * w
+        slope = weight * (1.0 - upper - lower)
+        g_w = l2 * w + sum(np.bincount(ids[e], weights=values[e] * slope[r][at], minlength=dim) for r, e, at in blocks)
         up, low = weight * upper * (1 - upper) / p, weight * lower * (1 - lower) / p
         g_theta = np.array([low[grades == j + 1].sum() - up[grades == j].sum() for j in range(n_grades - 1)])
         g_gaps = np.array([g_theta[j + 1 :].sum() * np.exp(gaps[j]) for j in range(len(gaps))])

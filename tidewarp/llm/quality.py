@@ -58,13 +58,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> dict:
             at = [np.flatnonzero(x).astype(np.int32) for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(rows, at)], pa.list_(pa.float32()))], names=["grade", "ids", "x"])
 
-    got = sample.mapInArrow(run, "grade int, ids array<int>, x array<float>").toArrow().combine_chunks()
+    got = sample.mapInArrow(run, "grade int, ids array<int>, x array<float>").toArrow()
     grades = got.column("grade").to_numpy()
     if not len(grades) or not (grades == 0).any() or not (grades > 0).any():
         return {"w": np.zeros(1 << BITS), "theta": np.array([-9.0, -8.0])}  # nothing to tell apart: all stay
-    ids, x = (got.column(c).chunk(0) for c in ("ids", "x"))
-    starts = ids.offsets.to_numpy().astype(np.int64)
-    w, theta = ordinal.fit(ids.values.to_numpy()[starts[0] : starts[-1]].astype(np.int64), x.values.to_numpy()[starts[0] : starts[-1]].astype(np.float64), starts - starts[0], grades, 1 << BITS, GRADES)
+    lengths = np.concatenate([c.value_lengths().to_numpy() for c in got.column("ids").chunks])
+    ids, x = (np.concatenate([c.flatten().to_numpy() for c in got.column(k).chunks]) for k in ("ids", "x"))
+    del got
+    w, theta = ordinal.fit(ids, x, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), grades, 1 << BITS, GRADES)
     return {"w": w, "theta": theta}
 
 
