@@ -5,6 +5,8 @@ from hypothesis import strategies as st
 
 from tidewarp.functions import kernels as k
 
+# Fixed values, here and in the expectations below: published examples of alignments, windows and paths that
+# results must equal.
 A = [1, 1, 1, 2, 4, 6, 5, 5, 5, 4, 4, 3, 1, 1, 1]
 B = [1, 1, 2, 4, 6, 6, 6, 5, 4, 4, 4, 3, 3, 3, 1]
 BASE = ([0, 1, 2, 3, 4, 4, 4, 4], [0, 0, 1, 2, 2, 2, 3, 4])

@@ -3,13 +3,14 @@ import heapq
 from bisect import bisect_left, insort
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import haar as h
 from ..functions.series import lists, matrix, transformed
 from ..model import check_length
 from ..plans.scratch import materialized
+from ..sources.ngrams import numbered
 from . import knn, metrics
 
 CHUNK_ROWS = 16_384  # series that one task merges by default, about
@@ -215,6 +216,37 @@ def build_dag(series: DataFrame, length: int, max_error: float, chunks: int | No
     return both.filter("node_id IS NOT NULL").select("node_id", "level", "pos", "x", "c0", "c1"), both.filter("i IS NOT NULL").select("i", "root_id", "approx", "error", "nodes_so_far")
 
 
+def shared_dag(series: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """build_dag without error: subtrees become one node if they are at the same place and equal, and so with
+    equal children and coefficients. Nothing is sequential here: a subtree is known by the steps between the
+    values of its block (by their 128-bit hash), so equal ones meet in one distinct, in the JVM."""
+    check_length(length)
+    d = h.levels(length)
+    s = F.col("series").cast("array<double>")
+    steps = F.zip_with(F.slice(s, 2, length - 1), F.slice(s, 1, length - 1), lambda a, b: a - b + F.lit(0.0))
+    rows = series.select("id", s.alias("series"), steps.alias("steps"))
+
+    def key(level: int, pos: Column) -> Column:
+        block = length >> level
+        return F.concat_ws(":", F.lit(level), pos, F.md5(F.to_json(F.slice("steps", pos * block + 1, F.lit(block - 1)))))
+
+    trees = None
+    for level in range(d):
+        block = length >> level
+        at = rows.select("id", "series", "steps", F.explode(F.sequence(F.lit(0), F.lit((1 << level) - 1))).alias("pos"))
+        half = lambda k: F.aggregate(F.slice("series", F.col("pos") * block + 1 + k * (block // 2), F.lit(block // 2)), F.lit(0.0), lambda t, v: t + v)  # noqa: E731, B023
+        child = lambda k: key(level + 1, 2 * F.col("pos") + k) if level < d - 1 else F.lit(None).cast("string")  # noqa: E731, B023
+        now = at.select("id", F.lit(level).alias("level"), "pos", key(level, F.col("pos")).alias("key"), (half(0) - half(1)).alias("x"), child(0).alias("k0"), child(1).alias("k1"))
+        trees = now if trees is None else trees.unionByName(now)
+    trees = materialized(trees, "subtrees")
+    unique = materialized(trees.groupBy("key").agg(F.min("level").alias("level"), F.min("pos").alias("pos"), F.min("x").alias("x"), F.min("k0").alias("k0"), F.min("k1").alias("k1")), "nodes")
+    ids = materialized(numbered(unique.select(F.col("key").alias("ngram"))).withColumnsRenamed({"id": "node_id", "ngram": "key"}), "node-ids")
+    of = lambda name, key: ids.select(F.col("node_id").alias(name), F.col("key").alias(key))
+    nodes = unique.join(ids, "key").join(of("c0", "k0"), "k0", "left").join(of("c1", "k1"), "k1", "left").select("node_id", "level", "pos", "x", "c0", "c1")
+    roots = trees.filter("level = 0").select("id", "key").join(ids, "key").join(rows.select("id", (F.aggregate("series", F.lit(0.0), lambda t, v: t + v) / float(length) ** 0.5).alias("approx")), "id")
+    return materialized(nodes, "shared-nodes"), materialized(roots.select(F.col("id").alias("i"), F.col("node_id").alias("root_id"), "approx", F.lit(0.0).alias("error")), "shared-roots")
+
+
 def reconstruct(nodes: DataFrame, roots: DataFrame, length: int) -> DataFrame:
     """id, series of every root. A chunk's nodes and roots meet in one task, as they were built."""
     schema = "id long, series array<double>"

@@ -500,6 +500,74 @@ def dag_frames(spark, sf_dir):
     return graph.dag_frames(nodes, roots, [0, 1])[0]
 
 
+# The graph that shares equal subtrees only, which SQL can build too: a subtree is its place and its steps.
+
+SHARED = f"""{EVENTS},
+tr AS MATERIALIZED (SELECT id, level, pos, concat(level, ':', pos, ':', CAST(list_transform(range((256 >> level) - 1), lambda t: series[pos * (256 >> level) + t + 2] - series[pos * (256 >> level) + t + 1]) AS VARCHAR)) AS key,
+  list_sum(series[pos * (256 >> level) + 1:pos * (256 >> level) + (128 >> level)]) - list_sum(series[pos * (256 >> level) + (128 >> level) + 1:(pos + 1) * (256 >> level)]) AS x
+  FROM (SELECT id, series, level, unnest(range(1 << level)) AS pos FROM es, (SELECT unnest(range(8))::INT AS level))),
+ed AS MATERIALIZED (SELECT DISTINCT c.key AS node, p.key AS parent FROM tr c JOIN tr p ON c.id = p.id AND c.level = p.level + 1 AND c.pos // 2 = p.pos),
+np AS (SELECT node, count(*) AS n FROM ed GROUP BY node)"""
+
+
+def _traced(query: int, maxdepth: int) -> str:
+    """fr(start, i, weight) of the walks from each level, which go up together."""
+    ctes, last = "", None
+    for level in range(maxdepth, -1, -1):
+        own = f"SELECT {level} AS start, key AS node, 1.0::DOUBLE AS w FROM tr WHERE id = {query} AND level = {level}"
+        up = f"SELECT start, parent AS node, product(w / n) AS w FROM {last} JOIN ed USING (node) JOIN np USING (node) GROUP BY 1, 2 UNION ALL " if last else ""
+        ctes += f"\nup{level} AS MATERIALIZED ({up}{own}),"
+        last = f"up{level}"
+    return f"{ctes}\nfr AS (SELECT start, id AS i, w AS weight FROM {last} JOIN tr ON tr.key = {last}.node AND tr.level = 0)"
+
+
+def _shared(spark, sf_dir):
+    rows = materialized(event_series(spark, sf_dir), "event-series")
+    return rows, *wavelet.shared_dag(rows, LENGTH)
+
+
+@query(f"WITH {SHARED} SELECT level, count(DISTINCT key) AS nodes, round(count(DISTINCT key)::DOUBLE / ((SELECT count(*) FROM es) * (1 << level)), 6) AS ratio FROM tr GROUP BY level")
+def shared_levels(spark, sf_dir):
+    _, nodes, roots = _shared(spark, sf_dir)
+    return wavelet.dag_levels(nodes, roots).withColumn("ratio", R6(F.col("ratio")))
+
+
+@query(f"WITH {EVENTS} " + UNROLL.format("(SELECT id, series AS x FROM es)", LENGTH))
+def shared_reconstruct(spark, sf_dir):
+    _, nodes, roots = _shared(spark, sf_dir)
+    return rounded(wavelet.reconstruct(nodes, roots, LENGTH))
+
+
+@query(f"WITH {SHARED},{_traced(0, 6)}\nSELECT start, i, round(log10(weight), 6) + 0.0 AS strength FROM fr")
+def shared_trace(spark, sf_dir):
+    _, nodes, roots = _shared(spark, sf_dir)
+    return trace.trace(nodes, roots, 0, LENGTH, 6).select("start", "i", (R6(F.log10("weight")) + F.lit(0.0)).alias("strength"))
+
+
+@query(f"""WITH {SHARED},{_traced(0, 6)}, su AS (SELECT start, i, round(log10(sum(weight)), 6) AS s FROM fr GROUP BY start, i UNION ALL SELECT NULL, i, round(log10(sum(weight)), 6) FROM fr GROUP BY i)
+SELECT start, count(*) AS found, max(s) + 0.0 AS strongest FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY s DESC, i) AS k FROM su) WHERE k <= 20 GROUP BY start""")
+def shared_traceback(spark, sf_dir):
+    """How many series the best of each level are, and how strong the strongest is."""
+    rows, nodes, roots = _shared(spark, sf_dir)
+    best = trace.traceback(trace.trace(nodes, roots, 0, LENGTH, 6), rows.select("id", "ngram"))
+    return best.groupBy("start").agg(F.count("*").alias("found"), (F.max(R6(F.log10("weight"))) + F.lit(0.0)).alias("strongest"))
+
+
+@query(f"""WITH RECURSIVE {SHARED},{_traced(0, 6)},
+""" + warping_sql("SELECT s.id, q.series AS a, s.series AS b FROM es s, (SELECT series FROM es WHERE id = 0) q WHERE s.id IN (SELECT i FROM fr)", LENGTH, RADIUS) + """
+SELECT row_number() OVER (ORDER BY d2, id) - 1 AS rank, ngram, id, round(sqrt(d2 / 256), 6) AS distance FROM d2 JOIN es USING (id) ORDER BY d2, id LIMIT 20""")
+def shared_candidates(spark, sf_dir):
+    rows, nodes, roots = _shared(spark, sf_dir)
+    return trace.knn_dtw_candidates(rows, nodes, roots, QUERY, RADIUS, 20, 6).withColumns({"rank": F.col("rank").cast("long"), "distance": R6(F.col("distance"))})
+
+
+@query(f"""WITH {SHARED}, us AS (SELECT level, pos, key, any_value(x) AS x, count(DISTINCT id) AS uses FROM tr WHERE id IN (0, 1, 2) GROUP BY 1, 2, 3)
+SELECT level, CAST(pos AS INT) AS pos, uses, x, round(coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0.5), 6) AS scaled_x FROM us WINDOW w AS (PARTITION BY level, pos)""")
+def shared_frames(spark, sf_dir):
+    _, nodes, roots = _shared(spark, sf_dir)
+    return graph.dag_frames(nodes, roots, [0, 1, 2])[0].select("level", "pos", "uses", "x", R6(F.col("scaled_x")).alias("scaled_x"))
+
+
 def _two_radii() -> str:
     pair = "SELECT s.id, q.series AS a, s.series AS b FROM es s, (SELECT series FROM es WHERE id = 0) q"
     a = warping_sql(pair, 64, 0)
