@@ -10,7 +10,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tidewarp.llm import exact_dedup, mixing, registry, secrets, url_filters
+from tidewarp.llm import common, exact_dedup, mixing, registry, secrets, url_filters
 
 KEY = "AKIA" + "ABCDEFGH12345678"
 HEX = "0123456789abcdef" * 3
@@ -58,6 +58,13 @@ def test_against_sql(spark, folder, name, table):
     assert bool(got) == (table == "full")
 
 
+def test_only_small_tables_are_broadcast(spark):
+    df = spark.createDataFrame([(i, "x" * 100, None) for i in range(50)], "id long, text string, raw binary")
+    assert common.at_most(df, 50) and not common.at_most(df, 49)
+    assert common.at_most(df, 50, 5_000) and not common.at_most(df, 50, 4_999)
+    assert common.at_most(df.limit(0), 0, 0) and common.at_most(df.select("id"), 50, 0)
+
+
 def test_rules():
     ordered = [r[1] for r in url_filters.RULES]
     assert ordered == ["com/en/", "example.com/en/7", "net/de/", "example.net/de/8", "org/es/"]
