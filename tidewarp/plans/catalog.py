@@ -109,6 +109,29 @@ cell(id, k, x2, x1) AS (
 d2 AS MATERIALIZED (SELECT id, x1[{length}] AS d2 FROM cell WHERE k = {2 * length - 2})"""
 
 
+def aligned_sql(pre: str, pairs: str, n: int, m: int, point: str = "({p} - {q}) * ({p} - {q})", window: bool = False) -> str:
+    """CTEs, named from pre on: pairs(id, a of n values, b of m, and with a window lo and hi, lists of the first and
+    last place in b per element of a) to d2(id, d2) and pa(id, step, i, j), the best path with places from 1."""
+    inf, here = "'infinity'::DOUBLE", point.format(p="c.a[i + 1]", q="c.b[k + 2 - i]")
+    cut = " OR NOT (k + 2 - i BETWEEN c.lo[i + 1] AND c.hi[i + 1])" if window else ""
+    diagonal = "x2[i] <= x1[i + 1] AND x2[i] <= x1[i]"
+    return f"""{pre}pr AS MATERIALIZED ({pairs}),
+{pre}cell(id, k, x2, x1) AS (
+  SELECT id, 0, list_transform(range({n}), lambda i: {inf}), list_transform(range({n}), lambda i: CASE WHEN i = 0 THEN {point.format(p="c.a[1]", q="c.b[1]")} ELSE {inf} END) FROM {pre}pr c
+  UNION ALL
+  SELECT c.id, k + 1, x1, list_transform(range({n}), lambda i: CASE WHEN i > k + 1 OR k + 1 - i >= {m}{cut} THEN {inf}
+    ELSE {here} + least(x1[i + 1], CASE WHEN i = 0 THEN {inf} ELSE x1[i] END, CASE WHEN i = 0 THEN {inf} ELSE x2[i] END) END)
+  FROM (SELECT {pre}cell.*, {pre}pr.* EXCLUDE (id) FROM {pre}cell JOIN {pre}pr USING (id)) c WHERE k < {n + m - 2}),
+{pre}cl AS MATERIALIZED (SELECT id, k, x2, x1 FROM {pre}cell),
+{pre}d2 AS MATERIALIZED (SELECT id, x1[{n}] AS d2 FROM {pre}cl WHERE k = {n + m - 2}),
+{pre}wk(id, i, j) AS (
+  SELECT id, {n - 1}, {m - 1} FROM {pre}pr
+  UNION ALL
+  SELECT w.id, CASE WHEN i = 0 THEN 0 WHEN j = 0 OR ({diagonal}) OR x1[i] < x1[i + 1] THEN i - 1 ELSE i END, CASE WHEN j = 0 THEN 0 WHEN i = 0 OR ({diagonal}) OR x1[i + 1] <= x1[i] THEN j - 1 ELSE j END
+  FROM {pre}wk w JOIN {pre}cl c ON c.id = w.id AND c.k = w.i + w.j - 1),
+{pre}pa AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i + j) - 1 AS step, i + 1 AS i, j + 1 AS j FROM {pre}wk)"""
+
+
 def input_warping(query: str = QUERY, r: int = RADIUS, begin: int = 0, end: int = LENGTH) -> str:
     part = "" if (begin, end) == (0, LENGTH) else f"[{begin + 1}:{end}]"
     return f"WITH RECURSIVE {INPUT},\n" + warping_sql(f"SELECT s.id, q.series{part} AS a, s.series{part} AS b FROM si s, (SELECT series FROM si WHERE ngram = '{query}') q", end - begin, r)
@@ -195,24 +218,83 @@ def dtw_unbanded(spark, sf_dir):
     return pairs.select("id", knn.alignment()("q", "series").alias("a")).select("id", R6(F.col("a.cost")).alias("cost"))
 
 
-@query()
+@query(f"WITH RECURSIVE {EMBEDDED},\n" + aligned_sql("", "SELECT s.id, q.series[1:48] AS a, s.series AS b FROM es s, (SELECT series FROM es WHERE id = 0) q", 48, 64) + """
+SELECT id, CAST(step AS INT) AS step, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(a[i], 6) AS x, round(b[j], 6) AS y, round(d2, 6) AS cost FROM pa JOIN pr USING (id) JOIN d2 USING (id)""")
 def dtw_alignment(spark, sf_dir):
+    """The steps of the best path of each series with a shorter query, and its cost."""
     e = embedded(spark, sf_dir)
-    q = e.filter("id = 0").select(F.slice("series", 1, 48).alias("q"))
-    return e.join(F.broadcast(q)).select("id", knn.alignment()("q", "series").alias("a")).select("id", "a.cost", "a.first", "a.second")
+    q = e.filter("id = 0").select(F.slice("series", 1, 48).alias("a_values"))
+    found = materialized(e.join(F.broadcast(q)).select("id", "a_values", F.col("series").alias("b_values"), knn.alignment()("a_values", "series").alias("a")), "alignments")
+    steps = knn.alignment_frame(found).withColumns({"x": R6(F.col("x")), "y": R6(F.col("y"))})
+    return steps.join(found.select("id", R6(F.col("a.cost")).alias("cost")), "id")
 
 
-@query()
+WINDOW = "list_transform(range(64), lambda t: {0})"
+
+
+@query(f"WITH RECURSIVE {EMBEDDED},\n" + aligned_sql("", f"SELECT s.id, q.series AS a, s.series AS b, {WINDOW.format('greatest(t - 2, 1)')} AS lo, {WINDOW.format('least(t + 9, 64)')} AS hi FROM es s, (SELECT series FROM es WHERE id = 0) q", 64, 64, window=True) + """
+SELECT id, CAST(step AS INT) AS step, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(d2, 6) AS cost FROM pa JOIN d2 USING (id)""")
+def windowed_alignment(spark, sf_dir):
+    """Paths that may fall 3 behind the query and run 8 ahead of it."""
+    e = embedded(spark, sf_dir)
+    q = e.filter("id = 0").select(F.col("series").alias("a_values"))
+    place = F.sequence(F.lit(1), F.lit(64))
+    rows = e.join(F.broadcast(q)).withColumns({"low": F.transform(place, lambda t: F.greatest(t - 3, F.lit(1))), "high": F.transform(place, lambda t: F.least(t + 8, F.lit(64)))})
+    found = materialized(rows.select("id", knn.windowed_alignment()("a_values", "series", "low", "high").alias("a")), "alignments")
+    return found.select("id", R6(F.col("a.cost")).alias("cost"), F.posexplode(F.arrays_zip(F.col("a.first").alias("i"), F.col("a.second").alias("j"))).alias("step", "at")).select("id", "cost", "step", "at.i", "at.j")
+
+
+POISSON = "CASE WHEN {p} <= 0 AND {q} <= 0 THEN 0::DOUBLE ELSE (pow({p} - ({p} + {q}) / (c.na + c.nb) * c.na, 2) + pow({q} - ({p} + {q}) / (c.na + c.nb) * c.nb, 2)) / ({p} + {q}) END"
+
+
+@query(f"WITH RECURSIVE {EVENTS},\n" + aligned_sql("", "SELECT s.id, q.series[1:64] AS a, s.series[1:64] AS b, list_sum(q.series[1:64]) AS na, list_sum(s.series[1:64]) AS nb FROM es s, (SELECT series FROM es WHERE id = 0) q", 64, 64, POISSON) + "\nSELECT id, round(d2, 6) AS cost FROM d2")
+def dtw_poisson(spark, sf_dir):
+    e = event_series(spark, sf_dir).withColumn("series", F.slice("series", 1, 64))
+    q = e.filter("id = 0").select(F.col("series").alias("q"))
+    return e.join(F.broadcast(q)).select("id", knn.alignment("poisson")("q", "series").alias("a")).select("id", R6(F.col("a.cost")).alias("cost"))
+
+
+def _fast_sql(n: int, radius: int, base: int) -> str:
+    """CTEs from the halved series up: f<length>_d2 and f<length>_pa of each length."""
+    half = lambda x, k: f"list_transform(range({k}), lambda t: ({x}[2 * t + 1] + {x}[2 * t + 2]) / 2)"
+    out, sizes = f"h{n} AS MATERIALIZED (SELECT s.id, q.series AS a, s.series AS b FROM es s, (SELECT series FROM es WHERE id = 0) q)", [n]
+    while sizes[-1] > base:
+        k = sizes[-1] // 2
+        out += f",\nh{k} AS MATERIALIZED (SELECT id, {half('a', k)} AS a, {half('b', k)} AS b FROM h{sizes[-1]})"
+        sizes.append(k)
+    out += ",\n" + aligned_sql(f"f{sizes[-1]}_", f"SELECT * FROM h{sizes[-1]}", sizes[-1], sizes[-1])
+    for k in sizes[-2::-1]:
+        was = f"f{k // 2}_pa"
+        out += f""",
+p{k} AS (SELECT id, 2 * i - 1 AS i, 2 * j - 1 AS j FROM {was} UNION ALL SELECT x.id, x.i + y.i - 1, x.j + y.j - 1 FROM {was} x JOIN {was} y ON x.id = y.id AND y.step = x.step + 1 UNION ALL SELECT id, {k}, {k} FROM h{k}),
+g{k} AS (SELECT id, list(f ORDER BY i) AS f, list(l ORDER BY i) AS l FROM (SELECT id, i, min(j) AS f, max(j) AS l FROM p{k} GROUP BY id, i) GROUP BY id),
+"""
+        low = f"list_transform(range({k}), lambda t: CASE WHEN t < {radius} THEN 1 ELSE greatest(f[t - {radius - 1}] - {radius}, 1) END)"
+        high = f"list_transform(range({k}), lambda t: CASE WHEN t >= {k - radius} THEN {k} ELSE least(l[t + {radius + 1}] + {radius}, {k}) END)"
+        out += aligned_sql(f"f{k}_", f"SELECT id, a, b, {low} AS lo, {high} AS hi FROM h{k} JOIN g{k} USING (id)", k, k, window=True)
+    return out
+
+
+@query(f"WITH RECURSIVE {EMBEDDED},\n{_fast_sql(64, 5, 8)}\nSELECT id, round(d2, 6) AS cost, CAST(count(*) AS INT) AS steps FROM f64_pa JOIN f64_d2 USING (id) GROUP BY id, d2")
 def fastdtw(spark, sf_dir):
     e = embedded(spark, sf_dir)
     q = e.filter("id = 0").select(F.col("series").alias("q"))
-    return e.join(F.broadcast(q)).select("id", knn.alignment(radius=5)("q", "series").alias("a")).select("id", "a.cost", F.size("a.first").alias("steps"))
+    return e.join(F.broadcast(q)).select("id", knn.alignment(radius=5)("q", "series").alias("a")).select("id", R6(F.col("a.cost")).alias("cost"), F.size("a.first").alias("steps"))
 
 
-@query()
+def _barycenter_sql(iterations: int) -> str:
+    out = "av0 AS MATERIALIZED (SELECT series AS s FROM es ORDER BY id LIMIT 1)"
+    for k in range(1, iterations + 1):
+        pre = f"b{k}_"
+        out += ",\n" + aligned_sql(pre, f"SELECT id, s AS a, series AS b FROM es, av{k - 1}", 64, 64)
+        out += f",\nav{k} AS MATERIALIZED (SELECT list(v ORDER BY i) AS s FROM (SELECT i, sum(b[j]) / count(*) AS v FROM {pre}pa JOIN {pre}pr USING (id) GROUP BY i))"
+    return out
+
+
+@query(f"WITH RECURSIVE {EMBEDDED},\n{_barycenter_sql(5)}\nSELECT CAST(y AS INT) AS pos, round(s[y + 1], 6) AS v FROM av5, (SELECT unnest(range(64)) AS y)")
 def barycenter(spark, sf_dir):
     rows = embedded(spark, sf_dir)
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(knn.barycenter(rows.select("id", "series")))], "pos int, v double")
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(knn.barycenter(rows.select("id", "series")))], "pos int, v double")
 
 
 @query(input_warping() + """,
@@ -489,9 +571,39 @@ def knn_dtw_candidates(spark, sf_dir):
     return trace.knn_dtw_candidates(rows, nodes, roots, QUERY, RADIUS, 20, 5)
 
 
-@query()
+def _graph_sql(r: int, limit: int, howmany: int) -> str:
+    """CTEs up to edges(a, b, dist): an expansion of the nearest known series after another."""
+    out, links = "k0(id, dist) AS (SELECT 0::BIGINT, 0::DOUBLE)", []
+    for s in range(1, howmany + 1):
+        w = warping_sql(f"SELECT s.id, o.series AS a, s.series AS b FROM es s, (SELECT series FROM es JOIN q{s} USING (id)) o", 64, r)
+        w = w.replace("pr AS", f"pr{s} AS").replace("FROM pr", f"FROM pr{s}").replace("JOIN pr", f"JOIN pr{s}").replace("cell", f"cell{s}").replace("d2 AS MATERIALIZED", f"d2_{s} AS MATERIALIZED")
+        done = " UNION ALL ".join(f"SELECT id FROM q{t}" for t in range(1, s + 1))
+        out += f""",
+q{s} AS MATERIALIZED (SELECT id FROM k{s - 1} ORDER BY dist, id LIMIT 1),
+{w},
+n{s} AS (SELECT id, sqrt(d2) AS d, row_number() OVER (ORDER BY d2, id) AS k FROM d2_{s} QUALIFY k <= {max(limit, 2)}),
+e{s} AS MATERIALIZED (SELECT n.id, CASE WHEN u.d <> 0 THEN n.d / u.d WHEN n.d <> 0 THEN 'infinity'::DOUBLE ELSE 0 END AS dist FROM n{s} n, (SELECT d FROM n{s} WHERE k = 2) u WHERE k <= {limit}),
+k{s} AS MATERIALIZED (SELECT id, min(dist) AS dist FROM (SELECT * FROM k{s - 1} UNION ALL SELECT * FROM e{s}) WHERE id NOT IN ({done}) GROUP BY id)"""
+        links.append(f"SELECT {s} AS s, greatest(e.id, q.id) AS a, least(e.id, q.id) AS b, dist FROM e{s} e, q{s} q")
+    return out + f",\nedges AS MATERIALIZED (SELECT a, b, arg_min(dist, s) AS dist FROM ({' UNION ALL '.join(links)}) GROUP BY a, b)"
+
+
+GRAPH = f"WITH RECURSIVE {EMBEDDED},\n{_graph_sql(5, 6, 4)}"
+
+
+@query(f"{GRAPH}\nSELECT a, b, round(dist, 6) AS dist FROM edges")
 def similarity_graph(spark, sf_dir):
-    return graph.similarity_graph(embedded(spark, sf_dir), QUERY, 5, 6, 4)[0]
+    return graph.similarity_graph(embedded(spark, sf_dir), QUERY, 5, 6, 4)[0].withColumn("dist", R6(F.col("dist")))
+
+
+@query(GRAPH + """
+SELECT concat('  n', id, ' [label="', ngram, '"];') AS line FROM es WHERE id IN (SELECT a FROM edges UNION SELECT b FROM edges)
+UNION ALL SELECT concat('  n', a, ' -- n', b, ' [weight=', printf('%.6g', dist), '];') FROM edges WHERE a <> b
+UNION ALL SELECT unnest(['graph similar {', '}'])""")
+def similarity_drawing(spark, sf_dir):
+    """The lines of the graph's DOT file."""
+    text = graph.graph_dot(*graph.similarity_graph(embedded(spark, sf_dir), QUERY, 5, 6, 4))
+    return spark.createDataFrame([(line,) for line in text.split("\n")], "line string")
 
 
 @query()
