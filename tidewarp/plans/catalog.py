@@ -311,6 +311,15 @@ def auto_limit_curvature(spark, sf_dir):
     return knn.curvature(knn.full_ranks(d2)).filter("g2 IS NOT NULL").select(F.col("rank").cast("long").alias("rank"), R6(F.col("g2")).alias("g2"))
 
 
+@query(ORACLES["auto_limit_curvature"].replace("SELECT rank, round(g2, 6) AS g2 FROM g2 WHERE g2 IS NOT NULL", """,
+cut AS (SELECT coalesce((SELECT rank FROM g2 WHERE rank BETWEEN 2 AND (SELECT count(*) // 2 FROM d2) AND isfinite(g2) ORDER BY g2 DESC, rank LIMIT 1), 1) AS n)
+SELECT rank, ngram, id, round(sqrt(d2 / 256), 6) AS distance FROM (SELECT row_number() OVER (ORDER BY d2, id) - 1 AS rank, id, d2 FROM d2) JOIN si USING (id), cut WHERE rank < n""".lstrip()).replace("\n,\ncut", ",\ncut"))
+def knn_auto_limit(spark, sf_dir):
+    """Neighbours with the limit left open."""
+    out = knn.knn_dtw(similar_input(spark, sf_dir), [QUERY], RADIUS)
+    return out.select(F.col("rank").cast("long").alias("rank"), "ngram", "id", R6(F.col("distance")).alias("distance"))
+
+
 @query(input_warping() + """,
 o AS (SELECT row_number() OVER (ORDER BY d2, id) - 1 AS rank, id, sqrt(d2 / 256) AS d FROM d2)
 SELECT rank, id, round(d - (SELECT d FROM o WHERE rank = 1), 6) AS above FROM o WHERE rank >= 1""")
@@ -396,6 +405,14 @@ def mean_spectrum(spark, sf_dir):
     return metrics.mean_spectrum(fs.spectrum(event_series(spark, sf_dir))).select("frequency", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
+@query(f"""WITH {EVENTS}, sm AS (SELECT id, {smoothed_sql(fs.SMOOTH2)} AS s FROM (SELECT id, series AS x FROM es)),
+a AS (SELECT id, f, sqrt(pow(list_sum(list_transform(range(256), lambda t: s[t + 1] * cos(2 * pi() * f * t / 256))), 2) + pow(list_sum(list_transform(range(256), lambda t: s[t + 1] * sin(2 * pi() * f * t / 256))), 2)) / list_sum(s) AS v FROM sm, (SELECT unnest(range(1, 129)) AS f))
+SELECT CAST(f AS INT) AS frequency, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS std FROM a GROUP BY f""")
+def mean_spectrum_smooth2(spark, sf_dir):
+    out = metrics.mean_spectrum(fs.spectrum(fs.transformed(event_series(spark, sf_dir), "smooth2").select("id", "series")))
+    return out.select("frequency", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
 @query(f"""WITH {EVENTS}, v AS (SELECT id, y, series[y + 1] AS v FROM es, (SELECT unnest(range(256)) AS y)),
 s AS (SELECT id, y, sign(v - lag(v) OVER w) AS up, sign(lead(v) OVER w - v) AS nx FROM v WINDOW w AS (PARTITION BY id ORDER BY y))
 SELECT id, CAST(y AS INT) AS y, CAST(up AS INT) AS kind FROM s WHERE up * nx < 0""")
@@ -539,6 +556,28 @@ def wavelet_prune(spark, sf_dir):
     return wavelet.prune(event_series(spark, sf_dir), 0.02).select("id", "kept", "error")
 
 
+@query(f"""WITH RECURSIVE {EMBEDDED},
+lg AS MATERIALIZED (SELECT id, x, list_sum(x) AS total FROM (SELECT id, list_transform(series, lambda v: log10(1 + abs(v))) AS x FROM es)),
+le AS (SELECT level, 64 >> level AS block FROM (SELECT unnest(range(6))::INT AS level)),
+co AS MATERIALIZED (SELECT id, level, (1 << level) + pos AS i, (list_sum(x[pos * block + 1:pos * block + block // 2]) - list_sum(x[pos * block + block // 2 + 1:(pos + 1) * block])) / sqrt(block) AS c, sqrt(block) AS root FROM lg, (SELECT level, block, unnest(range(1 << level)) AS pos FROM le)),
+od AS MATERIALIZED (SELECT id, i, root * abs(c) AS cost, row_number() OVER (PARTITION BY id ORDER BY level DESC, c) AS n FROM co),
+st(id, n, budget, gone) AS (
+  SELECT id, 0::BIGINT, 0.1 * total, []::BIGINT[] FROM lg
+  UNION ALL
+  SELECT id, n, CASE WHEN go THEN budget - cost ELSE budget END, CASE WHEN go THEN list_append(gone, i) ELSE gone END
+  FROM (SELECT o.id, o.n, budget, gone, cost, i, (i >= 32 OR (list_contains(gone, 2 * i) AND list_contains(gone, 2 * i + 1))) AND cost < budget AS go FROM st JOIN od o ON o.id = st.id AND o.n = st.n + 1)),
+rest AS MATERIALIZED (SELECT id, i, c, level FROM co JOIN (SELECT id, gone FROM st WHERE n = 63) g USING (id) WHERE NOT list_contains(gone, i)),
+bk AS MATERIALIZED (SELECT l.id, t, l.x[t + 1] AS v, total, total / 64 + coalesce(sum(CASE WHEN t % (64 >> level) < (32 >> level) THEN c ELSE -c END / sqrt(64 >> level)), 0) AS b
+  FROM (SELECT *, unnest(range(64)) AS t FROM lg) l LEFT JOIN rest r ON r.id = l.id AND r.i = (1 << r.level) + t // (64 >> r.level) GROUP BY l.id, t, v, total)
+SELECT id, CAST(t AS INT) AS y, round(pow(10, b) - 1, 6) + 0.0 AS v, round(error, 6) AS error, CAST(kept AS INT) AS kept
+FROM bk JOIN (SELECT id, max(pow((v - b) / total, 2)) AS error FROM bk GROUP BY id) USING (id) JOIN (SELECT id, 63 - len(gone) AS kept FROM st WHERE n = 63) USING (id)""")
+def wavelet_prune_rows(spark, sf_dir):
+    """Pruned and restored values, where no two coefficients are equal and so their order is given."""
+    rows = embedded(spark, sf_dir).withColumn("series", F.transform("series", F.abs))
+    out = wavelet.prune(rows, 0.1)
+    return out.select("id", F.posexplode("series").alias("y", "v"), R6(F.col("error")).alias("error"), "kept").withColumn("v", R6(F.col("v")) + F.lit(0.0))
+
+
 def _dag(spark, sf_dir, max_error=0.5):
     rows = similar_input(spark, sf_dir)
     return rows, *wavelet.build_dag(rows.select("id", "series"), LENGTH, max_error)
@@ -644,6 +683,13 @@ def shared_levels(spark, sf_dir):
     return wavelet.dag_levels(nodes, roots).withColumn("ratio", R6(F.col("ratio")))
 
 
+@query(f"WITH {SHARED} SELECT round((count(DISTINCT key) * 14 + (SELECT count(*) FROM es) * 20)::DOUBLE / ((SELECT count(*) FROM es) * 256 * 8), 6) AS rate FROM tr")
+def shared_rate(spark, sf_dir):
+    """Bytes of the graph over those of the series."""
+    _, nodes, roots = _shared(spark, sf_dir)
+    return spark.createDataFrame([(round(wavelet.compression_rate(nodes, roots, LENGTH), 6),)], "rate double")
+
+
 @query(f"WITH {EVENTS} " + UNROLL.format("(SELECT id, series AS x FROM es)", LENGTH))
 def shared_reconstruct(spark, sf_dir):
     _, nodes, roots = _shared(spark, sf_dir)

@@ -26,11 +26,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """path, which is removed when the interpreter ends."""
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialized(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read again. This cuts the lineage, survives lost
     executors, and unlike checkpoint() computes df only once. Removed when the interpreter ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewarp-{label}-{uuid.uuid4().hex}"
+    path = removed_at_exit(spark, f"{shared_dir(spark)}/tidewarp-{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

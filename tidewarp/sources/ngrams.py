@@ -17,6 +17,13 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.get(parts, F.lit(0)).alias("ngram"), number(1).cast("int").alias("year"), number(2).alias("var0"), number(3).alias("var1")).to(ENTRIES)
 
 
+def write_entries(entries: DataFrame, path: str) -> None:
+    """Entries as tab-separated lines, as read_entries reads them. An n-gram with a tab or a line end fails."""
+    broken = F.raise_error(F.concat(F.lit("not a field: "), "ngram")).cast("string")
+    fields = [F.when(F.col("ngram").rlike(r"[\t\r\n]"), broken).otherwise(F.col("ngram")), *(F.col(c).cast("string") for c in ("year", "var0", "var1"))]
+    entries.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
+
+
 def scan_report(entries: DataFrame) -> DataFrame:
     """min_year, max_year, n_ngrams, max_count (over both variables), n_entries."""
     return entries.agg(
