@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidewarp.plans import catalog
+from tidewarp.plans import catalog, scratch
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,7 +35,8 @@ def test_entry(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_against_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
     want = duck.sql(catalog.ORACLES[name])
-    assert sorted(df.columns) == sorted(want.columns)
-    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+    with scratch.scope():
+        df = catalog.QUERIES[name](spark, SF)
+        assert sorted(df.columns) == sorted(want.columns)
+        assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())

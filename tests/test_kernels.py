@@ -118,3 +118,43 @@ def test_banded(n, r, seed):
     assert list(k.batches(rows[0], rows, 0)) == [((rows[0] - y) ** 2).sum() for y in rows]
     assert k.batches(rows[1], rows[:1], r)[0] == found[1]
     assert np.allclose(k.batches(rows[0].astype("f4"), rows.astype("f4"), r), found, rtol=1e-5)
+
+
+def slow_path(x, y, low, high):
+    """Cost of the best alignment in a window, cell by cell."""
+    c = np.full((len(x) + 1, len(y) + 1), np.inf)
+    c[0, 0] = 0
+    for i in range(len(x)):
+        for j in range(low[i] - 1, high[i]):
+            c[i + 1, j + 1] = (x[i] - y[j]) ** 2 + min(c[i, j], c[i, j + 1], c[i + 1, j])
+    return c[-1, -1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 14), st.integers(1, 14), st.integers(1, 5), st.integers(0, 10**6))
+def test_pairs_together(n, m, lanes, seed):
+    rng = np.random.default_rng(seed)
+    xs, ys = rng.integers(0, 4, (lanes, n)).astype(float), rng.integers(0, 4, (lanes, m)).astype(float)
+    low = np.sort(rng.integers(1, m + 1, (lanes, n)), axis=1)
+    high = np.maximum(np.sort(rng.integers(1, m + 1, (lanes, n)), axis=1), low)
+    low[:, 0], high[:, -1] = 1, m
+    every = [[1] * n] * lanes, [[m] * n] * lanes
+    for first, last, found in ((*every, k.together(xs, ys)), (low, high, k.together(xs, ys, "square", list(low), list(high)))):
+        for x, y, u, v, (cost, here, there) in zip(xs, ys, first, last, found):
+            assert cost == slow_path(x, y, u, v)
+            if cost < np.inf:
+                assert sum((x[i - 1] - y[j - 1]) ** 2 for i, j in zip(here, there)) == cost and all(u[i - 1] <= j <= v[i - 1] for i, j in zip(here, there))
+                assert (here[0], there[0], here[-1], there[-1]) == (1, 1, n, m)
+                assert all((a, b) in ((0, 1), (1, 0), (1, 1)) for a, b in zip(np.diff(here), np.diff(there)))
+
+
+def test_pairs_of_many_lengths():
+    rng = np.random.default_rng(4)
+    xs, ys = ([rng.integers(0, 9, rng.integers(5, 60)).astype(float) for _ in range(30)] for _ in range(2))
+    for point in ("square", "absval", "poisson"):
+        for found, one in ((k.together(xs, ys, point), lambda x, y: k.dtw(x, y, point)), (k.fast_together(xs, ys, 2, point), lambda x, y: k.fast(x, y, 2, point))):
+            for x, y, f in zip(xs, ys, found):
+                aligned(one(x, y), f[0], list(f[1]), list(f[2]))
+    assert k.together([], []) == []
+    with pytest.raises(ValueError):
+        k.dtw([], [1.0])

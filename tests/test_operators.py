@@ -1,10 +1,12 @@
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewarp.operators import graph, ingest, knn, metrics, trace, wavelet
+from tidewarp.plans import scratch
 from tidewarp.sources import ngrams
 
 
@@ -186,3 +188,26 @@ def test_stream_of_entries(spark, tmp_path):
     (tmp_path / "in" / "3.tsv").write_text("war\t1753\t1\t1\nmoney\t1754\t1\t1\n")
     counts.to_table(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(map(tuple, counts.read_table(spark, str(tmp_path / "out")).collect())) == [("money", 1, 1, 1), ("war", 0, 7, 5)]
+
+
+def test_tables_go_with_their_scope(spark):
+    def held(df):
+        return os.path.isdir(df.inputFiles()[0].removeprefix("file://").rpartition("/")[0])
+
+    with scratch.scope():
+        outer = scratch.materialized(spark.range(5), "outer")
+        with scratch.scope():
+            inner = scratch.materialized(spark.range(6), "inner")
+            at = inner.inputFiles()[0].removeprefix("file://")
+            assert inner.count() == 6 and os.path.exists(at)
+        assert not os.path.exists(at) and held(outer) and outer.count() == 5
+        at = outer.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(at) and held(scratch.materialized(spark.range(1), "kept"))
+
+
+def test_entries_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("war und", 1753, 3, 1), ("\u00e9t\u00e9", 2008, 1, 1)], "ngram string, year int, var0 long, var1 long")
+    ngrams.write_entries(rows, str(tmp_path / "e"))
+    assert sorted(ngrams.read_entries(spark, str(tmp_path / "e")).collect()) == sorted(rows.collect())
+    with pytest.raises(Exception, match="not a field"):
+        ngrams.write_entries(spark.createDataFrame([("a\tb", 1, 1, 1)], rows.schema), str(tmp_path / "f"))

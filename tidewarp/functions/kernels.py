@@ -14,28 +14,26 @@ def absval(x, y):
     return np.abs(x - y)
 
 
-def poisson(n1: float, n2: float) -> Point:
-    """Distance of counts from two series with sums n1 and n2: 0 where neither has any."""
+def poisson(n1, n2) -> Point:
+    """Distance of counts from two series with sums n1 and n2 (of each lane): 0 where neither has any."""
+    n1, n2 = np.asarray(n1, dtype=np.float64), np.asarray(n2, dtype=np.float64)
 
     def distance(x, y):
         both = np.asarray(x + y, dtype=np.float64)
-        mu = both / float(n1 + n2)
         none = (np.asarray(x) <= 0) & (np.asarray(y) <= 0)
+        mu = both / np.where(n1 + n2 == 0, 1.0, n1 + n2)
         return np.where(none, 0.0, ((x - mu * n1) ** 2 + (y - mu * n2) ** 2) / np.where(none, 1.0, both))
 
     return distance
 
 
 POINT_DISTANCES: dict[str, Point] = {"square": square, "absval": absval}
+CELLS = 4_000_000  # of the tables of pairs that are aligned together
 
 
-def point_distance(point: str | Point, x=(), y=()) -> Point:
-    """A distance of two values by name, or as given; poisson is for the sums of two series."""
-    if callable(point):
-        return point
-    if point == "poisson":
-        return poisson(float(np.sum(x)), float(np.sum(y)))
-    return POINT_DISTANCES[point]
+def point_distance(point: str | Point) -> Point:
+    """A distance of two values, by name or as given."""
+    return point if callable(point) else POINT_DISTANCES[point]
 
 
 def banded(query: np.ndarray, lanes: np.ndarray, r: int, point: Point = square) -> np.ndarray:
@@ -82,60 +80,101 @@ def batches(query: np.ndarray, rows: np.ndarray, r: int, point: Point = square,
     return out
 
 
-def table(x: np.ndarray, y: np.ndarray, point: Point = square, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
-    """Cumulative costs, a row per element of y and a column per element of x; column c only holds rows
-    low[c] to high[c] (from 0, both included), others are infinite."""
-    n, m = len(x), len(y)
-    low = np.zeros(n, dtype=int) if low is None else np.asarray(low)
-    high = np.full(n, m - 1) if high is None else np.asarray(high)
-    cost = np.full((m, n), np.inf)
-    for c in range(n):
-        a, z = low[c], high[c] + 1
-        own = point(x[c], y[a:z])
-        if c == 0:
-            cost[a:z, 0] = np.cumsum(own)
-            continue
-        left = cost[a:z, c - 1]
-        diagonal = np.concatenate([[np.inf if a == 0 else cost[a - 1, c - 1]], cost[a : z - 1, c - 1]])
-        enter = np.minimum(left, diagonal)
-        below = np.inf
-        for i in range(z - a):
-            below = own[i] + min(enter[i], below)
-            cost[a + i, c] = below
-    return cost
-
-
-def path(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cheapest path through a table, as positions from 1 in x and in y. Of equal steps the diagonal
-    is taken first, then the one with the same column, then that with the same row."""
-    i, j = cost.shape[0] - 1, cost.shape[1] - 1
-    rows, cols = [i], [j]
-    while i or j:
-        if not i:
-            j -= 1
-        elif not j:
-            i -= 1
-        else:
-            steps = (cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
-            best = steps.index(min(steps))
-            i, j = i - (best != 2), j - (best != 1)
-        rows.append(i)
-        cols.append(j)
-    return np.array(cols[::-1]) + 1, np.array(rows[::-1]) + 1
+class Costs:
+    """Cumulative costs of the alignments of many pairs, a pair per lane: x (n x lanes) with y (m x lanes).
+    Only the cells of an anti-diagonal between the first and the last inside some lane's window are held.
+    low, high: per element of x and lane the first and last place in y, from 0."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, point: Point, low: np.ndarray | None = None, high: np.ndarray | None = None):
+        (n, lanes), m = x.shape, len(y)
+        self.n, self.m, self.lanes = n, m, lanes
+        first = np.zeros(n, dtype=int) if low is None else low.min(axis=1)
+        last = np.full(n, m - 1) if high is None else high.max(axis=1)
+        self.lo, self.hi = np.full(n + m - 1, n), np.full(n + m - 1, -1)
+        for i in range(n):
+            part = slice(i + first[i], i + last[i] + 1)
+            self.lo[part] = np.minimum(self.lo[part], i)
+            self.hi[part] = i
+        width = np.maximum(self.hi - self.lo + 1, 0)
+        self.base = np.cumsum(width) - width - self.lo
+        self.cells = np.full((int(width.sum()), lanes), np.inf)
+        for k in range(n + m - 1):
+            a, z = int(self.lo[k]), int(self.hi[k])
+            if a > z:
+                continue
+            own = point(x[a : z + 1], y[k - z : k - a + 1][::-1])
+            if k:
+                own = own + np.minimum(np.minimum(self.diagonal(k - 1, a, z), self.diagonal(k - 1, a - 1, z - 1)), self.diagonal(k - 2, a - 1, z - 1))
+            if low is not None:
+                j = k - np.arange(a, z + 1)[:, None]
+                own = np.where((j >= low[a : z + 1]) & (j <= high[a : z + 1]), own, np.inf)
+            self.cells[self.base[k] + a : self.base[k] + z + 1] = own
+
+    def diagonal(self, k: int, a: int, z: int) -> np.ndarray:
+        """Costs on an anti-diagonal for elements a to z of x, infinite where none are held."""
+        out = np.full((z - a + 1, self.lanes), np.inf)
+        if k >= 0 and (first := max(a, int(self.lo[k]))) <= (last := min(z, int(self.hi[k]))):
+            out[first - a : last - a + 1] = self.cells[self.base[k] + first : self.base[k] + last + 1]
+        return out
+
+    def at(self, k: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Of each lane the cost on its anti-diagonal k for element i of x."""
+        held = (k >= 0) & (i >= self.lo[k]) & (i <= self.hi[k])
+        return np.where(held, self.cells[np.where(held, self.base[k] + i, 0), np.arange(self.lanes)], np.inf)
+
+    def paths(self) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each lane the cost and the cheapest path, as places from 1 in x and in y. Of equal steps the
+        diagonal is taken first, then the one that keeps the place in x, then that in y."""
+        i, j = np.full(self.lanes, self.n - 1), np.full(self.lanes, self.m - 1)
+        costs, steps = self.at(i + j, i), [(i, j)]
+        while (live := i + j > 0).any():
+            k = i + j
+            both, stay, go = self.at(k - 2, i - 1), self.at(k - 1, i), self.at(k - 1, i - 1)
+            diagonal = (both <= stay) & (both <= go)
+            keep = ~diagonal & (stay <= go)
+            i, j = i - (live & (i > 0) & ((j == 0) | ~keep)), j - (live & (j > 0) & ((i == 0) | diagonal | keep))
+            steps.append((i, j))
+        firsts, seconds = (np.stack([s[c] for s in steps]) for c in (0, 1))
+        lengths = 1 + ((firsts + seconds) > 0).sum(axis=0)
+        return [(float(c), firsts[: n, t][::-1] + 1, seconds[: n, t][::-1] + 1) for t, (c, n) in enumerate(zip(costs, lengths))]
+
+
+def together(xs, ys, point: str | Point = "square", low=None, high=None, sums=None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Cost and path of each pair. Pairs of the same lengths are aligned together, so many that a table of theirs
+    has CELLS values at most (a single pair may have more). low, high: per pair and element of the first the
+    first and last place in the second, from 1. sums: of each pair, for poisson."""
+    xs, ys = ([np.asarray(v, dtype=float) for v in side] for side in (xs, ys))
+    out: list = [None] * len(xs)
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for t, (x, y) in enumerate(zip(xs, ys)):
+        if not len(x) or not len(y):
+            raise ValueError("an empty series has no alignment")
+        sizes.setdefault((len(x), len(y)), []).append(t)
+    for (n, m), members in sizes.items():
+        if low is not None:
+            for t in members:
+                if len(low[t]) != n or len(high[t]) != n or low[t][0] != 1 or high[t][-1] != m:
+                    raise ValueError("the window must have an entry per element of x and hold both corners")
+        step = max(1, CELLS // (n * m))
+        for part in (members[k : k + step] for k in range(0, len(members), step)):
+            x, y = (np.stack([side[t] for t in part], axis=1) for side in (xs, ys))
+            window = [None if w is None else np.stack([np.asarray(w[t]) for t in part], axis=1) - 1 for w in (low, high)]
+            if point == "poisson":
+                distance = poisson(*(x.sum(axis=0), y.sum(axis=0)) if sums is None else np.array([sums[t] for t in part]).T)
+            else:
+                distance = point_distance(point)
+            for t, found in zip(part, Costs(x, y, distance, *window).paths()):
+                out[t] = found
+    return out
 
 
-def dtw(x, y, point: Point = square) -> tuple[float, np.ndarray, np.ndarray]:
-    cost = table(np.asarray(x, dtype=float), np.asarray(y, dtype=float), point)
-    return float(cost[-1, -1]), *path(cost)
+def dtw(x, y, point: str | Point = "square") -> tuple[float, np.ndarray, np.ndarray]:
+    return together([x], [y], point)[0]
 
 
-def windowed(x, y, low, high, point: Point = square) -> tuple[float, np.ndarray, np.ndarray]:
+def windowed(x, y, low, high, point: str | Point = "square") -> tuple[float, np.ndarray, np.ndarray]:
     """low, high: per element of x the first and last element of y that it may meet, from 1."""
-    low, high = np.asarray(low) - 1, np.asarray(high) - 1
-    if len(low) != len(x) or len(high) != len(x) or low[0] != 0 or high[-1] != len(y) - 1:
-        raise ValueError("the window must have an entry per element of x and hold both corners")
-    cost = table(np.asarray(x, dtype=float), np.asarray(y, dtype=float), point, low, high)
-    return float(cost[-1, -1]), *path(cost)
+    return together([x], [y], point, [low], [high])[0]
 
 
 def halved(x) -> np.ndarray:
@@ -173,9 +212,20 @@ def window_around(cols, rows, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(low, 1), np.minimum(high, n_rows)
 
 
-def fast(x, y, radius: int, point: Point = square) -> tuple[float, np.ndarray, np.ndarray]:
-    """Approximate alignment: that of the halved series, refined within radius."""
-    if min(len(x), len(y)) <= max(radius + 2, 10):
-        return dtw(x, y, point)
-    _, cols, rows = fast(halved(x), halved(y), radius, point)
-    return windowed(x, y, *window_around(*refined(cols, rows, len(x), len(y)), radius), point)
+def fast_together(xs, ys, radius: int, point: str | Point = "square", sums=None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Approximate alignments: those of the halved series, refined within radius."""
+    if point == "poisson" and sums is None:
+        sums = [(float(np.sum(x)), float(np.sum(y))) for x, y in zip(xs, ys)]
+    long = [t for t, (x, y) in enumerate(zip(xs, ys)) if min(len(x), len(y)) > max(radius + 2, 10)]
+    short = sorted(set(range(len(xs))) - set(long))
+    pick = lambda values, at: None if values is None else [values[t] for t in at]
+    out = dict(zip(short, together(pick(xs, short), pick(ys, short), point, sums=pick(sums, short))))
+    if long:
+        rough = fast_together([halved(xs[t]) for t in long], [halved(ys[t]) for t in long], radius, point, pick(sums, long))
+        windows = [window_around(*refined(cols, rows, len(xs[t]), len(ys[t])), radius) for t, (_, cols, rows) in zip(long, rough)]
+        out |= zip(long, together(pick(xs, long), pick(ys, long), point, [w[0] for w in windows], [w[1] for w in windows], pick(sums, long)))
+    return [out[t] for t in range(len(xs))]
+
+
+def fast(x, y, radius: int, point: str | Point = "square") -> tuple[float, np.ndarray, np.ndarray]:
+    return fast_together([x], [y], radius, point)[0]

@@ -294,12 +294,12 @@ ALIGNMENT = "struct<cost:double,first:array<int>,second:array<int>>"
 def alignment(point: str | kernels.Point = "square", radius: int | None = None):
     """A column function of two arrays (of any lengths): the cost and the path (positions from 1) of their
     unconstrained alignment, or the approximate one of radius. point may be poisson, or a function of two
-    arrays of values."""
+    arrays of values. Pairs of a batch with the same lengths are aligned together."""
     import pandas as pd
 
     @F.pandas_udf(ALIGNMENT)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [kernels.dtw(x, y, kernels.point_distance(point, x, y)) if radius is None else kernels.fast(x, y, radius, kernels.point_distance(point, x, y)) for x, y in zip(a, b)]
+        found = kernels.together(list(a), list(b), point) if radius is None else kernels.fast_together(list(a), list(b), radius, point)
         return pd.DataFrame({"cost": [f[0] for f in found], "first": [f[1] for f in found], "second": [f[2] for f in found]})
 
     return run
@@ -313,7 +313,7 @@ def windowed_alignment(point: str | kernels.Point = "square"):
 
     @F.pandas_udf(ALIGNMENT)
     def run(a: pd.Series, b: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
-        found = [kernels.windowed(x, y, u, v, kernels.point_distance(point, x, y)) for x, y, u, v in zip(a, b, low, high)]
+        found = kernels.together(list(a), list(b), point, list(low), list(high))
         return pd.DataFrame({"cost": [f[0] for f in found], "first": [f[1] for f in found], "second": [f[2] for f in found]})
 
     return run
@@ -361,9 +361,8 @@ def barycenter(series: DataFrame, iterations: int = 5) -> list[float]:
 
             total, count = np.zeros(len(now)), np.zeros(len(now), dtype=np.int64)
             for batch in parts:
-                for row in batch.column(0):
-                    values = np.asarray(row.as_py())
-                    _, here, there = kernels.dtw(now, values)
+                rows = [row.values.to_numpy(zero_copy_only=False) for row in batch.column(0)]
+                for values, (_, here, there) in zip(rows, kernels.together([now] * len(rows), rows)):
                     np.add.at(total, here - 1, values[there - 1])
                     np.add.at(count, here - 1, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(now), dtype=np.int32)), pa.array(total), pa.array(count)], names=["pos", "total", "n"])

@@ -9,7 +9,7 @@ from ..functions import series as fs
 from ..functions import text
 from ..operators import graph, ingest, knn, metrics, trace, wavelet
 from ..sources import ngrams
-from .scratch import materialized, shared_dir
+from .scratch import materialized, removed_later, shared_dir
 
 LENGTH, RADIUS, QUERY = 256, 10, "0"
 
@@ -764,7 +764,7 @@ def streamed_counts(spark, sf_dir):
 
     out = entries(spark, sf_dir)
     stream = spark.readStream.schema(out.schema).parquet(out.inputFiles()[0].rpartition("/")[0])
-    at = f"{shared_dir(spark)}/tidewarp-stream-{uuid.uuid4().hex}"
+    at = removed_later(spark, f"{shared_dir(spark)}/tidewarp-stream-{uuid.uuid4().hex}")
     query = counts.to_table(counts.running_counts(stream), f"{at}/counts", f"{at}/state")
     query.awaitTermination()
     return counts.read_table(spark, f"{at}/counts")

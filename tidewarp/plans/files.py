@@ -11,11 +11,11 @@ from ..functions import text
 from ..operators import knn, metrics, wavelet
 from ..sources import ngrams
 from .catalog import EMBEDDED, ENTRIES, EVENTS, LENGTH, ORACLES, QUERY, R6, UNCLEAN, UNROLL, _two_radii, embedded, entries, event_counts, event_series, query, rounded, smoothed_sql, table, warping_sql
-from .scratch import removed_at_exit, shared_dir
+from .scratch import removed_later, shared_dir
 
 
 def _file(spark: SparkSession, label: str) -> str:
-    return removed_at_exit(spark, f"{shared_dir(spark)}/tidewarp-{label}-{uuid.uuid4().hex}")
+    return removed_later(spark, f"{shared_dir(spark)}/tidewarp-{label}-{uuid.uuid4().hex}")
 
 
 @query(f"WITH {ENTRIES} SELECT ngram, year, var0, var1 FROM en")

@@ -1,7 +1,9 @@
 """Tables that cut lineage."""
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +28,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def removed_at_exit(spark: SparkSession, path: str) -> str:
-    """path, which is removed when the interpreter ends."""
-    atexit.register(_remove, spark, path)
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables that are written inside are removed at its end, so a session of many queries does not fill the
+    shared folder. What is read from them must be written or collected inside. Scopes nest."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _remove(spark, path)
+
+
+def removed_later(spark: SparkSession, path: str) -> str:
+    """path, which is removed at the end of the scope around the call, or without one when the interpreter ends."""
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    else:
+        atexit.register(_remove, spark, path)
     return path
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read again. This cuts the lineage, survives lost
-    executors, and unlike checkpoint() computes df only once. Removed when the interpreter ends."""
+    executors, and unlike checkpoint() computes df only once. Removed as removed_later says."""
     spark = df.sparkSession
-    path = removed_at_exit(spark, f"{shared_dir(spark)}/tidewarp-{label}-{uuid.uuid4().hex}")
+    path = removed_later(spark, f"{shared_dir(spark)}/tidewarp-{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
