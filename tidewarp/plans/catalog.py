@@ -420,6 +420,14 @@ def extrema(spark, sf_dir):
     return metrics.extrema(event_series(spark, sf_dir))
 
 
+@query(f"""WITH {INPUT}, v AS (SELECT id, y, round(series[y + 1], 9) AS v FROM si, (SELECT unnest(range(256)) AS y)),
+s AS (SELECT id, y, sign(v - lag(v) OVER w) AS up, sign(lead(v) OVER w - v) AS nx FROM v WINDOW w AS (PARTITION BY id ORDER BY y))
+SELECT id, CAST(y AS INT) AS y, CAST(up AS INT) AS kind FROM s WHERE up * nx < 0""")
+def extrema_gradient(spark, sf_dir):
+    """Extrema of the smoothed gradient."""
+    return metrics.extrema(similar_input(spark, sf_dir).withColumn("series", F.transform("series", lambda v: F.round(v, 9))))
+
+
 # Ingest
 
 
@@ -464,6 +472,27 @@ def store(spark, sf_dir):
     return ingest.summed(e, _dictionary(e), ystart=1800, ylength=128, normalize=ascii_normalized)
 
 
+NORMAL = "lower(nfc_normalize(ngram))"  # the texts here have no characters that NFKC maps further
+MAPPED = f"""{ENTRIES},
+mp AS (SELECT row_number() OVER (ORDER BY ngram) - 1 AS id, ngram FROM (SELECT DISTINCT {NORMAL} AS ngram FROM en WHERE NOT regexp_matches(ngram, '{UNCLEAN}'))),
+su AS (SELECT id, year - 1753 AS y, sum(var0)::BIGINT AS var0, sum(var1)::BIGINT AS var1 FROM (SELECT *, {NORMAL} AS norm FROM en) e JOIN mp ON e.norm = mp.ngram GROUP BY 1, 2)"""
+
+
+@query(f"WITH {MAPPED} SELECT id, CAST(y AS INT) AS y, var0, var1 FROM su")
+def store_normalized(spark, sf_dir):
+    """All years, by the library's own normalisation."""
+    e = entries(spark, sf_dir)
+    return ingest.summed(e, ingest.normalized_map(ingest.clean_entries(e)))
+
+
+@query(f"WITH {MAPPED} SELECT id, ngram, CAST(y AS INT) AS y, var0::DOUBLE AS v FROM su JOIN mp USING (id)")
+def built_series(spark, sf_dir):
+    """The values other than 0 of the series of every n-gram."""
+    e = entries(spark, sf_dir)
+    rows = ingest.build_series(e, ingest.normalized_map(ingest.clean_entries(e)))
+    return rows.select("id", "ngram", F.posexplode("series").alias("y", "v")).filter("v <> 0")
+
+
 @query(f"""WITH {ENTRIES},
 tr AS (SELECT DISTINCT lower(ngram) AS ngram, substr(lower(ngram), 1, 3) AS stem FROM en WHERE NOT regexp_matches(ngram, '{UNCLEAN}')),
 mp AS (SELECT row_number() OVER (ORDER BY stem) - 1 AS id, stem FROM (SELECT DISTINCT stem FROM tr))
