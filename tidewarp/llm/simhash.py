@@ -13,8 +13,8 @@ SEED = 42
 SHARD = 40_000  # distinct fingerprints in a shard, about
 SAMPLE = 8_192  # fingerprints from which the top of the tree is fitted, at most
 # The wide form, for similarities: at a Jaccard similarity of 0.8 fingerprints differ in arccos(8/9)/pi,
-# 0.15, of their bits, with a deviation of 0.022 for 256 bits.
-WIDE, WIDE_SHINGLE, WIDE_RADIUS = 4, 5, 50
+# 0.15, of their bits, with a deviation of 0.016 for 512 bits.
+WIDE, WIDE_SHINGLE, WIDE_RADIUS = 8, 5, 94
 BANDS, ROWS = 12, 3  # of min-hashes: at 0.8 a pair shares a band but for (1 - 0.8^3)^12, 2 in 10,000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
