@@ -369,6 +369,55 @@ def test_leaks_against_common_subsequences(spark, n, lengths):
     assert all(truth.get(d) == k for d, k in found)
 
 
+def test_space_of_all_passages(spark):
+    """The latent space holds what many passages share, also if only documents that a sample by hash leaves
+    out have it."""
+    rng = random.Random(14)
+    vocabulary = sorted(set(words(rng, 400)))[:240]
+    rng.shuffle(vocabulary)
+    items = [(k, " ".join(vocabulary[60 * k : 60 * k + 60])) for k in range(4)]
+    mixed = rng.sample(vocabulary, 80)
+    shared = [mixed[k : k + 20] for k in range(0, 80, 20)]
+    out_of_sample = [d for d in range(1200) if xxhash.xxh32_intdigest(str(d), 5) % 3][:400]
+    docs = {d: " ".join(rng.sample(vocabulary, 20)) for d in range(1200)} | {d: " ".join(shared[d % 4]) for d in out_of_sample}
+    index = decontamination.fitted(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").collect())
+    x = index["x"][:-1] / index["idf"][:, None]  # all terms are the first space's
+    assert x.shape[1] < 120 and np.allclose(x.T @ x, np.eye(x.shape[1]), atol=1e-4)
+    for part in shared:
+        v = np.zeros(len(x))
+        at = [index["vocabulary"][w.encode()] for w in part]
+        v[at] = index["idf"][at]
+        assert np.linalg.norm(v @ x) >= 0.99 * np.linalg.norm(v)
+
+
+@pytest.mark.parametrize("cells", [decontamination.CELLS, 50])
+def test_products_of_terms(spark, leaking, monkeypatch, cells):
+    """The products of terms are those of the TF-IDF rows of every passage, however many fit at once."""
+    docs, items, _ = leaking
+    docs = docs + [(d, items[d % 40][1]) for d in range(1000, 2000)]
+    monkeypatch.setattr(decontamination, "CELLS", cells)
+    monkeypatch.setattr(decontamination, "HELD", 1_000)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    shared = decontamination.weighed(frame, spark.createDataFrame(items[:12], "item_id long, text string").collect())
+    own = np.unique(np.concatenate([np.array(i) for i in shared["items"][:1 if cells == 50 else 6]]))
+    exact, n = np.zeros((len(own), len(own))), 0
+    for _, text in docs:
+        ids = [shared["vocabulary"].get(t, -1) for t in decontamination.terms(text.encode())]
+        for a in range(0, len(ids), decontamination.WINDOW):
+            v, n = np.zeros(len(shared["idf"])), n + 1
+            for t in ids[a : a + decontamination.WINDOW]:
+                if t >= 0:
+                    v[t] += shared["idf"][t]
+            v = (v / max(1e-9, np.sqrt(v @ v)))[own]
+            exact += np.outer(v, v)
+    got = np.zeros_like(exact)
+    for r in decontamination.products(shared, own).collect():
+        cols = np.frombuffer(r.cols, np.int32)
+        assert (cols >= r.row).all() and not got[r.row, cols].any()
+        got[r.row, cols] = got[cols, r.row] = np.frombuffer(r["products"], np.int64) / decontamination.UNIT
+    assert shared["n"] == n and np.allclose(got, exact, atol=1e-4)
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(50):
