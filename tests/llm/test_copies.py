@@ -369,9 +369,8 @@ def test_leaks_against_common_subsequences(spark, n, lengths):
     assert all(truth.get(d) == k for d, k in found)
 
 
-def test_space_of_all_passages(spark):
-    """The latent space holds what many passages share, also if only documents that a sample by hash leaves
-    out have it."""
+def hidden_passages():
+    """Documents, items, and passages that only documents have that a sample by hash leaves out."""
     rng = random.Random(14)
     vocabulary = sorted(set(words(rng, 400)))[:240]
     rng.shuffle(vocabulary)
@@ -380,16 +379,26 @@ def test_space_of_all_passages(spark):
     shared = [mixed[k : k + 20] for k in range(0, 80, 20)]
     out_of_sample = [d for d in range(1200) if xxhash.xxh32_intdigest(str(d), 5) % 3][:400]
     docs = {d: " ".join(rng.sample(vocabulary, 20)) for d in range(1200)} | {d: " ".join(shared[d % 4]) for d in out_of_sample}
-    index = decontamination.fitted(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").collect())
+    return list(docs.items()), items, shared
+
+
+def assert_space_holds(index, passages):
     x = index["x"][:-1] / index["idf"][:, None]  # all terms are the first space's
     assert x.shape[1] < 120 and np.allclose(x.T @ x, np.eye(x.shape[1]), atol=1e-4)
-    for part in shared:
+    for part in passages:
         v = np.zeros(len(x))
         at = [index["vocabulary"][w.encode()] for w in part]
         v[at] = index["idf"][at]
         assert np.linalg.norm(v @ x) >= 0.99 * np.linalg.norm(v)
 
 
+def test_space_of_all_passages(spark):
+    """The latent space holds what many passages share, whichever documents have it."""
+    docs, items, shared = hidden_passages()
+    index = decontamination.fitted(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").collect())
+    assert_space_holds(index, shared)
+
+
 @pytest.mark.parametrize("cells", [decontamination.CELLS, 50])
 def test_products_of_terms(spark, leaking, monkeypatch, cells):
     """The products of terms are those of the TF-IDF rows of every passage, however many fit at once."""

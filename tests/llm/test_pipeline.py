@@ -3,7 +3,7 @@ import random
 
 import duckdb
 import pytest
-from test_copies import slow_kept
+from test_copies import assert_space_holds, hidden_passages, slow_kept
 
 import corpus_pipeline
 from tidewarp.llm import decontamination, mixing
@@ -99,6 +99,16 @@ def test_benchmark_stage(spark, corpus):
     assert len(leaks) > 10 and kept == {r.doc_id for r in docs.collect()} - leaks
 
 
+def test_benchmark_stage_is_fitted_on_all_documents(spark, tmp_path, monkeypatch):
+    docs, items, shared = hidden_passages()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found, fitted = [], decontamination.fitted
+    monkeypatch.setattr(decontamination, "fitted", lambda *a: found.append(fitted(*a)) or found[-1])
+    STAGE["decontamination"](spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert len(found) == 1
+    assert_space_holds(found[0], shared)
+
+
 def test_mixing_stage(spark, corpus):
     docs = spark.read.parquet(f"{corpus[0]}/full/documents.parquet")
     con = duckdb.connect()
