@@ -96,6 +96,56 @@ def test_quality_held_out(corpus):
     assert kept.columns == docs.columns and kept.count() == sum(r.selected for r in out)
 
 
+def late_labels(spark):
+    """Documents, labels, and held-out ids: of more low documents than a sample of 1,500 by hash takes, those
+    that it leaves out are low in a way of their own. Odd held-out documents are low in that way."""
+    rng = random.Random(8)
+    order = [r.id for r in spark.range(1800).orderBy(F.xxhash64("id"), "id").collect()]
+    style = lambda t, i: t.upper().replace(" ", "!! ") if i in early else t.replace(" ", " qqq ")
+    early = set(order[:1500])
+    docs = [(i, style(text(rng, 12), i)) for i in order] + [(i, text(rng, 12)) for i in range(10_000, 11_800)]
+    held = [(20_000 + i, style(text(rng, 12), None) if i % 2 else text(rng, 12)) for i in range(100)]
+    labels = [(i, int(i >= 10_000), 0) for i, _ in docs]
+    return spark.createDataFrame(docs + held, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), [i for i, _ in held]
+
+
+def test_quality_is_fitted_on_all_labels(spark):
+    docs, labels, held = late_labels(spark)
+    out = {r.doc_id: r.selected for r in quality.quality(docs, labels).collect()}
+    assert sum(out[i] == (i % 2 == 0) for i in held) >= 97
+
+
+@pytest.mark.parametrize("grades", [(0, 1, 2), (0, 2), (0, 1)])
+def test_fit_of_all_rows(spark, monkeypatch, grades):
+    """The model is at the optimum of the loss over every row, computed here by one process; each labelled id
+    is a row once, and grades without rows do no harm."""
+    monkeypatch.setattr(ordinal, "HELD", 100)
+    monkeypatch.setattr(ordinal, "ENOUGH", 1e-9)
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.standard_normal((400, 5))).astype(np.float32) * (rng.random((400, 5)) < 0.7)
+    grade = np.array(grades)[np.digitize(x @ [2, -1, 0.5, 0, 0] + 0.5 * rng.standard_normal(400), [0, 1.5][: len(grades) - 1])]
+    docs = [(i, str(i)) for i in range(400)]
+    frame = spark.createDataFrame(docs + docs[:50] + [(999, "0"), (None, "0")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(grade)] + [(998, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    blocks = ordinal.feature_blocks(ordinal.labelled(frame, labels, F.col("quality")).repartition(3), lambda t: x[int(t)])
+    assert {r.grade: r.n for r in blocks.groupBy("grade").agg(F.sum("n").alias("n")).collect()} == {g: int((grade == g).sum()) for g in grades} and blocks.count() > 5
+    w, theta = ordinal.fit_all(blocks, 5, 3)
+    weight = (1.0 / np.maximum(np.bincount(grade), 1) / len(grades))[grade]
+
+    def loss(w, theta):
+        upper, lower = (ordinal.sigmoid(np.concatenate([[-np.inf], theta, [np.inf]])[grade + k] - x @ w) for k in (1, 0))
+        return -(weight * np.log(np.maximum(upper - lower, 1e-9))).sum() + 0.5e-4 * (w @ w)
+
+    best = loss(w, theta)
+    assert theta[0] < theta[1] and w[0] > 0 > w[1]
+    for k in range(5):
+        for d in (-0.05, 0.05):
+            assert loss(w + d * (np.arange(5) == k), theta) > best
+    assert all(loss(w, theta + d) > best for d in (-0.05, 0.05))
+    if len(grades) == 3:
+        assert all(loss(w, theta + np.array([0, d])) > best for d in (-0.05, 0.05))
+
+
 @pytest.mark.parametrize("fit,column,flag", [(toxicity.toxicity, "severity", "toxic"), (quality.quality, "grade", "selected")])
 def test_empty_tables_and_clashing_columns(spark, corpus, fit, column, flag):
     docs, labels, _ = corpus

@@ -4,6 +4,7 @@ import random
 import duckdb
 import pytest
 from test_copies import assert_space_holds, hidden_passages, slow_kept
+from test_models import late_labels
 
 import corpus_pipeline
 from tidewarp.llm import decontamination, mixing
@@ -62,6 +63,13 @@ def test_quality_stage(spark, corpus):
     assert not kept & set(range(3, 160, 10)) and len(kept & set(range(160))) >= 140
 
 
+def test_quality_stage_is_fitted_on_all_labels(spark, tmp_path):
+    docs, labels, held = late_labels(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in STAGE["quality"](spark, docs, str(tmp_path)).collect()}
+    assert sum((i in kept) == (i % 2 == 0) for i in held) >= 97
+
+
 def test_line_stage(spark, corpus):
     docs = spark.read.parquet(f"{corpus[0]}/full/documents.parquet")
     out = STAGE["line_dedup"](spark, docs, f"{corpus[0]}/full")

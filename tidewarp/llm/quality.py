@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from . import ordinal
 
-PER_GRADE = 1_500  # labelled rows of each grade that the model is fitted on, at most
 GRADES = 3  # low, usable (good but toxic), good
 BITS = 13  # of the hashed features
 CUT = 0.5  # P(grade >= 1) from which a document is selected
@@ -45,38 +44,26 @@ def features(text: bytes) -> np.ndarray:
     return x
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> dict:
-    """From labels (quality and toxic, 0 or 1): grade 0 is low quality, 1 good but toxic, 2 good."""
-    import pyarrow as pa
-
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """From all labels (quality and toxic, 0 or 1): grade 0 is low quality, 1 good but toxic, 2 good."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
-    sample = ordinal.labelled_sample(docs, labels, grade, GRADES, per_grade).select("grade", "text")
-
-    def run(batches):
-        for batch in batches:
-            rows = [features(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
-            at = [np.flatnonzero(x).astype(np.int32) for x in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(rows, at)], pa.list_(pa.float32()))], names=["grade", "ids", "x"])
-
-    got = sample.mapInArrow(run, "grade int, ids array<int>, x array<float>").toArrow()
-    grades = got.column("grade").to_numpy()
-    if not len(grades) or not (grades == 0).any() or not (grades > 0).any():
+    blocks = ordinal.feature_blocks(ordinal.labelled(docs, labels, grade), features)
+    grades = {r.grade for r in blocks.select("grade").distinct().collect()}
+    if 0 not in grades or len(grades) == 1:
         return {"w": np.zeros(1 << BITS), "theta": np.array([-9.0, -8.0])}  # nothing to tell apart: all stay
-    lengths = np.concatenate([c.value_lengths().to_numpy() for c in got.column("ids").chunks])
-    ids, x = (np.concatenate([c.flatten().to_numpy() for c in got.column(k).chunks]) for k in ("ids", "x"))
-    del got
-    w, theta = ordinal.fit(ids, x, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), grades, 1 << BITS, GRADES)
+    w, theta = ordinal.fit_all(blocks, 1 << BITS, GRADES)
     return {"w": w, "theta": theta}
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, cut: float = CUT, only: bool = False) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, only: bool = False) -> DataFrame:
     """docs without text, with grade (expected, from 0 to 2), grade_tail (P(grade >= 1)) and selected
     (from cut on); with only, the selected rows of docs as they were.
 
     Null and empty texts have the features of length 0. Texts are read whole; rows return as often as
     they come; an empty table returns none; without labelled rows on both sides every row is selected;
-    columns of docs with the names added are replaced. Nothing is shuffled but the sample."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_grade))
+    columns of docs with the names added are replaced. The model is fitted on all labelled rows; only their
+    texts are shuffled, if the labels are few enough to be broadcast."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     theta = model.value["theta"]
     cache: dict = {}
 

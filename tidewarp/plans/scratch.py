@@ -52,10 +52,11 @@ def removed_later(spark: SparkSession, path: str) -> str:
     return path
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
+def materialized(df: DataFrame, label: str, **options) -> DataFrame:
     """df written once to the shared folder and read again. This cuts the lineage, survives lost
-    executors, and unlike checkpoint() computes df only once. Removed as removed_later says."""
+    executors, and unlike checkpoint() computes df only once. Removed as removed_later says. options are the
+    writer's."""
     spark = df.sparkSession
     path = removed_later(spark, f"{shared_dir(spark)}/tidewarp-{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
