@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, line_dedup, mixing, secrets, simhash, token_counts, url_filters
+from . import chat_format, decontamination, exact_dedup, line_dedup, mixing, secrets, simhash, token_counts, url_filters
 from . import quality as quality_model
 from . import toxicity as toxicity_model
 from .common import table
@@ -55,9 +55,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(docs, table(spark, sf_dir, "labels"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, turn, role, chat_format.PLANTED) for turn, role in enumerate(("user", "assistant"))], rows.schema)
+    out = chat_format.chat_format(chat_format.from_rows(rows.unionByName(planted)))
+    out = out.select("conv_id", "formatted", chat_format.turns_in(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    count = lambda c: c.cast("long")
+    return out.select("conv_id", count(F.size("turns")).alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), count(F.char_length("loss")).alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), count(F.char_length("formatted")).alias("formatted_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_secret_scans, op7_line_dedup, op8_token_counts, op9_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_secret_scans, op7_line_dedup, op8_token_counts, op9_simhash, op10_quality, op13_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters.oracle(), "op2_mixing": mixing.oracle(), "op3_exact_dedup": exact_dedup.oracle(), "op6_secret_scans": secrets.oracle()}
+    return {"op1_url_filters": url_filters.oracle(), "op2_mixing": mixing.oracle(), "op3_exact_dedup": exact_dedup.oracle(), "op6_secret_scans": secrets.oracle(), "op13_chat_format": chat_format.oracle()}
