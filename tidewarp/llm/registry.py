@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, importance, line_dedup, mixing, secrets, simhash, token_counts, url_filters
+from . import chat_format, decontamination, exact_dedup, importance, line_dedup, mixing, prefix_trie, secrets, simhash, token_counts, url_filters
 from . import quality as quality_model
 from . import toxicity as toxicity_model
 from .common import table
@@ -59,6 +59,11 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.sequences(rows)))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, turn, role, chat_format.PLANTED) for turn, role in enumerate(("user", "assistant"))], rows.schema)
@@ -70,8 +75,8 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_secret_scans, op7_line_dedup, op8_token_counts, op9_simhash, op10_quality, op11_importance, op13_chat_format)}
+    return {f.__name__: f for f in (op1_url_filters, op2_mixing, op3_exact_dedup, op4_decontamination, op5_toxicity, op6_secret_scans, op7_line_dedup, op8_token_counts, op9_simhash, op10_quality, op11_importance, op12_prefix_trie, op13_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters.oracle(), "op2_mixing": mixing.oracle(), "op3_exact_dedup": exact_dedup.oracle(), "op6_secret_scans": secrets.oracle(), "op11_importance": importance.oracle(), "op13_chat_format": chat_format.oracle()}
+    return {"op1_url_filters": url_filters.oracle(), "op2_mixing": mixing.oracle(), "op3_exact_dedup": exact_dedup.oracle(), "op6_secret_scans": secrets.oracle(), "op11_importance": importance.oracle(), "op12_prefix_trie": prefix_trie.oracle(), "op13_chat_format": chat_format.oracle()}
