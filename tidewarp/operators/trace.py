@@ -76,11 +76,11 @@ def trace(nodes: DataFrame, roots: DataFrame, i: int, length: int, maxdepth: int
 
 def traceback(found: DataFrame, dictionary: DataFrame, limit: int = 20) -> DataFrame:
     """start (level; null: all levels together), rank, ngram, id, weight: the best of each level and in
-    all, by the sum of weights."""
+    all, by the sum of weights. Each task passes on only its own best of each."""
     sums = found.groupBy("start", "i").agg(F.sum("weight").alias("weight"))
     sums = sums.unionByName(sums.groupBy("i").agg(F.sum("weight").alias("weight")).withColumn("start", F.lit(None).cast("int")))
-    rank = F.row_number().over(Window.partitionBy("start").orderBy(F.col("weight").desc(), "i")) - 1
-    best = sums.withColumn("rank", rank).filter(F.col("rank") < limit)
+    place = F.row_number().over(Window.partitionBy("start").orderBy(F.col("weight").desc(), "i"))
+    best = sums.withColumn("place", place).filter(F.col("place") <= limit).withColumn("rank", F.col("place") - 1)
     return best.join(dictionary.select(F.col("id").alias("i"), "ngram"), "i").select("start", "rank", "ngram", F.col("i").alias("id"), "weight")
 
 

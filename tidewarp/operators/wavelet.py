@@ -11,7 +11,7 @@ from ..functions.series import lists, matrix, transformed
 from ..model import check_length
 from ..plans.scratch import materialized
 from ..sources.ngrams import numbered
-from . import knn, metrics
+from . import knn, merge, metrics
 
 CHUNK_ROWS = 16_384  # series that one task merges by default, about
 CHUNK_BITS = 40  # a node's id is its chunk shifted by these, and its number there
@@ -248,27 +248,8 @@ def shared_dag(series: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
 
 def reconstruct(nodes: DataFrame, roots: DataFrame, length: int) -> DataFrame:
-    """id, series of every root. A chunk's nodes and roots meet in one task, as they were built."""
-    schema = "id long, series array<double>"
-    chunk = lambda c: F.shiftright(c, CHUNK_BITS).alias("chunk")
-
-    def run(_, left, right):
-        import pandas as pd
-
-        base = (int(right.node_id.iloc[0]) >> CHUNK_BITS << CHUNK_BITS) if len(right) else 0
-        at = (right.node_id - base).to_numpy()
-        x, child = np.zeros(len(right)), np.zeros((len(right), 2), dtype=np.int64)
-        x[at] = right.x
-        child[at, 0], child[at, 1] = (right[c].fillna(base).to_numpy().astype(np.int64) - base for c in ("c0", "c1"))
-        now, details = (left.root_id.to_numpy() - base)[:, None], []
-        for level in range(h.levels(length)):
-            details.append(x[now])
-            now = child[now].reshape(len(left), -1) if level < h.levels(length) - 1 else now
-        rows = h.from_scaled(left.approx.to_numpy() * np.sqrt(length), details, length)
-        return pd.DataFrame({"id": left.i.to_numpy(), "series": list(rows)})
-
-    left = roots.withColumn("chunk", chunk("root_id")).groupBy("chunk")
-    return left.cogroup(nodes.withColumn("chunk", chunk("node_id")).groupBy("chunk")).applyInPandas(run, schema)
+    """id, series of every root, restored level by level (see merge.restored)."""
+    return merge.restored(nodes, roots, length)
 
 
 def dag_levels(nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as fs
 from ..functions import text
-from ..operators import graph, ingest, knn, metrics, trace, wavelet
+from ..operators import graph, ingest, knn, merge, metrics, trace, wavelet
 from ..sources import ngrams
 from .scratch import materialized, removed_later, shared_dir
 
@@ -607,38 +607,6 @@ def wavelet_prune_rows(spark, sf_dir):
     return out.select("id", F.posexplode("series").alias("y", "v"), R6(F.col("error")).alias("error"), "kept").withColumn("v", R6(F.col("v")) + F.lit(0.0))
 
 
-def _dag(spark, sf_dir, max_error=0.5):
-    rows = similar_input(spark, sf_dir)
-    return rows, *wavelet.build_dag(rows.select("id", "series"), LENGTH, max_error)
-
-
-@query()
-def dag_levels(spark, sf_dir):
-    _, nodes, roots = _dag(spark, sf_dir)
-    return wavelet.dag_levels(nodes, roots)
-
-
-@query()
-def dag_reconstruct(spark, sf_dir):
-    """The largest absolute difference that the graph leaves in each series, and the error it states."""
-    rows, nodes, roots = _dag(spark, sf_dir)
-    back = wavelet.reconstruct(nodes, roots, LENGTH).withColumnRenamed("series", "back")
-    gap = F.array_max(F.zip_with("series", "back", lambda a, b: F.abs(a - b)))
-    return rows.join(back, "id").join(roots.withColumnRenamed("i", "id"), "id").select("id", R6(gap).alias("gap"), R6(F.col("error")).alias("error"))
-
-
-@query()
-def traceback(spark, sf_dir):
-    rows, nodes, roots = _dag(spark, sf_dir)
-    return trace.traceback(trace.trace(nodes, roots, 0, LENGTH, 4), rows.select("id", "ngram"))
-
-
-@query()
-def knn_dtw_candidates(spark, sf_dir):
-    rows, nodes, roots = _dag(spark, sf_dir)
-    return trace.knn_dtw_candidates(rows, nodes, roots, QUERY, RADIUS, 20, 5)
-
-
 def _graph_sql(r: int, limit: int, howmany: int) -> str:
     """CTEs up to edges(a, b, dist): an expansion of the nearest known series after another."""
     out, links = "k0(id, dist) AS (SELECT 0::BIGINT, 0::DOUBLE)", []
@@ -674,33 +642,41 @@ def similarity_drawing(spark, sf_dir):
     return spark.createDataFrame([(line,) for line in text.split("\n")], "line string")
 
 
-@query()
-def dag_frames(spark, sf_dir):
-    _, nodes, roots = _dag(spark, sf_dir)
-    return graph.dag_frames(nodes, roots, [0, 1])[0]
-
-
 # The graph that shares equal subtrees only, which SQL can build too: a subtree is its place and its steps.
 
+LINKS = """ed AS MATERIALIZED (SELECT DISTINCT c.key AS node, p.key AS parent FROM tr c JOIN tr p ON c.id = p.id AND c.level = p.level + 1 AND c.pos // 2 = p.pos),
+np AS (SELECT node, count(*) AS n FROM ed GROUP BY node)"""
+
 SHARED = f"""{EVENTS},
 tr AS MATERIALIZED (SELECT id, level, pos, concat(level, ':', pos, ':', CAST(list_transform(range((256 >> level) - 1), lambda t: series[pos * (256 >> level) + t + 2] - series[pos * (256 >> level) + t + 1]) AS VARCHAR)) AS key,
   list_sum(series[pos * (256 >> level) + 1:pos * (256 >> level) + (128 >> level)]) - list_sum(series[pos * (256 >> level) + (128 >> level) + 1:(pos + 1) * (256 >> level)]) AS x
   FROM (SELECT id, series, level, unnest(range(1 << level)) AS pos FROM es, (SELECT unnest(range(8))::INT AS level))),
-ed AS MATERIALIZED (SELECT DISTINCT c.key AS node, p.key AS parent FROM tr c JOIN tr p ON c.id = p.id AND c.level = p.level + 1 AND c.pos // 2 = p.pos),
-np AS (SELECT node, count(*) AS n FROM ed GROUP BY node)"""
+{LINKS}"""
 
 
-def _traced(query: int, maxdepth: int) -> str:
+def _traced(query: int, maxdepth: int, begin: int = 0, end: int = LENGTH, minweight: float = 0.0) -> str:
     """fr(start, i, weight) of the walks from each level, which go up together."""
     ctes, last = "", None
     for level in range(maxdepth, -1, -1):
-        own = f"SELECT {level} AS start, key AS node, 1.0::DOUBLE AS w FROM tr WHERE id = {query} AND level = {level}"
+        width = LENGTH >> level
+        inside = f" AND {end} > {width} * pos AND {begin} < {width} * (pos + 1)" if level else ""
+        own = f"SELECT {level} AS start, key AS node, 1.0::DOUBLE AS w FROM tr WHERE id = {query} AND level = {level}{inside}"
         up = f"SELECT start, parent AS node, product(w / n) AS w FROM {last} JOIN ed USING (node) JOIN np USING (node) GROUP BY 1, 2 UNION ALL " if last else ""
-        ctes += f"\nup{level} AS MATERIALIZED ({up}{own}),"
+        ctes += f"\nup{level} AS MATERIALIZED (SELECT * FROM ({up}{own}) WHERE w >= {minweight}),"
         last = f"up{level}"
     return f"{ctes}\nfr AS (SELECT start, id AS i, w AS weight FROM {last} JOIN tr ON tr.key = {last}.node AND tr.level = 0)"
 
 
+RANKED = """, su AS (SELECT start, i, sum(weight) AS s FROM fr GROUP BY start, i UNION ALL SELECT NULL, i, sum(weight) FROM fr GROUP BY i)
+SELECT start, row_number() OVER (PARTITION BY start ORDER BY s DESC) - 1 AS rank, round(log10(s), 6) + 0.0 AS strength FROM su QUALIFY rank < 20"""
+
+
+def _strengths(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rank and strength of the best. Which of equally strong ones comes first hangs on the last digit of products, so it is left out."""
+    best = trace.traceback(found, rows.select("id", "ngram"))
+    return best.select("start", F.col("rank").cast("long").alias("rank"), (R6(F.log10("weight")) + F.lit(0.0)).alias("strength"))
+
+
 def _shared(spark, sf_dir):
     rows = materialized(event_series(spark, sf_dir), "event-series")
     return rows, *wavelet.shared_dag(rows, LENGTH)
@@ -731,13 +707,10 @@ def shared_trace(spark, sf_dir):
     return trace.trace(nodes, roots, 0, LENGTH, 6).select("start", "i", (R6(F.log10("weight")) + F.lit(0.0)).alias("strength"))
 
 
-@query(f"""WITH {SHARED},{_traced(0, 6)}, su AS (SELECT start, i, round(log10(sum(weight)), 6) AS s FROM fr GROUP BY start, i UNION ALL SELECT NULL, i, round(log10(sum(weight)), 6) FROM fr GROUP BY i)
-SELECT start, count(*) AS found, max(s) + 0.0 AS strongest FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY s DESC, i) AS k FROM su) WHERE k <= 20 GROUP BY start""")
+@query(f"WITH {SHARED},{_traced(0, 6)}{RANKED}")
 def shared_traceback(spark, sf_dir):
-    """How many series the best of each level are, and how strong the strongest is."""
     rows, nodes, roots = _shared(spark, sf_dir)
-    best = trace.traceback(trace.trace(nodes, roots, 0, LENGTH, 6), rows.select("id", "ngram"))
-    return best.groupBy("start").agg(F.count("*").alias("found"), (F.max(R6(F.log10("weight"))) + F.lit(0.0)).alias("strongest"))
+    return _strengths(trace.trace(nodes, roots, 0, LENGTH, 6), rows)
 
 
 @query(f"""WITH RECURSIVE {SHARED},{_traced(0, 6)},
@@ -755,6 +728,89 @@ def shared_frames(spark, sf_dir):
     return graph.dag_frames(nodes, roots, [0, 1, 2])[0].select("level", "pos", "uses", "x", R6(F.col("scaled_x")).alias("scaled_x"))
 
 
+# The graph of merged subtrees: blocks with the same children and coefficients in one cell share a node.
+
+MERGE_ERROR = 2.0
+
+
+def _merged_sql(max_error: float = MERGE_ERROR, step: float = merge.STEP) -> str:
+    """tr(id, level, pos, key, x, c0, c1, error): each place of each tree, with the node that it takes as key."""
+    out = f"""{EVENTS},
+tx AS MATERIALIZED (SELECT id, level, pos, list_sum(series[pos * (256 >> level) + 1:pos * (256 >> level) + (128 >> level)]) - list_sum(series[pos * (256 >> level) + (128 >> level) + 1:(pos + 1) * (256 >> level)]) AS x
+  FROM (SELECT id, series, level, unnest(range(1 << level)) AS pos FROM es, (SELECT unnest(range(8))::INT AS level)))"""
+    for level in reversed(range(8)):
+        block = 256 >> level
+        if level == 7:
+            own = "SELECT id, pos, x, -1 - pos AS c0, -1 - pos AS c1, 0.0::DOUBLE AS error FROM tx WHERE level = 7"
+        else:
+            own = f"SELECT x.id, x.pos, x.x, a.key AS c0, b.key AS c1, greatest(a.error, b.error) AS error FROM tx x JOIN m{level + 1} a ON a.id = x.id AND a.pos = 2 * x.pos JOIN m{level + 1} b ON b.id = x.id AND b.pos = 2 * x.pos + 1 WHERE x.level = {level}"
+        out += f""",
+m{level} AS MATERIALIZED (SELECT id, {level} AS level, pos, min(id * 512 + {1 << level} + pos) OVER (PARTITION BY c0, c1, v) AS key, v AS x, c0, c1, error FROM (
+  SELECT id, pos, c0, c1, CASE WHEN more <= {max_error} THEN low ELSE x END AS v, CASE WHEN more <= {max_error} THEN more ELSE error END AS error FROM (
+    SELECT *, error + abs(x - low) / {block} AS more FROM (SELECT *, min(x) OVER (PARTITION BY c0, c1, floor(x / {step * max_error * block})) AS low FROM ({own})))))"""
+    return out + ",\ntr AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM m{level}" for level in range(8)) + ")"
+
+
+def _dag(spark, sf_dir):
+    rows = materialized(event_series(spark, sf_dir), "event-series")
+    return rows, *merge.merged_dag(rows, LENGTH, MERGE_ERROR)
+
+
+@query(f"WITH {_merged_sql()} SELECT level, count(DISTINCT key) AS nodes, round(count(DISTINCT key)::DOUBLE / ((SELECT count(*) FROM es) * (1 << level)), 6) AS ratio FROM tr GROUP BY level")
+def dag_levels(spark, sf_dir):
+    _, nodes, roots = _dag(spark, sf_dir)
+    return wavelet.dag_levels(nodes, roots).withColumn("ratio", R6(F.col("ratio")))
+
+
+@query(f"""WITH {_merged_sql()}
+SELECT DISTINCT level, CAST(key % 512 - (1 << level) AS INT) AS pos, key AS node_id, x, CASE WHEN c0 >= 0 THEN c0 END AS c0, CASE WHEN c1 >= 0 THEN c1 END AS c1 FROM tr""")
+def dag_nodes(spark, sf_dir):
+    """Every node of the merged graph."""
+    return _dag(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_merged_sql()},
+bk AS (SELECT e.id, e.t, any_value(e.v) AS v, any_value(e.total) / 256 + sum(CASE WHEN t % (256 >> level) < (128 >> level) THEN x ELSE -x END / (256 >> level)) AS b
+  FROM (SELECT id, unnest(range(256)) AS t, unnest(series) AS v, list_sum(series) AS total FROM es) e JOIN tr ON tr.id = e.id AND tr.pos = e.t // (256 >> tr.level) GROUP BY e.id, e.t)
+SELECT id, round(max(abs(v - b)), 6) AS gap, round(error, 6) AS error FROM bk JOIN (SELECT id, error FROM m0) USING (id) GROUP BY id, error""")
+def dag_reconstruct(spark, sf_dir):
+    """The largest absolute difference that the graph leaves in each series, and the error it states."""
+    rows, nodes, roots = _dag(spark, sf_dir)
+    back = wavelet.reconstruct(nodes, roots, LENGTH).withColumnRenamed("series", "back")
+    gap = F.array_max(F.zip_with("series", "back", lambda a, b: F.abs(a - b)))
+    return rows.join(back, "id").join(roots.withColumnRenamed("i", "id"), "id").select("id", R6(gap).alias("gap"), R6(F.col("error")).alias("error"))
+
+
+@query(f"WITH {_merged_sql()},\n{LINKS},{_traced(0, 4)}{RANKED}")
+def traceback(spark, sf_dir):
+    rows, nodes, roots = _dag(spark, sf_dir)
+    return _strengths(trace.trace(nodes, roots, 0, LENGTH, 4), rows)
+
+
+@query(f"WITH {_merged_sql()},\n{LINKS},{_traced(0, 7, 40, 170, 1e-9)}\nSELECT start, i, round(log10(weight), 6) + 0.0 AS strength FROM fr")
+def trace_range(spark, sf_dir):
+    """Walks from the nodes over a part of the series, without those that grow too weak on the way up."""
+    _, nodes, roots = _dag(spark, sf_dir)
+    found = trace.trace(nodes, roots, 0, LENGTH, 7, 40, 170, 1e-9)
+    return found.select("start", "i", (R6(F.log10("weight")) + F.lit(0.0)).alias("strength"))
+
+
+@query(f"""WITH RECURSIVE {_merged_sql()},
+{LINKS},{_traced(0, 5)},
+""" + warping_sql("SELECT s.id, q.series AS a, s.series AS b FROM es s, (SELECT series FROM es WHERE id = 0) q WHERE s.id IN (SELECT i FROM fr)", LENGTH, RADIUS) + """
+SELECT row_number() OVER (ORDER BY d2, id) - 1 AS rank, ngram, id, round(sqrt(d2 / 256), 6) AS distance FROM d2 JOIN es USING (id) ORDER BY d2, id LIMIT 20""")
+def knn_dtw_candidates(spark, sf_dir):
+    rows, nodes, roots = _dag(spark, sf_dir)
+    return trace.knn_dtw_candidates(rows, nodes, roots, QUERY, RADIUS, 20, 5).withColumns({"rank": F.col("rank").cast("long"), "distance": R6(F.col("distance"))})
+
+
+@query(f"""WITH {_merged_sql()}, us AS (SELECT key AS node_id, level, CAST(key % 512 - (1 << level) AS INT) AS pos, any_value(x) AS x, count(DISTINCT id) AS uses FROM tr WHERE id IN (0, 1) GROUP BY 1, 2, 3)
+SELECT node_id, level, pos, uses, x, round(coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0.5), 6) AS scaled_x FROM us WINDOW w AS (PARTITION BY level, pos)""")
+def dag_frames(spark, sf_dir):
+    _, nodes, roots = _dag(spark, sf_dir)
+    return graph.dag_frames(nodes, roots, [0, 1])[0].withColumn("scaled_x", R6(F.col("scaled_x")))
+
+
 def _two_radii() -> str:
     pair = "SELECT s.id, q.series AS a, s.series AS b FROM es s, (SELECT series FROM es WHERE id = 0) q"
     a = warping_sql(pair, 64, 0)
