@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as fs
 from ..functions import text
-from ..operators import graph, ingest, knn, merge, metrics, trace, wavelet
+from ..operators import graph, ingest, knn, merge, metrics, skip_index, trace, wavelet
 from ..sources import ngrams
 from .scratch import materialized, removed_later, shared_dir
 
@@ -185,6 +185,22 @@ def knn_dtw_multi(spark, sf_dir):
     return knn.knn_dtw(similar_input(spark, sf_dir), ["0", "1"], RADIUS, 20).withColumns({"rank": F.col("rank").cast("long"), "distance": R6(F.col("distance"))})
 
 
+def _skip_index(spark, sf_dir) -> str:
+    at = removed_later(spark, f"{shared_dir(spark)}/tidewarp-index-{uuid.uuid4().hex}")
+    skip_index.write_index(similar_input(spark, sf_dir), at, LENGTH, file_rows=64)
+    return at
+
+
+@query(ORACLES["knn_dtw"])
+def knn_dtw_indexed(spark, sf_dir):
+    return skip_index.knn_dtw_indexed(spark, _skip_index(spark, sf_dir), QUERY, RADIUS, 20).withColumns({"rank": F.col("rank").cast("long"), "distance": R6(F.col("distance"))})
+
+
+@query(ORACLES["knn_dtw_range"])
+def knn_dtw_indexed_range(spark, sf_dir):
+    return skip_index.knn_dtw_indexed(spark, _skip_index(spark, sf_dir), QUERY, RADIUS, 20, 32, 160).withColumns({"rank": F.col("rank").cast("long"), "distance": R6(F.col("distance"))})
+
+
 @query(ORACLES["knn_dtw"])
 def knn_dtw_pruned(spark, sf_dir):
     index = materialized(knn.bound_index(similar_input(spark, sf_dir), RADIUS, LENGTH), "bounds")
