@@ -4,28 +4,38 @@ from pyspark.sql import functions as F
 
 from ..model import series_of
 from ..plans.scratch import materialized
-from .knn import squared_sums
+from . import many
 
+AHEAD = 4  # known series whose neighbours one pass finds
 
-def similarity_graph(series: DataFrame, ngram: str, r: int, limit: int, howmany: int, begin: int = 0, end: int | None = None) -> tuple[DataFrame, DataFrame]:
+
+def similarity_graph(series: DataFrame, ngram: str, r: int, limit: int, howmany: int, begin: int = 0, end: int | None = None, ahead: int = AHEAD) -> tuple[DataFrame, DataFrame]:
     """edges (a > b, dist) and vertices (id, ngram). From one series on, the known one that is nearest to
     those expanded is expanded: its limit nearest series (itself among them) become known, at their
     distances over that of the nearest other one; howmany are expanded. The first distance of an edge
     stays. If the nearest other series is identical, distances over 0 count as infinite, and 0 over 0 as 0.
 
-    Each expansion is one job over all series; only its limit best rows come back."""
+    One pass over all series finds the neighbours of the `ahead` known series that are nearest at the time; then series are
+    expanded in their order for as long as their neighbours are at hand, so edges do not hang on `ahead`. The walk
+    itself is over howmany * limit rows at most, which the caller states."""
     start = series_of(series, [ngram])[ngram][0]
     backlog: dict[int, float] = {start: 0.0}
     done: set[int] = set()
     edges: dict[tuple[int, int], float] = {}
+    near: dict[int, list[tuple[int, float]]] = {}
     while backlog and len(done) < howmany:
-        i = min(backlog, key=lambda k: (backlog[k], k))
-        query = series.filter(F.col("id") == i).select("series").first().series
-        near = [(row.id, row.d2**0.5) for row in squared_sums(series.select("id", "series"), [query], r, begin, end).orderBy("d2", "id").limit(max(2, limit)).collect()]
-        unit = near[1][1] if len(near) > 1 else 0.0
+        order = sorted(backlog, key=lambda k: (backlog[k], k))
+        i = order[0]
+        if i not in near:
+            wanted = [k for k in order if k not in near][: max(1, min(ahead, howmany - len(done)))]
+            queries = series.filter(F.col("id").isin(wanted)).select("id", "series")
+            near.update({k: [] for k in wanted})
+            for row in many.knn_many(series.select("id", "ngram", "series"), queries, r, max(2, limit), begin, end).orderBy("query", "rank").collect():
+                near[row.query].append((row.id, row.distance))
+        unit = near[i][1][1] if len(near[i]) > 1 else 0.0
         del backlog[i]
         done.add(i)
-        for j, d in near[:limit]:
+        for j, d in near.pop(i)[:limit]:
             dist = d / unit if unit else (float("inf") if d else 0.0)
             edges.setdefault((max(i, j), min(i, j)), dist)
             if j not in done:

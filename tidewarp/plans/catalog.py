@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as fs
 from ..functions import text
-from ..operators import graph, ingest, knn, merge, metrics, skip_index, trace, wavelet
+from ..operators import graph, ingest, knn, many, merge, metrics, skip_index, trace, wavelet
 from ..sources import ngrams
 from .scratch import materialized, removed_later, shared_dir
 
@@ -185,6 +185,15 @@ def knn_dtw_multi(spark, sf_dir):
     return knn.knn_dtw(similar_input(spark, sf_dir), ["0", "1"], RADIUS, 20).withColumns({"rank": F.col("rank").cast("long"), "distance": R6(F.col("distance"))})
 
 
+@query(f"WITH RECURSIVE {EMBEDDED},\n" + warping_sql("SELECT s.id * 1000000 + q.id AS id, q.series[17:48] AS a, s.series[17:48] AS b FROM es s, (SELECT id, series FROM es WHERE id % 20 = 0) q", 32, 3) + """
+SELECT id % 1000000 AS query, row_number() OVER w - 1 AS rank, id // 1000000 AS id, CAST(id // 1000000 AS VARCHAR) AS ngram, round(sqrt(d2 / 32), 6) AS distance FROM d2 WINDOW w AS (PARTITION BY id % 1000000 ORDER BY d2, id) QUALIFY rank < 5""")
+def knn_many(spark, sf_dir):
+    """The five nearest over a part of the series for every id divisible by 20, against all."""
+    rows = embedded(spark, sf_dir)
+    out = many.knn_many(rows, rows.filter("id % 20 = 0"), 3, 5, 16, 48)
+    return out.withColumns({"rank": F.col("rank").cast("long"), "distance": R6(F.col("distance"))})
+
+
 def _skip_index(spark, sf_dir) -> str:
     at = removed_later(spark, f"{shared_dir(spark)}/tidewarp-index-{uuid.uuid4().hex}")
     skip_index.write_index(similar_input(spark, sf_dir), at, LENGTH, file_rows=64)
