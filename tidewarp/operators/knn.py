@@ -370,3 +370,43 @@ def barycenter(series: DataFrame, iterations: int = 5) -> list[float]:
         sums = series.select(F.col("series").cast("array<double>")).mapInArrow(run, "pos int, total double, n long")
         average = [r.v for r in sums.groupBy("pos").agg((F.sum("total") / F.sum("n")).alias("v")).orderBy("pos").collect()]  # a row per element
     return average
+
+
+def barycenters(series: DataFrame, by: str, iterations: int = 5) -> DataFrame:
+    """by, n, series: the barycenter of each group of series (by, id, series) and the number of its members. A group starts from its
+    series with the smallest id (null ids last), and all groups take the same number of rounds, in one pass each. Null series
+    are left out; a null group is a group. Lengths may differ, also inside a group.
+
+    Averages are a table, a row per group; each row of series meets its group's. Tasks sum per group and element of the average in each
+    batch, so a group that holds a third of all rows leaves a task as one row an element. Beyond what is broadcast, the join has two written
+    sides, and adaptive execution splits a hot group."""
+    rows = series.filter("series IS NOT NULL").select(F.col(by).alias("__group"), "id", F.col("series").cast("array<double>").alias("series"))
+    first = F.min_by("series", F.struct(F.col("id").isNull(), "id"))
+    averages = materialized(rows.groupBy("__group").agg(first.alias("average"), F.count("*").alias("n")), "barycenters")
+    for _ in range(iterations):
+        met = rows.join(averages.select(F.col("__group").alias("__of"), "average"), F.col("__group").eqNullSafe(F.col("__of")))
+        sums = met.select(F.to_json(F.struct("__group")).alias("key"), "series", "average").mapInArrow(_aligned_sums, "key string, pos int, total double, n long")
+        means = sums.groupBy("key", "pos").agg((F.sum("total") / F.sum("n")).alias("v"))
+        # a group's average has as many elements as one of its series
+        means = means.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("at")).select("key", F.col("at.v").alias("average"))
+        averages = materialized(averages.select("__group", "n", F.to_json(F.struct("__group")).alias("key")).join(means.withColumnRenamed("average", "moved"), "key", "left").select("__group", F.coalesce("moved", "average").alias("average"), "n"), "barycenters")
+    return averages.select(F.col("__group").alias(by), "n", F.col("average").alias("series"))
+
+
+def _aligned_sums(parts):
+    """Of batches (key, series, average) the sums and counts, per key and element of the average, of the values aligned to it."""
+    import pyarrow as pa
+
+    for batch in parts:
+        if not batch.num_rows:
+            continue
+        keys, encoded = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
+        rows, own = ([row.values.to_numpy(zero_copy_only=False) for row in batch.column(k)] for k in (1, 2))
+        used = [k for k in range(len(rows)) if len(rows[k]) and len(own[k])]
+        width = max((len(o) for o in own), default=0)
+        total, count = np.zeros((len(keys), width)), np.zeros((len(keys), width), dtype=np.int64)
+        for k, (_, here, there) in zip(used, kernels.together([own[k] for k in used], [rows[k] for k in used])):
+            np.add.at(total[encoded[k]], here - 1, rows[k][there - 1])
+            np.add.at(count[encoded[k]], here - 1, 1)
+        at, pos = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at], pa.string()), pa.array(pos, pa.int32()), pa.array(total[at, pos]), pa.array(count[at, pos])], names=["key", "pos", "total", "n"])

@@ -322,6 +322,22 @@ def barycenter(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(knn.barycenter(rows.select("id", "series")))], "pos int, v double")
 
 
+def _barycenters_sql(iterations: int) -> str:
+    out = "gl AS (SELECT vec_id AS id, label FROM embeddings),\nav0 AS MATERIALIZED (SELECT label, arg_min(series, id) AS s, count(*) AS n FROM es JOIN gl USING (id) GROUP BY label)"
+    for k in range(1, iterations + 1):
+        pre = f"b{k}_"
+        out += ",\n" + aligned_sql(pre, f"SELECT es.id, s AS a, series AS b FROM es JOIN gl ON gl.id = es.id JOIN av{k - 1} USING (label)", 64, 64)
+        out += f",\nav{k} AS MATERIALIZED (SELECT label, list(v ORDER BY i) AS s FROM (SELECT label, i, sum(b[j]) / count(*) AS v FROM {pre}pa JOIN {pre}pr USING (id) JOIN gl USING (id) GROUP BY label, i) GROUP BY label)"
+    return out
+
+
+@query(f"WITH RECURSIVE {EMBEDDED},\n{_barycenters_sql(3)}\nSELECT label, n, CAST(y AS INT) AS pos, round(av3.s[y + 1], 6) + 0.0 AS v FROM av3 JOIN (SELECT label, n FROM av0) USING (label), (SELECT unnest(range(64)) AS y)")
+def barycenters(spark, sf_dir):
+    """The averages of the series of each label."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("series"))
+    return knn.barycenters(rows, "label", 3).select("label", "n", F.posexplode("series").alias("pos", "v")).withColumn("v", R6(F.col("v")) + F.lit(0.0))
+
+
 @query(input_warping() + """,
 o AS (SELECT row_number() OVER (ORDER BY d2, id) - 1 AS rank, d2 FROM d2),
 n AS (SELECT rank, d2 - (SELECT d2 FROM o WHERE rank = 1) AS n FROM o WHERE rank >= 1),
