@@ -389,7 +389,7 @@ def barycenters(series: DataFrame, by: str, iterations: int = 5) -> DataFrame:
         means = sums.groupBy("key", "pos").agg((F.sum("total") / F.sum("n")).alias("v"))
         # a group's average has as many elements as one of its series
         means = means.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("at")).select("key", F.col("at.v").alias("average"))
-        averages = materialized(averages.select("__group", "n", F.to_json(F.struct("__group")).alias("key")).join(means.withColumnRenamed("average", "moved"), "key", "left").select("__group", F.coalesce("moved", "average").alias("average"), "n"), "barycenters")
+        averages = materialized(averages.select("__group", "n", "average", F.to_json(F.struct("__group")).alias("key")).join(means.withColumnRenamed("average", "moved"), "key", "left").select("__group", F.coalesce("moved", "average").alias("average"), "n"), "barycenters")
     return averages.select(F.col("__group").alias(by), "n", F.col("average").alias("series"))
 
 

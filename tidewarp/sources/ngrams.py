@@ -1,11 +1,10 @@
 """Sources and sinks: entries, dictionaries, transition maps, series and distance files."""
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import lists
 from ..model import ENTRIES, check_length
 from ..plans.scratch import materialized
+from . import raw
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -101,71 +100,33 @@ def transition_of(transitions: DataFrame, ngram: str) -> str | None:
     return found.stem if found else None
 
 
-def _sorted_files(spark: SparkSession, path: str) -> list[str]:
-    """A file, or the data files of a folder by name."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    found = [f.getPath() for f in files if f.isFile()]
-    return [str(f) for f in sorted(found, key=lambda f: f.getName()) if not f.getName().startswith(("_", "."))]
-
-
-def read_matrix(spark: SparkSession, path: str, ylength: int, dtype: str = "f8") -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, ylength: int, dtype: str = "f8", first: int = 0, last: int | None = None) -> DataFrame:
     """id, series from a raw row-major matrix of little-endian values, in a file or in the parts of a folder
-    in the order of their names. Records of fixed length are split between tasks; ids are positions."""
+    in the order of their names. Ids are positions. Tasks read ranges of records; ids outside [first, last] are not read, nor are
+    those that a filter on the id excludes where the session pushes filters down to Python sources."""
     check_length(ylength)
-    width = np.dtype(dtype).itemsize * ylength
-    files = spark.read.format("binaryFile").load(path).select("length").filter(F.col("length") % width != 0)
-    if not files.isEmpty():
-        raise ValueError(f"{path} holds no whole rows of {ylength} values")
-    parts = [spark.sparkContext.binaryRecords(f, width) for f in _sorted_files(spark, path)]
-    records = spark.sparkContext.union(parts).zipWithIndex().map(lambda t: (t[1], bytearray(t[0])))
-    raw = spark.createDataFrame(records, "id long, raw binary")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.dtype(dtype).newbyteorder("<")).reshape(-1, ylength)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(rows.astype(np.float64))], names=["id", "series"])
-
-    return raw.mapInArrow(run, "id long, series array<double>")
-
-
-def _write_parts(rows: DataFrame, order: str, path: str, dtype: str) -> None:
-    """Rows of numbers (column series) in an order, as raw little-endian values, a part file per task in a new
-    folder that all tasks reach. A part appears under its name when it is whole, so a task that runs again
-    does no harm."""
-    kind = np.dtype(dtype).newbyteorder("<").str
-
-    def run(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-        from pyspark import TaskContext
+    raw.check_files(path, ylength, dtype)
+    spark.dataSource.register(raw.RawMatrix)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    options = {"path": path, "width": ylength, "dtype": dtype, "first": first, "pushdown": pushed.lower()} | ({} if last is None else {"last": last})
+    return spark.read.format("rawmatrix").options(**options).load()
 
-        store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-        store.create_dir(folder)
-        task = TaskContext.get()
-        draft, n = f"{folder}/_part-{task.partitionId():05d}-{task.taskAttemptId()}", 0
-        with store.open_output_stream(draft) as f:
-            for batch in batches:
-                values = batch.column(0).flatten() if pa.types.is_list(batch.column(0).type) else batch.column(0)
-                f.write(values.to_numpy(zero_copy_only=False).astype(kind).tobytes())
-                n += batch.num_rows
-        store.move(draft, f"{folder}/part-{task.partitionId():05d}.bin")
-        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["rows"])
 
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).select("series")
-    ranged.mapInArrow(run, "rows long").agg(F.sum("rows")).collect()
+def _write_rows(rows: DataFrame, path: str, dtype: str) -> None:
+    """Arrays (id, series) in the order of ids, a part file per task in a new folder that all tasks reach."""
+    rows.sparkSession.dataSource.register(raw.RawMatrix)
+    ranged = rows.repartitionByRange("id").sortWithinPartitions("id")
+    ranged.write.format("rawmatrix").mode("append").options(path=path, dtype=dtype).save()
 
 
 def write_matrix(series: DataFrame, path: str, dtype: str = "f8") -> None:
     """A raw row-major matrix in the order of ids: part files of a folder, whose names are in that order."""
-    _write_parts(series.select("id", F.col("series").cast("array<double>")), "id", path, dtype)
+    _write_rows(series.select(F.col("id").cast("long"), F.col("series").cast("array<double>")), path, dtype)
 
 
 def write_distances(distances: DataFrame, path: str, dtype: str = "f8") -> None:
     """A raw vector of distances in the order of ids, as write_matrix writes rows."""
-    _write_parts(distances.select("id", F.col("distance").cast("double").alias("series")), "id", path, dtype)
+    _write_rows(distances.select(F.col("id").cast("long"), F.array(F.col("distance").cast("double")).alias("series")), path, dtype)
 
 
 def read_distances(spark: SparkSession, path: str, dtype: str = "f8") -> DataFrame:
