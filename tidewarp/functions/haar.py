@@ -3,8 +3,12 @@
 Coefficients are laid out as [approximation, detail of level 0, level 1 (2), level 2 (4), ...]; level 0
 halves the whole series. Everything is orthonormal. A detail times the root of its block's length is the
 sum of the left half less that of the right one: the scaled coefficient."""
+import hashlib
+
 import numpy as np
 
+TINY = 1e-9  # differences that come from the order of sums
+
 
 def levels(length: int) -> int:
     return length.bit_length() - 1
@@ -38,24 +42,30 @@ def inverse(coefficients: np.ndarray) -> np.ndarray:
     return from_scaled(coefficients[:, 0] * np.sqrt(length), details, length)
 
 
-def pruned(coefficients: np.ndarray, budget: float, by: str = "signed", seed: int = 0) -> np.ndarray:
+def tie_order(key: object, places: np.ndarray, seed: int) -> np.ndarray:
+    """A seeded order among equal coefficients of a series: the first 60 bits of the MD5 of seed:key:place, which
+    SQL has too."""
+    return np.array([int(hashlib.md5(f"{seed}:{key}:{i}".encode()).hexdigest()[:15], 16) for i in places], dtype=np.int64)
+
+
+def pruned(coefficients: np.ndarray, budget: float, by: str = "signed", seed: int = 0, key: object = "") -> np.ndarray:
     """One series' coefficients with small details set to 0, from the finest level up. A detail goes if
     the two below it are gone and its absolute scaled value is under what is left of the budget, which it
-    uses up. Within a level they are tried in ascending order (by: signed or abs; seeded order among equal
-    ones); the level ends when the budget does. The approximation always stays."""
+    uses up. Within a level they are tried in ascending order (by: signed or abs; equal ones, to nine digits, in tie_order of the series' key);
+    the level ends when the budget does. The approximation always stays. What is within TINY of the budget counts as equal to it."""
     out = coefficients.copy()
     length = len(out)
     gone = np.zeros(2 * length, dtype=bool)
     gone[length:] = True  # below the finest level
-    rng = np.random.default_rng(seed)
     for k in reversed(range(levels(length))):
-        at = rng.permutation(np.arange(1 << k, 2 << k))
-        value = out[at] if by == "signed" else np.abs(out[at])
-        for i in at[np.argsort(value, kind="stable")]:
+        at = np.arange(1 << k, 2 << k)
+        value = np.round(out[at] if by == "signed" else np.abs(out[at]), 9) + 0.0
+        ties = tie_order(key, at, seed) if len(np.unique(value)) < len(value) else at
+        for i in at[np.lexsort((ties, value))]:
             cost = np.sqrt(length >> k) * abs(out[i])
-            if gone[2 * i] and gone[2 * i + 1] and cost < budget:
+            if gone[2 * i] and gone[2 * i + 1] and cost < budget - TINY:
                 out[i], gone[i] = 0.0, True
                 budget -= cost
-                if budget <= 0:
+                if budget <= TINY:
                     break
     return out

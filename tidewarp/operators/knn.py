@@ -181,13 +181,19 @@ def bound_index(series: DataFrame, r: int, length: int, resolution: int = 64) ->
 
 
 def envelopes(rows: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest of each value and its r neighbours on either side."""
-    low, high = rows.copy(), rows.copy()
-    for d in range(1, min(r, rows.shape[1] - 1) + 1):
-        for fold, out in ((np.minimum, low), (np.maximum, high)):
-            fold(out[:, d:], rows[:, :-d], out=out[:, d:])
-            fold(out[:, :-d], rows[:, d:], out=out[:, :-d])
-    return low, high
+    """Smallest and largest of each value and its r neighbours on either side. Windows double until two overlapping ones
+    make up one of 2r + 1 values, so the cost grows with the logarithm of r."""
+    n, length = rows.shape
+    r = min(r, length - 1)
+    width, out = 2 * r + 1, []
+    for fold, beyond in ((np.minimum, np.inf), (np.maximum, -np.inf)):
+        window = np.full((n, length + 2 * r), beyond, dtype=rows.dtype)
+        window[:, r : r + length] = rows
+        size = 1
+        while 2 * size <= width:
+            window, size = fold(window[:, :-size], window[:, size:]), 2 * size
+        out.append(fold(window[:, :length], window[:, width - size : width - size + length]))
+    return out[0], out[1]
 
 
 def box_bound(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:

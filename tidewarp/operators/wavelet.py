@@ -1,6 +1,7 @@
 """Wavelet compression: transforms, pruning, and a graph of shared subtrees."""
 import heapq
 from bisect import bisect_left, insort
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -50,7 +51,7 @@ def haar_long(series: DataFrame, length: int) -> DataFrame:
 
 
 def prune(series: DataFrame, threshold: float, by: str = "signed", seed: int = 0) -> DataFrame:
-    """id, series (restored after pruning), kept (details that are not 0), error (largest squared relative
+    """id, series (restored after pruning), kept (details that are not 0, to nine digits), error (largest squared relative
     error of log10(1 + value)). The budget is threshold times the sum of log10(1 + value)."""
     if by not in ("signed", "abs"):
         raise ValueError("by is signed or abs")
@@ -63,14 +64,45 @@ def prune(series: DataFrame, threshold: float, by: str = "signed", seed: int = 0
             if not len(rows):
                 continue
             total = rows.sum(axis=1)
-            cut = np.array([h.pruned(c, threshold * t, by, seed) for c, t in zip(h.haar(rows), total)])
+            cut = np.array([h.pruned(c, threshold * t, by, seed, i) for c, t, i in zip(h.haar(rows), total, batch.column(0).to_pylist())])
             back = h.inverse(cut)
             error = (((rows - back) / np.where(total == 0, 1, total)[:, None]) ** 2).max(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(10**back - 1), pa.array((cut[:, 1:] != 0).sum(axis=1).astype(np.int32)), pa.array(error)], names=["id", "series", "kept", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(10**back - 1), pa.array((np.abs(cut[:, 1:]) > h.TINY).sum(axis=1).astype(np.int32)), pa.array(error)], names=["id", "series", "kept", "error"])
 
     return series.select("id", F.col("series").cast("array<double>")).mapInArrow(run, "id long, series array<double>, kept int, error double")
 
 
+def pruning_report(series: DataFrame, length: int, thresholds: Sequence[float], by: str = "signed", seed: int = 0) -> DataFrame:
+    """threshold, level, n (series), kept (details that are not 0), share (of all of the level), mean_error, max_error (of the
+    threshold): what prune() leaves at each threshold, as a frame to draw. Series (id, series) go through Python once; each is
+    transformed once, and leaves a row of counts per threshold, which the JVM sums. Null series are left out; without
+    series there are no rows."""
+    check_length(length)
+    if by not in ("signed", "abs"):
+        raise ValueError("by is signed or abs")
+    depth, steps = h.levels(length), sorted(set(map(float, thresholds)))
+
+    def run(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            rows = np.log10(1 + matrix(batch.column(1)).astype(np.float64))
+            if not len(rows):
+                continue
+            ids, total, coefficients = batch.column(0).to_pylist(), rows.sum(axis=1), h.haar(rows)
+            for t in steps:
+                cut = np.array([h.pruned(c, t * s, by, seed, i) for c, s, i in zip(coefficients, total, ids)])
+                error = (((rows - h.inverse(cut)) / np.where(total == 0, 1, total)[:, None]) ** 2).max(axis=1)
+                kept = np.stack([(np.abs(cut[:, 1 << k : 2 << k]) > h.TINY).sum(axis=1) for k in range(depth)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t)), lists(kept.astype(np.float64)), pa.array(error)], names=["threshold", "kept", "error"])
+
+    found = series.filter("series IS NOT NULL").select("id", F.col("series").cast("array<double>")).mapInArrow(run, "threshold double, kept array<double>, error double")
+    levels = found.select("threshold", "error", F.posexplode("kept").alias("level", "k"))
+    sums = levels.groupBy("threshold", "level").agg(F.count("*").alias("n"), F.sum("k").cast("long").alias("kept"), F.avg("error").alias("mean_error"), F.max("error").alias("max_error"))
+    share = F.col("kept") / (F.col("n") * F.pow(F.lit(2.0), F.col("level")))
+    return sums.select("threshold", "level", "n", "kept", share.alias("share"), "mean_error", "max_error")
+
+
 #: How the absolute differences of a series' values are one error: the largest, their mean (e1), the mean of
 #: their squares (e2), the largest less the smallest (e3).
 METRICS = {"largest": lambda d: float(d.max()), "mean": lambda d: float(d.mean()), "mean_square": lambda d: float((d * d).mean()), "range": lambda d: float(d.max() - d.min())}

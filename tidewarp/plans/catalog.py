@@ -1,4 +1,5 @@
 """The queries over the driver's tables, each with the SQL that gives the same rows."""
+import re
 import uuid
 from collections.abc import Callable
 
@@ -621,26 +622,32 @@ def haar_round_trip(spark, sf_dir):
     return rounded(wavelet.inverse_haar(wavelet.haar(event_series(spark, sf_dir))))
 
 
-@query()
-def wavelet_prune(spark, sf_dir):
-    return wavelet.prune(event_series(spark, sf_dir), 0.02).select("id", "kept", "error")
-
-
-@query(f"""WITH RECURSIVE {EMBEDDED},
-lg AS MATERIALIZED (SELECT id, x, list_sum(x) AS total FROM (SELECT id, list_transform(series, lambda v: log10(1 + abs(v))) AS x FROM es)),
-le AS (SELECT level, 64 >> level AS block FROM (SELECT unnest(range(6))::INT AS level)),
+def _pruned_sql(source: str, length: int, threshold: float) -> str:
+    """co (all coefficients), rest (those kept), bk (id, t, v, b: values in the logarithm and restored), st (what is gone). Coefficients are tried
+    one after another, a step of the recursion each."""
+    return f"""lg AS MATERIALIZED (SELECT id, x, list_sum(x) AS total FROM (SELECT id, list_transform(series, lambda v: log10(1 + v)) AS x FROM ({source}))),
+le AS (SELECT level, {length} >> level AS block FROM (SELECT unnest(range({length.bit_length() - 1}))::INT AS level)),
 co AS MATERIALIZED (SELECT id, level, (1 << level) + pos AS i, (list_sum(x[pos * block + 1:pos * block + block // 2]) - list_sum(x[pos * block + block // 2 + 1:(pos + 1) * block])) / sqrt(block) AS c, sqrt(block) AS root FROM lg, (SELECT level, block, unnest(range(1 << level)) AS pos FROM le)),
-od AS MATERIALIZED (SELECT id, i, root * abs(c) AS cost, row_number() OVER (PARTITION BY id ORDER BY level DESC, c) AS n FROM co),
+od AS MATERIALIZED (SELECT id, i, root * abs(c) AS cost, row_number() OVER (PARTITION BY id ORDER BY level DESC, round(c, 9) + 0.0, substr(md5(concat('0:', id, ':', i)), 1, 15)) AS n FROM co),
 st(id, n, budget, gone) AS (
-  SELECT id, 0::BIGINT, 0.1 * total, []::BIGINT[] FROM lg
+  SELECT id, 0::BIGINT, {threshold} * total, []::BIGINT[] FROM lg
   UNION ALL
   SELECT id, n, CASE WHEN go THEN budget - cost ELSE budget END, CASE WHEN go THEN list_append(gone, i) ELSE gone END
-  FROM (SELECT o.id, o.n, budget, gone, cost, i, (i >= 32 OR (list_contains(gone, 2 * i) AND list_contains(gone, 2 * i + 1))) AND cost < budget AS go FROM st JOIN od o ON o.id = st.id AND o.n = st.n + 1)),
-rest AS MATERIALIZED (SELECT id, i, c, level FROM co JOIN (SELECT id, gone FROM st WHERE n = 63) g USING (id) WHERE NOT list_contains(gone, i)),
-bk AS MATERIALIZED (SELECT l.id, t, l.x[t + 1] AS v, total, total / 64 + coalesce(sum(CASE WHEN t % (64 >> level) < (32 >> level) THEN c ELSE -c END / sqrt(64 >> level)), 0) AS b
-  FROM (SELECT *, unnest(range(64)) AS t FROM lg) l LEFT JOIN rest r ON r.id = l.id AND r.i = (1 << r.level) + t // (64 >> r.level) GROUP BY l.id, t, v, total)
-SELECT id, CAST(t AS INT) AS y, round(pow(10, b) - 1, 6) + 0.0 AS v, round(error, 6) AS error, CAST(kept AS INT) AS kept
-FROM bk JOIN (SELECT id, max(pow((v - b) / total, 2)) AS error FROM bk GROUP BY id) USING (id) JOIN (SELECT id, 63 - len(gone) AS kept FROM st WHERE n = 63) USING (id)""")
+  FROM (SELECT o.id, o.n, budget, gone, cost, i, (i >= {length // 2} OR (list_contains(gone, 2 * i) AND list_contains(gone, 2 * i + 1))) AND cost < budget - 1e-9 AS go FROM st JOIN od o ON o.id = st.id AND o.n = st.n + 1)),
+rest AS MATERIALIZED (SELECT id, i, c, level FROM co JOIN (SELECT id, gone FROM st WHERE n = {length - 1}) g USING (id) WHERE NOT list_contains(gone, i)),
+bk AS MATERIALIZED (SELECT l.id, t, l.x[t + 1] AS v, total, total / {length} + coalesce(sum(CASE WHEN t % ({length} >> level) < ({length // 2} >> level) THEN c ELSE -c END / sqrt({length} >> level)), 0) AS b
+  FROM (SELECT *, unnest(range({length})) AS t FROM lg) l LEFT JOIN rest r ON r.id = l.id AND r.i = (1 << r.level) + t // ({length} >> r.level) GROUP BY l.id, t, v, total),
+er AS (SELECT id, max(pow((v - b) / CASE WHEN total = 0 THEN 1 ELSE total END, 2)) AS error FROM bk GROUP BY id),
+kp AS (SELECT lg.id, count(i) AS kept FROM lg LEFT JOIN (SELECT * FROM rest WHERE abs(c) > 1e-9) r ON r.id = lg.id GROUP BY lg.id)"""
+
+
+@query(f"WITH RECURSIVE {EVENTS},\n{_pruned_sql('SELECT id, series FROM es', LENGTH, 0.02)}\nSELECT id, CAST(kept AS INT) AS kept, round(error, 9) AS error FROM kp JOIN er USING (id)")
+def wavelet_prune(spark, sf_dir):
+    """Counts, where many coefficients are equal and a hash of their places says which goes first."""
+    return wavelet.prune(event_series(spark, sf_dir), 0.02).select("id", "kept", F.round("error", 9).alias("error"))
+
+
+@query(f"WITH RECURSIVE {EMBEDDED},\n{_pruned_sql('SELECT id, list_transform(series, lambda v: abs(v)) AS series FROM es', 64, 0.1)}\nSELECT id, CAST(t AS INT) AS y, round(pow(10, b) - 1, 6) + 0.0 AS v, round(error, 6) AS error, CAST(kept AS INT) AS kept FROM bk JOIN er USING (id) JOIN kp USING (id)")
 def wavelet_prune_rows(spark, sf_dir):
     """Pruned and restored values, where no two coefficients are equal and so their order is given."""
     rows = embedded(spark, sf_dir).withColumn("series", F.transform("series", F.abs))
@@ -648,6 +655,26 @@ def wavelet_prune_rows(spark, sf_dir):
     return out.select("id", F.posexplode("series").alias("y", "v"), R6(F.col("error")).alias("error"), "kept").withColumn("v", R6(F.col("v")) + F.lit(0.0))
 
 
+THRESHOLDS = (0.005, 0.02, 0.1)
+
+
+def _report_sql() -> str:
+    ctes, rows = [], []
+    for k, t in enumerate(THRESHOLDS):
+        named = lambda sql, k=k: re.sub(r"\b(lg|le|co|od|st|rest|bk|er|kp)\b", rf"\1_{k}", sql)
+        ctes.append(named(_pruned_sql("SELECT id, series FROM es", LENGTH, t)))
+        rows.append(named(f"SELECT {t}::DOUBLE AS threshold, level, (SELECT count(*) FROM es) AS n, (SELECT count(*) FROM rest r WHERE abs(c) > 1e-9 AND r.level = le.level) AS kept, round((SELECT avg(error) FROM er), 9) AS mean_error, round((SELECT max(error) FROM er), 9) AS max_error FROM le"))
+    every = ",\n".join(ctes)
+    return f"WITH RECURSIVE {EVENTS},\n{every}\nSELECT threshold, level, n, kept, round(kept::DOUBLE / (n * (1 << level)), 6) AS share, mean_error, max_error FROM ({' UNION ALL '.join(rows)})"
+
+
+@query(_report_sql())
+def pruning_report(spark, sf_dir):
+    """What pruning keeps and loses at several thresholds, a row per threshold and level."""
+    out = wavelet.pruning_report(event_series(spark, sf_dir), LENGTH, THRESHOLDS)
+    return out.withColumns({"share": R6(F.col("share")), "mean_error": F.round("mean_error", 9), "max_error": F.round("max_error", 9)})
+
+
 def _graph_sql(r: int, limit: int, howmany: int) -> str:
     """CTEs up to edges(a, b, dist): an expansion of the nearest known series after another."""
     out, links = "k0(id, dist) AS (SELECT 0::BIGINT, 0::DOUBLE)", []
