@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as fs
 from ..functions import text
-from ..operators import graph, ingest, knn, many, merge, metrics, skip_index, trace, wavelet
+from ..operators import graph, ingest, knn, lemmas, many, merge, metrics, skip_index, trace, wavelet
 from ..sources import ngrams
 from .scratch import materialized, removed_later, shared_dir
 
@@ -499,6 +499,24 @@ def stemmed_map(spark, sf_dir):
     return words.select("ngram", text.stemmed()(F.col("ngram")).alias("stem"))
 
 
+def _lemma_tables(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words of up to four letters, or that end in e, as known lemmas; words that begin with q as irregular forms of what follows."""
+    known = words.filter("length(ngram) <= 4 OR ngram LIKE '%e'").select(F.col("ngram").alias("lemma"))
+    return known, words.filter("ngram LIKE 'q_%'").select(F.col("ngram").alias("form"), F.substr("ngram", F.lit(2)).alias("lemma"))
+
+
+@query(f"""WITH {ENTRIES},
+wd AS MATERIALIZED (SELECT DISTINCT lower(ngram) AS w FROM en WHERE NOT regexp_matches(ngram, '{UNCLEAN}')),
+kn AS (SELECT w AS made FROM wd WHERE length(w) <= 4 OR w LIKE '%e'),
+ca AS (SELECT w, w AS made FROM wd UNION ALL SELECT w, left(w, length(w) - length(e)) || b FROM wd, (VALUES """ + ", ".join(f"('{e}', '{b}')" for e, b in lemmas.VERB_ENDINGS) + """) AS v(e, b) WHERE ends_with(w, e)),
+be AS (SELECT w, arg_min(made, length(made) * 1000000 + k) AS made FROM (SELECT w, made, row_number() OVER (ORDER BY made) % 1000000 AS k FROM ca WHERE made IN (SELECT made FROM kn)) GROUP BY w)
+SELECT wd.w AS ngram, CASE WHEN wd.w LIKE 'q_%' THEN substr(wd.w, 2) ELSE coalesce(be.made, wd.w) END AS stem FROM wd LEFT JOIN be ON be.w = wd.w""")
+def lemmatized_map(spark, sf_dir):
+    """Base forms of all words, by tables of lemmas and of irregular forms."""
+    words = materialized(entries(spark, sf_dir).filter(text.clean(F.col("ngram"))).select(F.lower("ngram").alias("ngram")).distinct(), "words")
+    return lemmas.lemmatized(words, *_lemma_tables(words))
+
+
 STORE = f"""{ENTRIES},
 mp AS (SELECT row_number() OVER (ORDER BY ngram) - 1 AS id, ngram FROM (SELECT DISTINCT lower(ngram) AS ngram FROM en WHERE NOT regexp_matches(ngram, '{UNCLEAN}'))),
 su AS (SELECT id, year - 1800 AS y, sum(var0)::BIGINT AS var0, sum(var1)::BIGINT AS var1 FROM en JOIN mp ON lower(en.ngram) = mp.ngram WHERE year BETWEEN 1800 AND 1927 GROUP BY 1, 2)"""
