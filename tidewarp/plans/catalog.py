@@ -855,9 +855,12 @@ def dag_nodes(spark, sf_dir):
     return _dag(spark, sf_dir)[1]
 
 
+RESTORED = """bk AS MATERIALIZED (SELECT e.id, e.t, any_value(e.v) AS v, any_value(e.total) / 256 + sum(CASE WHEN t % (256 >> level) < (128 >> level) THEN x ELSE -x END / (256 >> level)) AS b
+  FROM (SELECT id, unnest(range(256)) AS t, unnest(series) AS v, list_sum(series) AS total FROM es) e JOIN tr ON tr.id = e.id AND tr.pos = e.t // (256 >> tr.level) GROUP BY e.id, e.t)"""
+
+
 @query(f"""WITH {_merged_sql()},
-bk AS (SELECT e.id, e.t, any_value(e.v) AS v, any_value(e.total) / 256 + sum(CASE WHEN t % (256 >> level) < (128 >> level) THEN x ELSE -x END / (256 >> level)) AS b
-  FROM (SELECT id, unnest(range(256)) AS t, unnest(series) AS v, list_sum(series) AS total FROM es) e JOIN tr ON tr.id = e.id AND tr.pos = e.t // (256 >> tr.level) GROUP BY e.id, e.t)
+{RESTORED}
 SELECT id, round(max(abs(v - b)), 6) AS gap, round(error, 6) AS error FROM bk JOIN (SELECT id, error FROM m0) USING (id) GROUP BY id, error""")
 def dag_reconstruct(spark, sf_dir):
     """The largest absolute difference that the graph leaves in each series, and the error it states."""
@@ -873,6 +876,27 @@ def traceback(spark, sf_dir):
     return _strengths(trace.trace(nodes, roots, 0, LENGTH, 4), rows)
 
 
+@query(f"""WITH {_merged_sql()},
+{RESTORED},
+di AS (SELECT x.id, sqrt(sum(pow(x.v - q.v, 2)) / 256) AS a, sqrt(sum(pow(x.b - q.b, 2)) / 256) AS b FROM bk x JOIN bk q ON q.t = x.t AND q.id = 0 GROUP BY x.id)
+SELECT id, round((b - a) / CASE WHEN a = 0 THEN 1 ELSE a END, 6) + 0.0 AS delta FROM di""")
+def round_trip(spark, sf_dir):
+    """How much compressing and restoring changes each series' distance to one of them."""
+    rows, nodes, roots = _dag(spark, sf_dir)
+    back = wavelet.reconstruct(nodes, roots, LENGTH).join(rows.select("id", "ngram"), "id")
+    a, b = (knn.dtw_distances(materialized(r.select("id", "ngram", "series"), "round-trip"), QUERY, 0) for r in (rows, back))
+    return metrics.relative_changes(a, b).select("id", (R6(F.col("delta")) + F.lit(0.0)).alias("delta"))
+
+
+@query(f"WITH {_merged_sql()},\n{LINKS},{_traced(0, 5).replace('AND level = ', 'AND pos = 0 AND level = ')}\nSELECT start, i, round(log10(weight), 6) + 0.0 AS strength FROM fr WHERE i % 2 = 1")
+def trace_hooks(spark, sf_dir):
+    """A trace with a caller's conditions: walks only from the first node of each level, and only series with odd ids."""
+    _, nodes, roots = _dag(spark, sf_dir)
+    hooks = trace.Hooks(keep_down=lambda level, rows: rows.filter("pos = 0"), found=lambda rows: rows.filter("i % 2 = 1"))
+    found = trace.trace(nodes, roots, 0, LENGTH, 5, hooks=hooks)
+    return found.select("start", "i", (R6(F.log10("weight")) + F.lit(0.0)).alias("strength"))
+
+
 @query(f"WITH {_merged_sql()},\n{LINKS},{_traced(0, 7, 40, 170, 1e-9)}\nSELECT start, i, round(log10(weight), 6) + 0.0 AS strength FROM fr")
 def trace_range(spark, sf_dir):
     """Walks from the nodes over a part of the series, without those that grow too weak on the way up."""
