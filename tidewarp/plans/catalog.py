@@ -273,9 +273,10 @@ def windowed_alignment(spark, sf_dir):
 POISSON = "CASE WHEN {p} <= 0 AND {q} <= 0 THEN 0::DOUBLE ELSE (pow({p} - ({p} + {q}) / (c.na + c.nb) * c.na, 2) + pow({q} - ({p} + {q}) / (c.na + c.nb) * c.nb, 2)) / ({p} + {q}) END"
 
 
-@query(f"WITH RECURSIVE {EVENTS},\n" + aligned_sql("", "SELECT s.id, q.series[1:64] AS a, s.series[1:64] AS b, list_sum(q.series[1:64]) AS na, list_sum(s.series[1:64]) AS nb FROM es s, (SELECT series FROM es WHERE id = 0) q", 64, 64, POISSON) + "\nSELECT id, round(d2, 6) AS cost FROM d2")
+@query(f"WITH RECURSIVE {EVENTS},\nqs AS MATERIALIZED (SELECT id, list_transform(range(64), lambda k: list_sum(series[4 * k + 1:4 * k + 4])) AS series FROM es),\n" + aligned_sql("", "SELECT s.id, q.series AS a, s.series AS b, list_sum(q.series) AS na, list_sum(s.series) AS nb FROM qs s, (SELECT series FROM qs WHERE id = 0) q", 64, 64, POISSON) + "\nSELECT id, round(d2, 6) AS cost FROM d2")
 def dtw_poisson(spark, sf_dir):
-    e = event_series(spark, sf_dir).withColumn("series", F.slice("series", 1, 64))
+    """Alignments of the whole series, counted in quarters of their resolution."""
+    e = event_series(spark, sf_dir).withColumn("series", fs.downsampled(F.col("series"), 64, LENGTH, 0.0, lambda t, v: t + v))
     q = e.filter("id = 0").select(F.col("series").alias("q"))
     return e.join(F.broadcast(q)).select("id", knn.alignment("poisson")("q", "series").alias("a")).select("id", R6(F.col("a.cost")).alias("cost"))
 
