@@ -213,6 +213,41 @@ def test_line_dedup_of_lines_seen_elsewhere(spark):
     assert got[3] == [] and got == slow_kept(texts)
 
 
+def aligned_kept(texts, least=20):
+    """Lines of each document that stay when it is aligned, whole, with every earlier one."""
+    full = {d: [(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for d, t in texts.items()}
+    out = {}
+    for d, mine in full.items():
+        counts = {i: len(x.split()) for i, (_, x) in enumerate(mine)}
+        gone = set()
+        for other in (o for e, o in full.items() if e < d):
+            pairs = [(i, j) for i, (_, x) in enumerate(mine) for j, (_, y) in enumerate(other) if x == y]
+            gone.update(i for a, z in line_dedup.common_blocks(pairs, counts, least) for i in range(a, z + 1))
+        out[d] = [x for i, (_, x) in enumerate(mine) if i not in gone]
+    return out
+
+
+def test_line_dedup_aligns(spark, monkeypatch):
+    """Passages that documents share in any order, among short frequent lines: the same lines go as when all pairs of whole
+    documents are aligned, and none without an alignment."""
+    rng = random.Random(23)
+    passages = [[" ".join(words(rng, rng.randint(4, 25))) for _ in range(rng.randint(3, 6))] for _ in range(8)]
+    short = ["read more", "share this page", "contact us"]
+    texts = {}
+    for d in range(60):
+        parts = [*rng.sample(passages, rng.randint(0, 4)), *([rng.choice(short)] for _ in range(3)), *([" ".join(words(rng, 9))] for _ in range(3))]
+        rng.shuffle(parts)
+        texts[d] = "\n".join(x for part in parts for x in part)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = lambda: {r.doc_id: [x for x in r.text.split("\n") if x.split()] for r in line_dedup.line_dedup(docs).collect()}
+    want = aligned_kept(texts)
+    assert kept() == want and sum(map(len, want.values())) < sum(t.count("\n") + 1 for t in texts.values()) - 200
+    shared, counts = [(0, 1, 5), (4, 5, 0)], dict.fromkeys(range(9), 10)
+    assert line_dedup.blocks_of(shared, counts, 20) == [(0, 1), (4, 5)]
+    monkeypatch.setattr(line_dedup, "patience", lambda pairs: pairs.clear() or [])  # aligns nothing
+    assert line_dedup.blocks_of(shared, counts, 20) == []
+
+
 def test_line_dedup_over_blank_lines(spark):
     """Blank lines part no passage and go with it; those outside stay."""
     rng = random.Random(7)

@@ -50,22 +50,23 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(pairs: list[tuple[int, int]], words: dict[int, int], least: int) -> list[tuple[int, int]]:
-    """(first, last) lines here of aligned blocks of at least so many words. A block is of neighbouring
-    lines on both sides. Lines in other order are aligned anew after those found are taken out, until
-    nothing is left to delete."""
+    """(first, last) lines here of common blocks of at least so many words that the alignment reaches. A block
+    is of neighbouring lines on both sides, as far as they are equal; pairs in smaller ones take no part. What
+    is aligned goes with the block around it. What stands in another order is aligned anew after that is taken
+    out, until all lines left are in no block."""
+    block: dict[tuple[int, int], list[int]] = {}  # first line, last line and words of the block around a pair
+    for x, y in sorted(set(pairs)):
+        at = block[x, y] = block.get((x - 1, y - 1)) or [x, x, 0]
+        at[1], at[2] = x, at[2] + words[x]
+    pairs = [p for p in block if block[p][2] >= least]
     blocks: list[tuple[int, int]] = []
+    gone: set[int] = set()
     while pairs:
-        found, run = [], []
-        for x, y in [*patience(pairs), (1 << 60, 1 << 60)]:
-            if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
-                if sum(words[i] for i, _ in run) >= least:
-                    found.append((run[0][0], run[-1][0]))
-                run = []
-            run.append((x, y))
-        if not found:
-            break
-        blocks += found
-        gone = {i for a, z in found for i in range(a, z + 1)}
+        for p in patience(pairs):
+            if p[0] not in gone:
+                first, last, _ = block[p]
+                blocks.append((first, last))
+                gone.update(range(first, last + 1))
         pairs = [p for p in pairs if p[0] not in gone]
     return sorted(blocks)
 
@@ -93,16 +94,8 @@ def runs(words: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def blocks_of(shared: list[tuple[int, int, int]], words: dict[int, int], least: int) -> list[tuple[int, int]]:
-    """(first, last) lines here to delete for one partner, of runs (first, last, first there) that it has:
-    blocks of their alignment, and the runs that this leaves a line of (each is a block by itself)."""
-    pairs = sorted({(a + k, y + k) for a, z, y in shared for k in range(z - a + 1)})
-    blocks = common_blocks(pairs, words, least)
-    gone = {i for a, z in blocks for i in range(a, z + 1)}
-    for a, z, _ in sorted(shared):
-        if not gone.issuperset(range(a, z + 1)):
-            blocks.append((a, z))
-            gone.update(range(a, z + 1))
-    return sorted(blocks)
+    """(first, last) lines here to delete for one partner, of runs (first, last, first there) that it has."""
+    return common_blocks([(a + k, y + k) for a, z, y in shared for k in range(z - a + 1)], words, least)
 
 
 def overlaps(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -112,8 +105,10 @@ def overlaps(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     Overlapping documents are found through what they share that is rare. A line alone can be frequent
     ("read more"), so it is joined with its neighbours until the run has enough words: the shortest such
     runs from each line on and up to each line, each as rare as the passage that it stands in. A run's
-    partner is the first document that has it, at its first place there. Document and partner are then
-    aligned by patience diff on all runs that they share.
+    partner is the first document that has it, at its first place there: so a frequent run costs no more than
+    a rare one, one partner for each document that has it. Document and partner are then aligned by patience
+    diff over all lines of the runs that they share, and only what the alignment reaches is deleted. Their other
+    equal lines are in no block of enough words.
 
     Every block of enough words that any earlier document has consists of such runs, wherever else its
     lines stand, so none is lost; rows grow with the lines and not with pairs of documents, and the first
