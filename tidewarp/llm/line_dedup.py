@@ -112,35 +112,47 @@ def overlaps(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     Every block of enough words that any earlier document has consists of such runs, wherever else its
     lines stand, so none is lost; rows grow with the lines and not with pairs of documents, and the first
-    document keeps every run. Runs are compared by 128-bit hashes; frequent ones are summed in each task
+    document keeps every run. Runs are compared by 128-bit hashes of the hashes of their lines; frequent ones are summed in each task
     before the exchange, and the join with their first places is between two plain exchanges, which adaptive
     execution splits where one run has very many rows.
 
     Lines without words are not counted: they part no run, and go with a block that they are in."""
     import pyarrow as pa
 
+    def hashed(batches):
+        import xxhash
+
+        for batch in batches:
+            at, words, digests = [], [], []
+            for text in batch.column(2).cast(pa.binary()):
+                lines = [(k, n, x) for k, x in enumerate(text.as_py().split(b"\n")) if (n := len(x.split()))]  # bytes.split() parts as WORD
+                at.append([k for k, _, _ in lines])
+                words.append([n for _, n, _ in lines])
+                digests.append(b"".join([xxhash.xxh3_128_digest(x) for _, _, x in lines]))
+            columns = [batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32())), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "at", "words", "digests"])
+
     def cut(batches):
         import xxhash
 
         for batch in batches:
             of, hashes, first, infos = [], [], [], []
-            for i, text in enumerate(batch.column(2).cast(pa.binary())):
-                if (text := text.as_py()) is None:
-                    continue
-                lines = [(k, n, x) for k, x in enumerate(text.split(b"\n")) if (n := len(x.split()))]  # bytes.split() parts as WORD
-                for a, z in runs([n for _, n, _ in lines], least):
-                    part = lines[a : z + 1]
+            for i in range(batch.num_rows):
+                at, words, digests = (batch.column(c)[i].as_py() for c in (2, 3, 4))
+                for a, z in runs(words, least):
                     of.append(i)
-                    hashes.append(xxhash.xxh3_128_digest(b"\n".join([x for _, _, x in part])))
+                    hashes.append(xxhash.xxh3_128_digest(digests[16 * a : 16 * (z + 1)]))
                     first.append(a)
-                    infos.append([v for k, n, _ in part for v in (k, n)])
-            at = pa.array(of, pa.int32())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes, pa.binary()), pa.array(first, pa.int32()), pa.array(infos, pa.list_(pa.int32()))]
+                    infos.append([v for k in range(a, z + 1) for v in (at[k], words[k])])
+            rows = pa.array(of, pa.int32())
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes, pa.binary()), pa.array(first, pa.int32()), pa.array(infos, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "h", "line", "info"])
 
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("part"), "text")
+    # texts are read and lines hashed once; runs are cut from the hashes, for their first places and for the join
+    digests = materialized(docs.mapInArrow(hashed, "doc_id long, part long, at array<int>, words array<int>, digests binary"), "line-hashes")
     # info: line of the text and words of each line of the run
-    lines = docs.mapInArrow(cut, "doc_id long, part long, h binary, line int, info array<int>")
+    lines = digests.mapInArrow(cut, "doc_id long, part long, h binary, line int, info array<int>")
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "part", "line")).alias("at"), F.max(F.struct("doc_id", "part")).alias("last"))
     first = first.filter("last > named_struct('doc_id', at.doc_id, 'part', at.part)").select("h", F.col("at.doc_id").alias("partner"), F.col("at.part").alias("partner_part"), F.col("at.line").alias("there"))
     first = materialized(first, "first-runs")
