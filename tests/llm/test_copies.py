@@ -88,6 +88,15 @@ def test_tree_and_shards_lose_no_pair(radius):
     assert len(np.unique(shard)) > 4 and links.parent.tolist() == want
 
 
+def test_points_go_to_few_shards():
+    """Unrelated points, the worst case: copies of a point, and the largest shard."""
+    points = np.random.default_rng(3).integers(0, 1 << 63, (20_000, 1), dtype=np.uint64)
+    heap = vantage.fit_shards(points[:8192], 6, 3)
+    at, shard = vantage.shards_of(points, heap, 3)
+    assert len(at) < 6 * len(points) and set(at.tolist()) == set(range(len(points)))
+    assert np.bincount(shard).max() < 0.12 * len(points)
+
+
 def test_near_points_cost_no_pairs(monkeypatch):
     """Points around few centres: exact, and compared about as often as there are points, not pairs."""
     rng = np.random.default_rng(5)

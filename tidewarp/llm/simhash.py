@@ -11,7 +11,8 @@ from .components import components
 
 SEED = 42
 SHARD = 40_000  # distinct fingerprints in a shard, about
-SAMPLE = 8_192  # fingerprints from which the top of the tree is fitted, at most
+SAMPLE = 8_192  # fingerprints from which the top of the tree is fitted, or PER_SHARD for each shard if that is more
+PER_SHARD = 16
 # The wide form, for similarities: at a Jaccard similarity of 0.8 fingerprints differ in arccos(8/9)/pi,
 # 0.15, of their bits, with a deviation of 0.016 for 512 bits.
 WIDE, WIDE_SHINGLE, WIDE_RADIUS = 8, 5, 94
@@ -130,8 +131,8 @@ def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3, shard: int =
     Only doc_id and text are looked at.
 
     Equal fingerprints are one point, so copies cost nothing further. The top of a vantage-point tree,
-    fitted on at most SAMPLE points, deals the points to shards of about shard points; a point also goes
-    to the shards that its ball reaches, so no pair is lost. Each shard finds its pairs with a tree of its
+    fitted on about SAMPLE points or PER_SHARD for each shard (8 bytes each), deals the points to shards of about shard
+    points; a point just outside a cut also goes inside, so no pair is lost. Each shard finds its pairs with a tree of its
     own and returns each point once, with the first of its class, never the pairs."""
     import pyarrow as pa
 
@@ -142,9 +143,10 @@ def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3, shard: int =
     levels = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
     sample = np.zeros((0, 1), dtype=np.uint64)
     if levels:
-        part = points.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // SAMPLE))) == 0).select("fp").limit(2 * SAMPLE).toArrow()
+        size = max(SAMPLE, PER_SHARD << levels)
+        part = points.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // size))) == 0).select("fp").limit(2 * size).toArrow()
         sample = np.sort(part.column(0).to_numpy().view(np.uint64)).reshape(-1, 1)
-    heap = spark.sparkContext.broadcast(vantage.fit_shards(sample, levels))
+    heap = spark.sparkContext.broadcast(vantage.fit_shards(sample, levels, radius))
 
     def deal(batches):
         for batch in batches:

@@ -82,30 +82,38 @@ def link_all(points: np.ndarray, radius: int, links: Links | None = None) -> np.
     return links.parent
 
 
-def fit_shards(sample: np.ndarray, levels: int) -> list[tuple[np.ndarray, int] | None]:
-    """The top of a tree as a heap of (vantage point, radius), levels deep; None where a sample's points
-    are too few or too alike to split."""
+def fit_shards(sample: np.ndarray, levels: int, radius: int = 0) -> list[tuple[np.ndarray, int] | None]:
+    """The top of a tree as a heap of (vantage point, cut), levels deep; None where a sample's points
+    are too few or too alike to split. A cut is that which leaves the smaller of the larger sides, with the points
+    that shards_of also sends inside."""
     heap: list[tuple[np.ndarray, int] | None] = [None] * ((1 << levels) - 1)
     parts = {0: sample}
     for node in range(len(heap)):
         part = parts.pop(node, sample[:0])
         if len(part) < 2:
             continue
-        # of a few points the one whose distances split best
-        tried = [(p, hamming(part, p)) for p in part[:: max(1, len(part) // 8)][:8]]
-        vantage, d = max(tried, key=lambda t: t[1].std())
-        cut = int(np.median(d))
-        if (d > cut).any():
-            heap[node] = (vantage, cut)
-            parts[2 * node + 1], parts[2 * node + 2] = part[d <= cut], part[d > cut]
-        else:
+        # of a few points the one that splits best
+        best = (len(part), None, 0)
+        for p in part[:: max(1, len(part) // 8)][:8]:
+            upto = np.cumsum(np.bincount(hamming(part, p), minlength=64 * part.shape[1] + 1))
+            inner = upto[np.minimum(np.arange(len(upto)) + radius, len(upto) - 1)]
+            larger = np.where(upto < len(part), np.maximum(inner, len(part) - upto), len(part))
+            cut = int(larger.argmin())
+            best = min(best, (int(larger[cut]), p, cut), key=lambda t: t[0])
+        _, point, cut = best
+        if point is None:
             parts[2 * node + 1] = part
+        else:
+            d = hamming(part, point)
+            heap[node] = (point, cut)
+            parts[2 * node + 1], parts[2 * node + 2] = part[d <= cut + radius], part[d > cut]
     return heap
 
 
 def shards_of(points: np.ndarray, heap: list, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of points, shard) for every shard that a point's ball of this radius reaches. Two points
-    within radius share a shard: the one that holds the first reaches the second's ball."""
+    """(row of points, shard) for every shard that a point is in. At a cut the points inside go to one side,
+    those outside to the other, and those outside within radius of the cut inside as well: only they can be within radius
+    of a point inside. So two points within radius share a shard, and no point goes to both sides for its own sake."""
     rows, nodes = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
     done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(rows):
@@ -118,9 +126,9 @@ def shards_of(points: np.ndarray, heap: list, radius: int) -> tuple[np.ndarray,
             if heap[node] is None:
                 inner, outer = r, r[:0]
             else:
-                vantage, cut = heap[node]
-                d = hamming(points[r], vantage)
-                inner, outer = r[d <= cut + radius], r[d > cut - radius]
+                point, cut = heap[node]
+                d = hamming(points[r], point)
+                inner, outer = r[d <= cut + radius], r[d > cut]
             next_rows += [inner, outer]
             next_nodes += [np.full(len(inner), 2 * node + 1), np.full(len(outer), 2 * node + 2)]
         rows, nodes = np.concatenate(next_rows), np.concatenate(next_nodes)
