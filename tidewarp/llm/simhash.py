@@ -189,8 +189,9 @@ def near_copies(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>"
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     rows = materialized(docs.mapInArrow(run, schema), "wide-fingerprints")
-    points = materialized(rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands")), "wide-points")
-    same = rows.join(points.select(*names, "least"), names).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a > b")
+    # a point for each fingerprint and list of bands: texts of one fingerprint can lie in different shards
+    points = materialized(rows.groupBy(*names, "bands").agg(F.min("doc_id").alias("least")), "wide-points")
+    same = rows.join(points.groupBy(*names).agg(F.min("least").alias("least")), names).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a > b")
     shards = points.select(F.explode("bands").alias("band"), "least", *names)
     near = _linked(shards, "band", "least", names, radius)
     linked = components(near.unionByName(same))
