@@ -73,3 +73,40 @@ def test_graph_needs_fewer_passes(spark, walks, monkeypatch):
         counts.append(len(passes))
         passes.clear()
     assert counts[0] == 12 and counts[1] <= 6
+
+
+def test_sifted_rows_are_those_of_exact_distances():
+    """Sums in float32 decide nothing: far from 0 they cannot tell the rows apart."""
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([rng.normal(size=(900, 24)), rng.normal(size=(900, 24)) + 3e5, np.repeat(rng.normal(size=(1, 24)), 700, axis=0)])
+    ids, names = rng.permutation(len(rows)), np.array([f"s{i}" for i in range(len(rows))], object)
+    queries = np.concatenate([rows[::300], rng.normal(size=(3, 24))])
+    for limit in (1, 7, 800):
+        near = many.Nearest(queries, 3, limit, "square", "float64")
+        for at in range(0, len(rows), 640):
+            near.add(ids[at : at + 640], names[at : at + 640], rows[at : at + 640])
+        for q, (d2, own, label) in zip(queries, near.best):
+            want = kernels.batches(q, rows, 3)
+            order = np.lexsort([ids, want])[:limit]
+            assert np.array_equal(d2, want[order]) and np.array_equal(own, ids[order]) and list(label) == list(names[order])
+
+
+def test_lanes_are_dropped_on_the_way(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, query = rng.normal(size=(4000, 40)), rng.normal(size=40)
+    d2 = kernels.batches(query, rows, 4)
+    for most in (-1.0, np.sort(d2)[3], np.median(d2), np.inf):
+        places, found = kernels.reached(query, np.ascontiguousarray(rows.T), 4, most)
+        assert np.array_equal(places, np.flatnonzero(d2 <= most)) and np.array_equal(found, d2[places])
+
+
+def test_few_distances_are_computed_exactly(monkeypatch):
+    """All pairs of random series pass the bounds, but few of them are summed in float64."""
+    rng, done = np.random.default_rng(7), []
+    rows = rng.normal(size=(6000, 32))
+    for name, lanes in (("batches", lambda q, x, *_: len(x)), ("banded", lambda q, x, *_: x.shape[1])):
+        whole = getattr(kernels, name)
+        monkeypatch.setattr(kernels, name, lambda *a, f=whole, n=lanes, **b: done.append(n(*a)) or f(*a, **b))
+    many_near = many.Nearest(rows[:10], 3, 5, "square", "float64")
+    many_near.add(np.arange(6000), np.array(["x"] * 6000, object), rows)
+    assert sum(done) < 600

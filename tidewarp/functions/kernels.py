@@ -37,14 +37,14 @@ def point_distance(point: str | Point) -> Point:
 
 
 def banded(query: np.ndarray, lanes: np.ndarray, r: int, point: Point = square) -> np.ndarray:
-    """Sum of point distances on the cheapest path with |i - j| <= r from query (length) to each column
-    of lanes (length x n). One step per anti-diagonal: all its cells in the band, for all lanes, in
+    """Sum of point distances on the cheapest path with |i - j| <= r from query (length, or length x n with
+    one for each) to each column of lanes (length x n). One step per anti-diagonal: all its cells in the band, for all lanes, in
     buffers that are allocated once."""
     length, n = lanes.shape
     d0, d1, d2 = (np.full((length + 2, n), np.inf, dtype=lanes.dtype) for _ in range(3))
     cost = np.empty((min(r, length) + 1, n), dtype=lanes.dtype)
     d1[1] = point(query[0], lanes[0])
-    column = query[:, None]
+    column = query[:, None] if query.ndim == 1 else query
     for k in range(1, 2 * length - 1):
         low, high = max(0, k - length + 1, (k - r + 1) // 2), min(k, length - 1, (k + r) // 2)
         if low > high:  # r = 0: no cell on odd anti-diagonals
@@ -80,6 +80,46 @@ def batches(query: np.ndarray, rows: np.ndarray, r: int, point: Point = square,
     return out
 
 
+def reached(query: np.ndarray, lanes: np.ndarray, r: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the columns of lanes (length x n) whose banded squared distance is at most so much, and these
+    distances, in the type of lanes. Every path has a cell on one of two anti-diagonals that follow each other,
+    so a lane whose cells there all exceed most is dropped on the way."""
+    (length, n), kind = lanes.shape, lanes.dtype
+    width, last = min(r, length) + 3, 2 * length - 2
+    stops = {int(share * last) for share in (0.34, 0.5, 0.66)}
+    # The cells of an anti-diagonal stand in rows 1 to width - 2, from its lowest place on, between infinite ones.
+    d0, d1, d2 = (np.full((width, n), np.inf, dtype=kind) for _ in range(3))
+    cost = np.empty((width - 2, n), dtype=kind)
+    d1[1] = square(query[0], lanes[0])
+    column, left, low1, high1, low2 = query[:, None], np.arange(n), 0, 0, 0
+    for k in range(1, last + 1):
+        low, high = max(0, k - length + 1, (k - r + 1) // 2), min(k, length - 1, (k + r) // 2)
+        own = cost[: high - low + 1]
+        np.subtract(column[low : high + 1], lanes[k - low : k - high - 1 if k > high else None : -1], out=own)
+        np.multiply(own, own, out=own)
+        best = np.minimum(d1[low - low1 : high - low1 + 1], d1[low - low1 + 1 : high - low1 + 2], out=d0[1 : high - low + 2])
+        np.minimum(best, d2[low - low2 : high - low2 + 1], out=best)
+        np.add(best, own, out=best)
+        d0[high - low + 2] = np.inf
+        if k in stops:
+            front = np.minimum(best[0], d1[1])
+            for cells in (*best[1:], *d1[2 : high1 - low1 + 2]):
+                np.minimum(front, cells, out=front)
+            keep = np.flatnonzero(front <= most)
+            if len(keep) < 0.7 * n:
+                left, n, first = left[keep], len(keep), k - high
+                rest = np.empty((length, n), dtype=kind)
+                rest[first:] = lanes[first:].take(keep, axis=1, mode="clip")  # places before are behind the band
+                lanes, d0, d1 = rest, d0.take(keep, axis=1, mode="clip"), d1.take(keep, axis=1, mode="clip")
+                d2, cost = np.full((width, n), np.inf, dtype=kind), np.empty((width - 2, n), dtype=kind)
+                if not n:
+                    break
+        d0, d1, d2 = d2, d0, d1
+        low1, high1, low2 = low, high, low1
+    keep = np.flatnonzero(d1[1] <= most) if n else left
+    return left[keep], d1[1][keep]
+
+
 class Costs:
     """Cumulative costs of the alignments of many pairs, a pair per lane: x (n x lanes) with y (m x lanes).
     Only the cells of an anti-diagonal between the first and the last inside some lane's window are held.
