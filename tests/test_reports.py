@@ -101,6 +101,24 @@ def test_nearest_join(spark):
     assert merger.nearest_many((1,), 3.0, 9.0, 1) == []
 
 
+@pytest.mark.parametrize("size, reach", [(1, 0.3), (3, 2.0), (4, 50.0)])
+def test_nearest_join_makes_no_pairs(spark, size, reach):
+    """Copies, values that differ by less than distances can show, and values where none is near; no join of rows."""
+    rng = random.Random(size)
+    tiny = [5e-17 * k for k in range(1, 9)]
+    left = [(i, rng.randrange(2), rng.choice([rng.uniform(-4, 4), 1.0, 2.0, 30.0])) for i in range(60)]
+    right = [(100 + i, rng.randrange(2), rng.choice([round(rng.uniform(-4, 4), 1), *tiny, 1.0])) for i in range(200)]
+    frame = lambda rows: spark.createDataFrame([*rows, (900, None, 1.0), (901, 0, None), (902, 0, float("nan"))], "id long, bucket int, x double")
+    out = wavelet.nearest_join(frame(left), frame(right), reach, size)
+    want = []
+    for i, b, x in left:
+        near = sorted((abs(x - y), y, j) for j, c, y in right if c == b and abs(x - y) <= reach)[:size]
+        want += [(i, j, d, k) for k, (d, _, j) in enumerate(near)]
+    assert sorted((r.id, r.other, r.dist, r["rank"]) for r in out.collect()) == sorted(want)
+    apart = frame([(i, 0, float(i)) for i in range(50)])
+    assert "Join" not in wavelet.nearest_join(apart, apart, 9.0, 2)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hooks_and_limits_of_a_trace(walks):
     nodes, roots = wavelet.build_dag(walks.select("id", "series"), 64, 2.0)
     plain = {(r.start, r.i): r.weight for r in trace.trace(nodes, roots, 0, 64, 6).collect()}

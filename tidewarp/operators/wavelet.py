@@ -311,14 +311,36 @@ def nearest_join(left: DataFrame, right: DataFrame, max_dist: float, size: int)
     of the same bucket whose x is nearest, at most max_dist away; of equally near ones the lower x, then
     the smaller id.
 
-    Values meet in strips of width max_dist: a row of right lies in one, a row of left looks into three. So a bucket
-    is as many keys as it has strips, and no task holds a whole one."""
+    Values meet in strips a little wider than max_dist: a row of left lies in one, a row of right in three. There right's values
+    stand in order, each with those next to it, and a row of left takes them from the value before it. So rows grow with
+    left and right and not with pairs, and a bucket is as many keys as it has strips. Values so near each other
+    that their rounded distances to a row are equal can hide one; such rows are joined with their strip."""
     if not 0 < max_dist < float("inf") or size < 1:
         raise ValueError("max_dist is positive and finite, and size at least 1")
-    strip = F.floor(F.col("x") / max_dist)
-    a = left.select(F.col("id"), "bucket", "x", F.explode(F.array(strip - 1, strip, strip + 1)).alias("strip"))
-    b = right.select(F.col("id").alias("other"), "bucket", F.col("x").alias("y"), F.floor(F.col("x") / max_dist).alias("strip"))
-    near = a.join(b, ["bucket", "strip"]).withColumn("dist", F.abs(F.col("x") - F.col("y"))).filter(F.col("dist") <= max_dist)
+    strip, x, y = F.floor(F.col("x") / (max_dist * 1.001)), F.col("x"), F.col("y")
+    finite = "bucket IS NOT NULL AND abs(x) < double('infinity')"
+    a = left.filter(finite).select("id", "bucket", (x + F.lit(0.0)).alias("x"), strip.alias("strip"))
+    b = right.filter(finite).select(F.col("id").alias("other"), "bucket", (x + F.lit(0.0)).alias("y"))
+    few = b.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "y").orderBy("other"))).filter(F.col("place") <= size)
+    values = few.groupBy("bucket", "y").agg(F.sort_array(F.collect_list(F.struct("other"))).alias("others"))
+    values = values.withColumn("strip", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(y / (max_dist * 1.001)) + k)))
+    order = Window.partitionBy("bucket", "strip").orderBy("y")
+    values = values.withColumns({"near": F.collect_list(F.struct("y", "others")).over(order.rowsBetween(-size, size)), "first": F.row_number().over(order) == 1})
+    # the first value of a strip also stands before all rows of left
+    values = values.select("bucket", "strip", "near", F.explode(F.when(F.col("first"), F.array(F.lit(float("-inf")), y)).otherwise(F.array(y))).alias("x"))
+    rows = a.withColumn("asks", F.lit(True)).unionByName(values.withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy("bucket", "strip").orderBy("x", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("near", F.last("near", ignorenulls=True).over(before)).filter(F.col("asks") & F.col("near").isNotNull())
+    distance = lambda v: F.abs(x - v["y"])
+    found = F.flatten(F.transform("near", lambda v: F.transform(v["others"], lambda o: F.struct(distance(v).alias("dist"), v["y"].alias("y"), o["other"].alias("other")))))
+    rows = rows.withColumn("found", F.slice(F.array_sort(F.filter(found, lambda v: v["dist"] <= max_dist)), 1, size))
+    hidden = (F.size(F.filter("near", lambda v: v["y"] <= x)) > size) & (F.size("found") == size) & (distance(F.get("near", F.lit(0))) == F.get("found", F.lit(size - 1))["dist"])
+    rows = materialized(rows.select("id", "bucket", "x", "strip", "found", hidden.alias("hidden")), "nearest")
+    near = rows.filter("NOT hidden").select("id", F.explode("found").alias("v")).select("id", "v.other", "v.dist", "v.y")
+    if not rows.filter("hidden").isEmpty():
+        there = values.select("bucket", "strip", F.explode("near").alias("v")).select("bucket", "strip", "v.y", F.explode("v.others").alias("o")).select("bucket", "strip", "y", "o.other").distinct()
+        joined = rows.filter("hidden").select("id", "bucket", "x", "strip").join(there, ["bucket", "strip"]).withColumn("dist", F.abs(x - y))
+        near = near.unionByName(joined.filter(F.col("dist") <= max_dist).select("id", "other", "dist", "y"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "y", "other")) - 1
     return near.withColumn("rank", rank).filter(F.col("rank") < size).select("id", "other", "dist", "rank")
 
