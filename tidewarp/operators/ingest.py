@@ -24,18 +24,16 @@ def summed(entries: DataFrame, dictionary: DataFrame, transitions: DataFrame | N
     """id, y, var0, var1: counts of all entries that normalise (and stem) to an n-gram of the
     dictionary, for the years from ystart on.
 
-    The year filter reaches the scan. Raw n-grams are resolved to ids once each, not once per entry, and
-    counts are summed before and after the exchange."""
+    The year filter reaches the scan. Entries are dealt out by what they normalise to, once: there they are summed, and their sums
+    meet the dictionary."""
     check_length(ylength)
     inside = entries.filter(F.col("year").between(ystart, ystart + ylength - 1))
-    names = inside.select("ngram").distinct().withColumn("norm", normalize(F.col("ngram")))
+    inside = inside.select(normalize(F.col("ngram")).alias("norm"), (F.col("year") - ystart).alias("y"), "var0", "var1").repartition("norm")
+    sums = inside.groupBy("norm", "y").agg(F.sum("var0").alias("var0"), F.sum("var1").alias("var1"))
     if transitions is None:
-        names = names.join(dictionary.withColumnRenamed("ngram", "norm"), "norm")
-    else:
-        to = transitions.select(F.col("ngram").alias("norm"), "stem").join(dictionary.withColumnRenamed("ngram", "stem"), "stem").select("norm", "id")
-        names = names.join(to, "norm")
-    ids = names.select("ngram", "id")
-    return inside.join(ids, "ngram").groupBy("id", (F.col("year") - ystart).alias("y")).agg(F.sum("var0").alias("var0"), F.sum("var1").alias("var1"))
+        return sums.join(dictionary.select("id", F.col("ngram").alias("norm")), "norm").select("id", "y", "var0", "var1")
+    to = transitions.select(F.col("ngram").alias("norm"), "stem").join(dictionary.withColumnRenamed("ngram", "stem"), "stem").select("norm", "id")
+    return sums.join(to, "norm").groupBy("id", "y").agg(F.sum("var0").alias("var0"), F.sum("var1").alias("var1"))
 
 
 def densified(counts: DataFrame, value: str, ylength: int, key: str = "id", y: str = "y") -> DataFrame:

@@ -65,9 +65,19 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if d.rdd.getNumPartitions() < cores:  # a small table in one file: all cores part its texts
         d = d.select("doc_id", "text").repartition(cores)
-    words = d.select("doc_id", F.explode(F.split("text", r"\s+")).alias("ngram")).filter("ngram <> ''")
-    year = (1753 + F.col("doc_id") % 256).cast("int")
-    counts = words.groupBy("ngram", year.alias("year"), "doc_id").agg(F.count("*").alias("n")).groupBy("ngram", "year").agg(F.sum("n").alias("var0"), F.count("doc_id").alias("var1"))
+    d = d.select("doc_id", "text", (1753 + F.col("doc_id") % 256).cast("int").alias("year"))
+    again = d.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    again = materialized(again, "repeated-ids")
+    if again.isEmpty():
+        rest, d = d.filter("doc_id IS NULL"), d.filter("doc_id IS NOT NULL")
+    else:
+        rest = d.join(again, "doc_id", "left_semi").unionByName(d.filter("doc_id IS NULL"))
+        d = d.filter("doc_id IS NOT NULL").join(again, "doc_id", "left_anti")
+    # texts of one document in several rows, or of none, are counted once they have met
+    words = rest.select("doc_id", "year", F.explode(F.split("text", r"\s+")).alias("ngram")).filter("ngram <> ''")
+    met = words.groupBy("ngram", "year", "doc_id").agg(F.count("*").alias("n")).select("ngram", "year", F.col("n").alias("var0"), F.col("doc_id").isNotNull().cast("long").alias("var1"))
+    counts = text.word_counts(d, "year", "text").unionByName(met)
+    counts = counts.groupBy("ngram", "year").agg(F.sum("var0").alias("var0"), F.sum("var1").alias("var1"))
     return materialized(counts, "entries")  # a query reads them more than once
 
 
@@ -575,7 +585,7 @@ def prune_support(spark, sf_dir):
 @query(f"WITH {ENTRIES}, k AS (SELECT DISTINCT ngram FROM en WHERE NOT regexp_matches(ngram, '{UNCLEAN}')) SELECT count(*) AS total, count(*) FILTER (k.ngram IS NOT NULL AND year BETWEEN 1800 AND 1927) AS written FROM en LEFT JOIN k USING (ngram)")
 def entry_counts(spark, sf_dir):
     e = entries(spark, sf_dir)
-    return ingest.entry_counts(e, ngrams.numbered(ingest.clean_entries(e)), 1800, 128)
+    return ingest.entry_counts(e, ingest.clean_entries(e).select("ngram").distinct(), 1800, 128)
 
 
 @query(f"""WITH {ENTRIES}, r AS (SELECT DISTINCT ngram, NOT regexp_matches(ngram, '{UNCLEAN}') AS ok, lower(substr(ngram, 1, 1)) AS letter FROM en)

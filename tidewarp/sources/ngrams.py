@@ -10,8 +10,8 @@ from . import raw
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated ngram, year, var0, var1. Empty lines are skipped, further columns ignored; a line
     whose numbers do not parse fails the read, naming the line. \\n and \\r\\n end lines."""
-    lines = spark.read.text(path).filter(F.length(F.regexp_replace("value", r"\r$", "")) > 0)
-    parts = F.split(F.regexp_replace("value", r"\r$", ""), "\t")
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value")).filter("value <> ''")
+    lines, parts = lines.select("value", F.split("value", "\t").alias("parts")), F.col("parts")
     number = lambda k: F.when(F.get(parts, F.lit(k)).rlike("^[0-9]+$"), F.get(parts, F.lit(k)).cast("long")).otherwise(F.raise_error(F.concat(F.lit("not an entry: "), "value")).cast("long"))
     return lines.select(F.get(parts, F.lit(0)).alias("ngram"), number(1).cast("int").alias("year"), number(2).alias("var0"), number(3).alias("var1")).to(ENTRIES)
 
@@ -34,7 +34,8 @@ def scan_report(entries: DataFrame) -> DataFrame:
 def numbered(ngrams: DataFrame) -> DataFrame:
     """id, ngram of the distinct n-grams, numbered from 0 in code-point order. Range partitions are
     numbered inside and offset by the sizes of those before, so no task holds the whole dictionary."""
-    ranged = ngrams.select("ngram").filter("ngram IS NOT NULL").distinct().repartitionByRange("ngram").sortWithinPartitions("ngram")
+    unique = materialized(ngrams.select("ngram").filter("ngram IS NOT NULL").distinct(), "unique")  # ranges are sampled from it first
+    ranged = unique.repartitionByRange("ngram").sortWithinPartitions("ngram")
     ids = ranged.withColumn("m", F.monotonically_increasing_id()).select("ngram", F.shiftright("m", 33).alias("p"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
     return _offset(materialized(ids, "numbered"), "p")
 
