@@ -1,5 +1,5 @@
 """Functions of series. Columns are arrays of doubles; matrices hold a series per row."""
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -68,16 +68,23 @@ def lists(rows: np.ndarray):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows, dtype=np.float64).ravel()))
 
 
+def sliced(batches: Iterable, rows: int = 1024) -> Iterator:
+    """Arrow batches in pieces of so many rows at most, for functions that make many values of each. No piece is empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def transformed(series: DataFrame, transform: str = "id", norm: str = "id", column: str = "series") -> DataFrame:
     """series with every array of column transformed by name, then normalised, in Arrow batches."""
     if transform not in TRANSFORMS or norm not in NORMS:
         raise ValueError(f"transform is one of {sorted(TRANSFORMS)}, norm one of {sorted(NORMS)}")
 
     def run(parts):
-        for batch in parts:
+        for batch in sliced(parts):
             at = batch.schema.get_field_index(column)
             rows = matrix(batch.column(at)).astype(np.float64)
-            yield batch.set_column(at, column, lists(transform_rows(rows, transform, norm)) if len(rows) else batch.column(at))
+            yield batch.set_column(at, column, lists(transform_rows(rows, transform, norm)))
 
     return series.withColumn(column, F.col(column).cast("array<double>")).mapInArrow(run, series.withColumn(column, F.col(column).cast("array<double>")).schema)
 
@@ -112,7 +119,7 @@ def spectrum(series: DataFrame) -> DataFrame:
     def run(parts):
         import pyarrow as pa
 
-        for batch in parts:
+        for batch in sliced(parts):
             rows = matrix(batch.column(1))
             if len(rows):
                 total = rows.sum(axis=1, keepdims=True)

@@ -3,7 +3,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import lists
+from ..functions.series import lists, sliced
 from ..functions.text import clean, normalized
 from ..model import SUPPORT, YLENGTH, YSTART, check_length
 from ..sources.ngrams import numbered
@@ -43,9 +43,9 @@ def densified(counts: DataFrame, value: str, ylength: int, key: str = "id", y: s
     def run(parts):
         import pyarrow as pa
 
-        for batch in parts:
+        for batch in sliced(parts):
             at, v = batch.column(1), batch.column(2)
-            lengths = np.diff(at.offsets.to_numpy())
+            lengths = at.value_lengths().to_numpy()
             rows = np.zeros((batch.num_rows, ylength))
             rows[np.repeat(np.arange(batch.num_rows), lengths), at.flatten().to_numpy()] = v.flatten().to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(rows)], names=[key, "series"])

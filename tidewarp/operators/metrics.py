@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import gauss, gradient, gradient_colors, matrix, smoothed, spectrum
+from ..functions.series import gauss, gradient, gradient_colors, matrix, sliced, smoothed, spectrum
 
 PICTURE_KERNEL = gauss(14, 10.0)
 QUANTILES = (0.02, 0.09, 0.25, 0.45, 0.5, 0.55, 0.75, 0.91, 0.98)
@@ -135,10 +135,8 @@ def picture_frame(series: DataFrame, begin: int, end: int) -> DataFrame:
     def run(parts):
         import pyarrow as pa
 
-        for batch in parts:
+        for batch in sliced(parts):
             rows = matrix(batch.column(1))[:, begin:end].astype(np.float64)
-            if not len(rows):
-                continue
             none = rows.sum(axis=1) == 0
             most = np.abs(rows).max(axis=1, keepdims=True)
             most[most == 0] = 1
