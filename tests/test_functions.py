@@ -69,3 +69,14 @@ def test_pruning_uses_the_budget_from_the_finest_level():
 def test_colors():
     rgb = fs.gradient_colors(np.array([0.0, 2.0, -0.5]), np.array([0.0, 0.0, 0.3]))
     assert rgb.shape == (3, 3) and (rgb >= 0).all() and (rgb <= 1).all() and np.allclose(rgb[:, 0], 0, atol=1e-6)
+
+
+def test_batches_are_worked_on_in_pieces():
+    import pyarrow as pa
+
+    from tidewarp.functions.series import matrix, sliced
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array([[float(k), 1.0] for k in range(2500)])], names=["id", "series"])
+    pieces = list(sliced([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in pieces] == [1024, 1024, 452]
+    assert [v for p in pieces for v in matrix(p.column(1))[:, 0]] == list(range(2500))
